@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumapair.llm import exact_dedup, simhash
+from lumapair.llm import exact_dedup, mixing, sharding, simhash
 from lumapair.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -22,9 +28,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
+    "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_simhash": op8_simhash,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -34,4 +46,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
         FROM n JOIN g ON n.t = g.t
     """,
+    "op10_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+             s AS (SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size)::BIGINT AS cap,
+                          ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
+             k AS (SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS k FROM s),
+             l AS (SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER e, 0)) / ((SELECT sum(w) FROM s) - coalesce(sum(w) OVER e, 0)) AS level
+                   FROM k WINDOW e AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+             c AS (SELECT min_by(level, k) AS common FROM l WHERE cap > level * w),
+             t AS (SELECT source, source_size, least(cap, coalesce((SELECT common FROM c) * w, cap)) AS target,
+                          ('0x' || left(md5('mix-1' || coalesce(':' || source, '')), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM l),
+             p AS (SELECT doc_id, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+                          row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS place
+                   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, (floor((place + 1) * rate + u) - floor(place * rate + u))::BIGINT * size AS taken FROM p
+    """,
 }
