@@ -49,7 +49,7 @@ class IdCache:
     def _learn(self, chunks: list[str]) -> None:
         plain = [c for c in chunks if _PLAIN.fullmatch(c) and "<|" not in c]
         cut = [_LATIN.findall(c.lower()) for c in plain]
-        self._learn_words(list({w for ws in cut for w in ws} - self.words.keys()))
+        self._learn_words([w for w in {w for ws in cut for w in ws} if w not in self.words])
         get = self.words.__getitem__
         for c, ws in zip(plain, cut):
             self.chunks[c] = b"".join(map(get, ws))
@@ -61,10 +61,11 @@ class IdCache:
         out = []
         for t in texts:
             parts = _SPLIT.split(t)
-            if new := list(set(parts) - self.chunks.keys()):
+            distinct = set(parts)
+            if new := [c for c in distinct if c not in self.chunks]:
                 if len(self.chunks) > MOST_CHUNKS:
                     self.chunks, self.words = {"": b""}, {}
-                    new = list(set(parts) - self.chunks.keys())
+                    new = list(distinct - {""})
                 self._learn(new)
             out.append(b"".join(map(self.chunks.__getitem__, parts)))
         return out
