@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumapair.llm import exact_dedup, language, mixing, packing, sharding, simhash
+from lumapair.llm import exact_dedup, language, licenses, mixing, packing, pages, sharding, simhash, vectors, viterbi
 from lumapair.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,17 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "proportions")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    vocabulary = viterbi.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return viterbi.token_counts(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
@@ -32,6 +43,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(spark, docs))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -42,16 +58,25 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
+    "op2_html": op2_html,
+    "op3_token_counts": op3_token_counts,
     "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_licenses": op6_licenses,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op9_vectors": op9_vectors,
     "op10_mixing": op10_mixing,
 }
 
