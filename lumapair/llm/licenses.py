@@ -7,9 +7,9 @@ trained as a class of its own; `unknown` is what names a licence but reaches no
 calibrated probability for a family. A template comparison confirms a prediction: the
 share of the n-grams of the family's nearest template that the paragraph holds.
 
-The L1 penalty leaves few features with a weight. A paragraph without any of them has
-the score of its class `none` alone and needs no further work, so only the others are
-cut into n-grams. Weights are literals of the plan, bounded by the templates' n-grams.
+The L1 penalty leaves few features with a weight, and most weigh too little to outweigh
+`none` together. Only paragraphs with one of the others (see `telling`) are cut into
+n-grams; the bound is exact, so no finding is lost. Weights are literals of the plan, bounded by the templates' n-grams.
 
 Defined results for odd input: null and empty texts have no paragraphs; repeated rows
 give their findings each; ties go to the family first by name; an empty table gives an
@@ -18,6 +18,7 @@ empty result; other columns are ignored. Ids may be null.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -163,13 +164,41 @@ def _probabilities(lines: DataFrame, model: Classifier) -> DataFrame:
     return materialize(shifted.withColumn("p", shares).drop("z", "e"), "licence-shares")
 
 
+def telling(model: Classifier) -> list[str] | None:
+    """Features of which every paragraph with less than 0.5 for `none` has at least one; None if any paragraph may be such.
+
+    Some family must then come within log(families) of the score of `none`. The features
+    left out are for each family the weakest ones, which even all together fall short of that.
+    """
+    needed: set[str] = set()
+    for f in range(1, len(model.families)):
+        room = model.bias[0] - model.bias[f] - math.log(len(model.families) - 1) - 1e-6
+        if room < 0:
+            return None
+        for gain, gram in sorted((w[f] - w[0], gram) for gram, w in model.weights.items() if w[f] > w[0]):
+            room -= gain
+            if room < 0:
+                needed.add(gram)
+    return sorted(needed)
+
+
+def _any_of(grams: list[str]) -> str:
+    """A pattern found in every lower-case line that has one of the n-grams (and in few others); one branch per first character."""
+    if not grams:
+        return r"(?!)"
+    by: dict[str, list[str]] = {}
+    for g in grams:
+        by.setdefault(g[0], []).append(r"[^a-z0-9\-]+".join(w.replace(".", r"\.").replace("-", r"\-") for w in g.split(" "))[1 if g[0] not in ".-" else 2 :])
+    branches = [(c if c not in ".-" else "\\" + c) + "(?:" + "|".join(rest) + ")" for c, rest in sorted(by.items())]
+    return rf"(?:^|[^a-z0-9.\-])(?:{'|'.join(branches)})(?=$|[^a-z0-9\-])"
+
+
 def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per paragraph that names a licence: id_col, paragraph (from 0), family, probability, similarity, confirmed, line."""
-    words = sorted({f.split(" ")[0] for f in model.weights})
     lines = paragraphs(docs.where(F.col(text_col).isNotNull()), id_col, text_col)
-    if words:
-        quoted = "|".join(w.replace(".", r"\.").replace("-", r"\-") for w in words)
-        lines = lines.where(F.lower("line").rlike(rf"(?:^|[^a-z0-9.\-])(?:{quoted})(?=$|[^a-z0-9\-])"))
+    needed = telling(model)
+    if needed is not None:
+        lines = lines.where(F.lower("line").rlike(_any_of(needed)))
     scored = _probabilities(lines.withColumn("grams", ngrams(F.col("line"))), model)
     names = F.array(*[F.lit(n) for n in model.families])
     top = F.array_max(F.slice("p", 2, len(model.families) - 1))

@@ -227,3 +227,13 @@ def test_licences(spark, docs):
     model = licenses.train(spark, rows)
     got = {(r["doc_id"], r["paragraph"]): (r["family"], r["confirmed"]) for r in licenses.scan(rows, model).collect()}
     assert got[1, 1] == ("mit", True) and got[4, 0] == ("apache", True) and (1, 0) not in got and not got.get((3, 0), ("", False))[1]
+
+
+def test_licence_scan_loses_nothing_to_its_first_filter(spark, docs, monkeypatch):
+    rows = spark.createDataFrame([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] + [(-1, "the ... apache\nUNDER the... Apache 2.0"), (-2, "x.mit mit. MIT-like -mit")] + [(-10 - i, "\n".join([*t, *(x[: len(x) // 2] for x in t)])) for i, t in enumerate(licenses.TEMPLATES.values())], "doc_id long, text string")
+    model = licenses.train(spark, rows)
+    needed = licenses.telling(model)
+    assert needed and len(needed) < len(model.weights)
+    found = set(map(str, licenses.scan(rows, model).collect()))
+    monkeypatch.setattr(licenses, "telling", lambda _: None)
+    assert found and not found ^ set(map(str, licenses.scan(rows, model).collect()))
