@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumapair.functions import images, paths, pixels, prompts, schedules
 from lumapair.operators import frechet, pairing, quality, reports
+from lumapair.sources import sinks, trees
 from lumapair.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,3 +241,29 @@ def flow_schedule(spark, sf_dir):
 def rss_schedule(spark, sf_dir):
     sigmas = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: (30 - i) / F.lit(30.0))
     return spark.range(30).select(F.col("id").alias("step"), _r(schedules.rss_weight(sigmas, F.col("id").cast("int"), 0.5, 0.2)).alias("weight"))
+
+
+_TREE = """f AS (SELECT doc_id, ['rain', 'snow', 'haze'][doc_id % 3 + 1] AS weather, doc_id // 3 % 4 AS s FROM documents),
+    l AS (SELECT doc_id, weather, concat('set', s) AS sub, ['gt', 'test/GT', 'GT', 'gt'][s + 1] AS gt, ['lq', 'test/LQ', 'LQ', 'lq'][s + 1] AS lq FROM f WHERE doc_id % 7 <> 0)"""
+
+
+@query(f"""WITH {_TREE} SELECT weather, concat(weather, '_', sub) AS sub_name, doc_id::VARCHAR AS stem, concat('tree/', weather, '/', sub, '/', gt, '/', doc_id, '.png') AS gt_path, concat('tree/', weather, '/', sub, '/', lq, '/', doc_id, '.JPG') AS lq_path FROM l""")
+def eval_tree_pairs(spark, sf_dir):
+    """Three layouts of sub-folders; set3 has its upper-case layout too, which does not count as the lower-case one has pairs."""
+    ids = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(F.lit("rain"), F.lit("snow"), F.lit("haze")), (F.col("doc_id") % 3 + 1).cast("int")).alias("weather"), (F.floor(F.col("doc_id") / 3) % 4).cast("int").alias("s"))
+    folder = F.concat(F.lit("tree/"), "weather", F.lit("/set"), F.col("s").cast("string"), F.lit("/"))
+
+    def side(dirs, end):
+        return F.concat(folder, F.element_at(F.array(*[F.lit(d) for d in dirs]), F.col("s") + 1), F.lit("/"), F.col("doc_id").cast("string"), F.lit(end)).alias("path")
+
+    degraded = ids.where("doc_id % 7 <> 0")
+    files = ids.select(side(["gt", "test/GT", "GT", "gt"], ".png")).union(degraded.select(side(["lq", "test/LQ", "LQ", "lq"], ".JPG")))
+    files = files.union(ids.where("s = 3").select(side(["", "", "", "GT"], ".png"))).union(ids.where("s = 3").select(side(["", "", "", "LQ"], ".png")))
+    return trees.eval_pairs(files.where(paths.is_image(F.col("path"))), "tree", ["rain", "snow", "haze"], ["test"])
+
+
+@query(f"WITH {_PATCHES} SELECT concat('sub', sub) AS sub_name, concat(vec_id, ', ', printf('%.4f', round(psnr, 4)), ', ', printf('%.4f', round(mse, 4)), ', 0.00') AS value FROM s")
+def image_lines(spark, sf_dir):
+    per = patches(spark, sf_dir).select(F.concat(F.lit("sub"), F.col("sub").cast("string")).alias("sub_name"), F.col("vec_id").cast("string").alias("stem"), F.lit(0.0).alias("infer_time"),
+        _r(pixels.psnr(F.col("pred"), F.col("target")), 4).alias("psnr"), _r(pixels.mse(F.col("pred"), F.col("target")), 4).alias("mse"))
+    return sinks.image_lines(per, metrics=("psnr", "mse"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumapair.functions import images, paths, pixels, prompts, schedules
 from lumapair.operators import frechet, pairing, quality, reports
+from lumapair.sources import sinks, trees
 
 
 def test_psnr_of_equal_images_is_100(spark):
@@ -85,3 +86,34 @@ def test_guards_and_rules(spark):
     assert {x["step"] for x in quality.retention(steps, 3).where("kept").collect()} == {1000, 1500}
     with pytest.raises(ValueError):
         schedules.flow_start(0, 3)
+
+
+def test_trees_by_listing(spark, tmp_path):
+    for f in ("rain/a/gt/1.png", "rain/a/lq/1.jpg", "rain/a/gt/2.png", "rain/a/GT/3.png", "rain/a/LQ/3.png", "rain/b/test/GT/4.PNG", "rain/b/test/LQ/4.png",
+              "snow/test/GT/5.png", "snow/test/LQ/5.png", "snow/other/gt/6.png", "snow/other/lq/6.png", "snow/test/LQ/notes.txt"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_bytes(b"x")
+    files = trees.image_files(spark, str(tmp_path))
+    got = {(r["sub_name"], r["stem"]) for r in trees.eval_pairs(files, str(tmp_path), ["rain", "snow"], ["test"]).collect()}
+    assert got == {("rain_a", "1"), ("rain_b", "4"), ("snow_test", "5")}
+    got = [(r["weather"], r["split"], r["stem"]) for r in trees.training_pairs(files, str(tmp_path), ["snow"], ["test"]).collect()]
+    assert got == [("snow", "test", "5")]
+
+
+def test_pick_columns(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
+    assert trees.pick_columns(df, caption="c").first().asDict() == {"image": 1, "caption": 3, "conditioning": 3}
+    with pytest.raises(ValueError):
+        trees.pick_columns(df, image="x")
+
+
+def test_report_files(spark, tmp_path):
+    per = spark.createDataFrame([("r_a", "x", 30.0, 0.5, float("nan"), 1.0)], "sub_name string, stem string, psnr double, ssim double, lpips double, infer_time double")
+    sinks.write_image_lines(sinks.image_lines(per), str(tmp_path / "lines"))
+    assert spark.read.text(str(tmp_path / "lines")).first()["value"] == "x, 30.0000, 0.5000, nan, 1.00"
+    report = spark.createDataFrame([("rain", 3, 30.0, float("nan")), (None, 3, 30.0, 0.1)], "weather string, n long, psnr double, lpips double")
+    got = [r["value"] for r in sinks.table_lines(report, ["weather"], ["psnr", "lpips"]).collect()]
+    assert got == ["rain             3    30.0000        N/A", "ALL              3    30.0000     0.1000"]
+    sinks.write_csv(per, str(tmp_path / "csv"))
+    sinks.write_json(per, str(tmp_path / "json"))
+    assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).columns == per.columns and spark.read.json(str(tmp_path / "json")).count() == 1
