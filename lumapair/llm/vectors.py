@@ -2,17 +2,21 @@
 
 Unit vectors are dealt to overlapping cluster shards: each goes to its `overlap`
 nearest centres, and a shard that holds too many is dealt again with centres of its
-own, level by level. Each shard builds a flat proximity graph by robust pruning (a
-neighbour is dropped if another kept neighbour is closer to it by `alpha`). The
-adjacency lists of a vector from all its shards are united, and each shard searches
-the united lists among its vectors: a greedy walk from the medoid, whose beam grows
-while the worst of it is within the search range, finds for each vector the others
-within the radius. Pairs that were found are verified by cosines in double precision.
+own, level by level. The nearest is its home. Each shard builds a flat proximity
+graph by robust pruning (a neighbour is dropped if another kept neighbour is closer
+to it by `alpha`). The adjacency lists of a vector from all its shards are united;
+they say which shards it leads to.
+
+Vectors then walk over shards in rounds. A vector visits the homes of its nearest
+centres first. In a shard it is compared with every vector at home there, in double
+precision, and goes on to the shards that the united lists of those within the
+search range lead to; whoever it finds visits its home in turn. Rounds end when
+nobody has a shard left to go to, so a group of any size is walked through whole.
 
 Equal vectors (bit for bit after scaling) are one node with a multiplicity, so a
-third of all rows being copies costs one node. A found pair is counted in the first
-shard that both ends are in, so it counts once; what leaves a shard are sums per
-vector and links to the smallest id found, never all pairs of a group.
+third of all rows being copies costs one node. A vector is counted in its home only,
+so a pair counts once for each end; what leaves a shard are sums per visitor and
+spanning links, never all pairs of a group.
 
 Recall is audited: `audit` compares a bounded sample of queries with all rows.
 
@@ -40,11 +44,14 @@ COSINE = 0.9
 #: Vectors that a shard holds on average, and above which it is dealt again.
 SHARD_ROWS, MOST_ROWS = 400, 2000
 OVERLAP, LEVELS = 2, 6
+#: Shards that a vector visits first, among the children of one shard.
+VISITS = 4
 #: Rows that centres are drawn from, at most about.
 CENTRE_SAMPLE = 200_000
 MOST_CENTRES = 4096
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
-BEAM = 32
+#: Visitors compared with a shard at once.
+BLOCK = 1024
 #: How far beyond the radius the walk goes on, in cosine.
 SLACK = 0.1
 AUDITED = 200
@@ -99,72 +106,46 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATE
     return out
 
 
-def medoid(x: np.ndarray) -> int:
-    return int((x @ x.mean(axis=0)).argmax())
-
-
-def range_search(q: int, x: np.ndarray, graph: list[np.ndarray], start: int, least: float, beam: int = BEAM) -> np.ndarray:
-    """Nodes other than q with cosine >= least to it, by a greedy walk whose beam grows with what is in range."""
-    v = x[q]
-    seen = np.zeros(len(x), bool)
-    seen[start] = True
-    pool = np.array([start])
-    sims = x[pool] @ v
-    open_ = np.ones(1, bool)
-    while True:
-        # All of the beam that is not expanded yet, and everything in range.
-        rank = np.argsort(-sims, kind="stable")
-        pool, sims, open_ = pool[rank], sims[rank], open_[rank]
-        width = max(beam, int(np.searchsorted(-sims, -least, "right")) + beam // 2)
-        go = np.flatnonzero(open_[:width])
-        if not len(go):
-            break
-        open_[go] = False
-        new = np.unique(np.concatenate([graph[i] for i in pool[go[: max(8, len(go) // 2)]]])) if len(go) <= 8 else np.unique(np.concatenate([graph[i] for i in pool[go]]))
-        new = new[~seen[new]] if len(new) else new
-        if not len(new):
-            continue
-        seen[new] = True
-        pool = np.concatenate((pool, new))
-        sims = np.concatenate((sims, x[new] @ v))
-        open_ = np.concatenate((open_, np.ones(len(new), bool)))
-    found = pool[sims >= least]
-    return found[found != q]
-
-
 def _valid(vec: F.Column) -> F.Column:
     finite = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return vec.isNotNull() & (F.size(vec) > 0) & finite & F.exists(vec, lambda v: v != 0)
 
 
-_MATRIX = "node long, v binary, key string, near array<long>"
+_DEALT = "node long, v binary, shard long, rank int"
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float64).reshape(len(col), -1)
 
 
-def _nearest(packed: bytes, overlap: int):
-    """Rows to (node, v, shard) for the nearest centres of their shard, at this level."""
+def _nearest(packed: bytes, visits: int):
+    """Rows to the same in the nearest centres of their shard, at this level; rank is the place of the centre (0: home)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres: dict[int, np.ndarray] = pickle.loads(packed)
         for b in batches:
             if not len(b):
                 continue
-            x, shard = _matrix(b["v"]), b["shard"].to_numpy()
-            rows, to = [], []
+            x, shard, rank = _matrix(b["v"]), b["shard"].to_numpy(), b["rank"].to_numpy()
+            rows, to, place = [], [], []
             for s in np.unique(shard):
                 mine = np.flatnonzero(shard == s)
                 c = centres[int(s)]
-                k = min(overlap, len(c))
+                k = min(visits, len(c))
                 sims = x[mine] @ c.T
-                top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-                rows.append(np.repeat(mine, k))
+                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                at = np.broadcast_to(np.arange(k), top.shape)
+                # Who is at home goes to all; a row of the graph to two, another to one.
+                mine_rank = rank[mine][:, None]
+                go = at < np.where(mine_rank == 0, visits, np.where(mine_rank < OVERLAP, OVERLAP, 1))
+                rows.append(np.broadcast_to(mine[:, None], top.shape)[go])
                 # A shard's number is its parent's, times the most centres, plus the centre.
-                to.append((int(s) * MOST_CENTRES + 1 + top).ravel())
+                to.append((int(s) * MOST_CENTRES + 1 + top)[go])
+                place.append(np.maximum(at, mine_rank)[go])
             at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([b["node"].take(at), b["v"].take(at), pa.array(np.concatenate(to), pa.int64())], ["node", "v", "shard"])
+            yield pa.RecordBatch.from_arrays(
+                [b["node"].take(at), b["v"].take(at), pa.array(np.concatenate(to), pa.int64()), pa.array(np.concatenate(place), pa.int32())], ["node", "v", "shard", "rank"]
+            )
 
     return run
 
@@ -190,11 +171,11 @@ def _centres(sample: list[tuple[int, bytes]], counts: dict[int, int], shard_rows
     return out
 
 
-def shards(nodes: DataFrame, shard_rows: int = SHARD_ROWS, most_rows: int = MOST_ROWS, overlap: int = OVERLAP) -> DataFrame:
-    """(node, v, shard): overlapping shards of nodes (node, v)."""
-    now, done = nodes.withColumn("shard", F.lit(0).cast("long")), None
+def shards(nodes: DataFrame, shard_rows: int = SHARD_ROWS, most_rows: int = MOST_ROWS, visits: int = VISITS) -> DataFrame:
+    """(node, v, shard, rank) of nodes (node, v): rank 0 is a node's home, below OVERLAP are the shards whose graph it is in, all are visited."""
+    now, done = nodes.select("node", "v", F.lit(0).cast("long").alias("shard"), F.lit(0).alias("rank")), None
     for level in range(LEVELS):
-        counts = {r["shard"]: r["count"] for r in now.groupBy("shard").count().collect()}
+        counts = {r["shard"]: r["count"] for r in now.where(F.col("rank") < OVERLAP).groupBy("shard").count().collect()}
         big = {s: n for s, n in counts.items() if n > (shard_rows if level == 0 else most_rows)}
         if not big:
             break
@@ -202,12 +183,12 @@ def shards(nodes: DataFrame, shard_rows: int = SHARD_ROWS, most_rows: int = MOST
         part = now.where(F.col("shard").isin(list(big))) if len(big) < len(counts) else now
         rest = now.where(~F.col("shard").isin(list(big)))
         share = min(1.0, CENTRE_SAMPLE / sum(big.values()))
-        drawn = part.where(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+        drawn = part.where(F.col("rank") < OVERLAP).where(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
         sample = [(r["shard"], bytes(r["v"])) for r in drawn.select("shard", "v").orderBy("shard", "node").limit(2 * CENTRE_SAMPLE).collect()]
         centres = _centres(sample, big, shard_rows)
         done = rest if done is None else done.union(rest)
-        dealt = part.where(F.col("shard").isin(list(centres))).mapInArrow(_nearest(pickle.dumps(centres), overlap), "node long, v binary, shard long")
-        now = materialize(dealt.dropDuplicates(["node", "shard"]), "shards")
+        dealt = part.where(F.col("shard").isin(list(centres))).mapInArrow(_nearest(pickle.dumps(centres), visits), _DEALT)
+        now = materialize(dealt, "shards")
     return now if done is None else done.union(now)
 
 
@@ -236,48 +217,128 @@ def _by_shard(each, schema: pa.Schema):
     return run
 
 
-def _build(b: pa.RecordBatch):
-    x, node = _matrix(b["v"]), b["node"].to_numpy()
-    lists = build_graph(x)
-    return node, [node[a].tolist() if a else [] for a in lists]
-
+def _build(within: float):
+    """A shard's nodes with those of their graph neighbours that are within the search range."""
 
-def _search(cosine: float, slack: float):
     def each(b: pa.RecordBatch):
         x, node = _matrix(b["v"]), b["node"].to_numpy()
-        times = b["times"].to_numpy()
-        mine = int(b["shard"][0].as_py())
-        homes = [set(h) for h in b["homes"].to_pylist()]
-        order = np.argsort(node)
-        sorted_nodes = node[order]
-        graph: list[np.ndarray] = []
-        for near in b["near"].to_pylist():
-            a = np.array(near or [], np.int64)
-            at = np.minimum(np.searchsorted(sorted_nodes, a), len(node) - 1)
-            graph.append(order[at[sorted_nodes[at] == a]] if len(a) else a)
-        start = medoid(x)
-        pairs: set[tuple[int, int]] = set()
-        for q in range(len(x)):
-            found = range_search(q, x, graph, start, cosine - slack)
-            if len(found):
-                exact = x[found] @ x[q]
-                pairs.update([(q, int(f)) if q < f else (int(f), q) for f in found[exact >= cosine]])
-        links = np.zeros(len(x), np.int64)
-        least = node.copy()
-        for i, j in pairs:
-            common = homes[i] & homes[j]
-            if min(common) == mine:
-                links[i] += times[j]
-                links[j] += times[i]
-            if node[j] < least[i]:
-                least[i] = node[j]
-            if node[i] < least[j]:
-                least[j] = node[i]
-        return node, links, least
+        lists = [[j for j in a if x[i] @ x[j] >= within] for i, a in enumerate(build_graph(x))]
+        return node, [node[a].tolist() if a else [] for a in lists]
 
     return each
 
 
+_TOLD = pa.schema([("what", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+#: What a shard tells: vector a has b links here; a and b are linked; a is to visit shard b.
+_SUM, _LINK, _GO = range(3)
+
+
+class _Home:
+    """A shard's own nodes, compared with its visitors."""
+
+    def __init__(self, shard: int, b: pa.RecordBatch, cosine: float, within: float):
+        self.shard, self.cosine, self.within = shard, cosine, within
+        self.x, self.node, self.times = _matrix(b["v"]), b["node"].to_numpy(), b["times"].to_numpy()
+        leads = [a or [] for a in b["leads"].to_pylist()]
+        self.to = np.array(sorted({t for a in leads for t in a} - {shard}), np.int64)
+        self.leads = np.zeros((len(leads), len(self.to)), np.float32)
+        for i, a in enumerate(leads):
+            a = np.array([t for t in a if t != shard], np.int64)
+            self.leads[i, np.searchsorted(self.to, a)] = 1
+        self.group = np.arange(len(self.node))
+        self.back: dict[int, np.ndarray] = {}
+
+    def meet(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        x, node, home = _matrix(b["v"]), b["node"].to_numpy(), b["home"].to_numpy()
+        sims = x @ self.x.T
+        near = sims >= self.cosine
+        links = near @ self.times - (near & (node[:, None] == self.node)) @ self.times
+        some = np.flatnonzero(links > 0)
+        yield _told(_SUM, node[some], links[some])
+        if len(self.to):
+            q, t = np.nonzero((sims >= self.within).astype(np.float32) @ self.leads > 0)
+            yield _told(_GO, node[q], self.to[t])
+        first = np.empty(len(some), np.int64)
+        for k, q in enumerate(some.tolist()):
+            found = np.flatnonzero(near[q])
+            first[k] = found[0]
+            groups = self.group[found]
+            if (low := groups.min()) != groups.max():
+                self.group[np.isin(self.group, groups)] = low
+        yield _told(_LINK, node[some], self.node[first])
+        for h in np.unique(home[some]).tolist():
+            if h != self.shard:
+                found = near[some[home[some] == h]].any(axis=0)
+                self.back[h] = self.back[h] | found if h in self.back else found
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        linked = np.flatnonzero(self.group != np.arange(len(self.group)))
+        yield _told(_LINK, self.node[linked], self.node[self.group[linked]])
+        for h, found in self.back.items():
+            yield _told(_GO, self.node[found], np.full(int(found.sum()), h))
+
+
+def _told(what: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), what), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_TOLD)
+
+
+def _meet(cosine: float, within: float):
+    """Rows sorted by shard, a shard's own nodes (visitor false) before its visitors, to what the shard tells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, there = None, [], None
+
+        def ready() -> _Home | None:
+            return there or (_Home(now, pa.Table.from_batches(own).combine_chunks().to_batches()[0], cosine, within) if own else None)
+
+        for b in batches:
+            if not len(b):
+                continue
+            s, v = b["shard"].to_numpy(), b["visitor"].to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((s[1:] != s[:-1]) | (v[1:] != v[:-1])) + 1).tolist(), len(s)]
+            for i, j in zip(edges, edges[1:]):
+                if int(s[i]) != now:
+                    if there:
+                        yield from there.close()
+                    now, own, there = int(s[i]), [], None
+                if not v[i]:
+                    own.append(b.slice(i, j - i))
+                elif (there := ready()) is not None:
+                    for at in range(i, j, BLOCK):
+                        yield from there.meet(b.slice(at, min(BLOCK, j - at)))
+        if there:
+            yield from there.close()
+
+    return run
+
+
+def _walk(dealt: DataFrame, usable: DataFrame, cosine: float, slack: float) -> DataFrame:
+    """What all shards tell (what, a, b) until no vector has a shard left to visit."""
+    homes = dealt.where("rank = 0").select("node", F.col("shard").alias("home"))
+    lists_schema = pa.schema([("node", pa.int64()), ("near", pa.list_(pa.int64()))])
+    graph = dealt.where(F.col("rank") < OVERLAP).select("node", "v", "shard").repartition("shard").sortWithinPartitions("shard", "node")
+    lists = graph.mapInArrow(_by_shard(_build(cosine - slack), lists_schema), "node long, near array<long>")
+    edges = lists.select(F.col("node").alias("from"), F.explode("near").alias("node"))
+    leads = edges.join(homes, "node").groupBy("from").agg(F.collect_set("home").alias("leads")).withColumnRenamed("from", "node")
+    base = materialize(usable.select("node", "v", "times").join(homes, "node").join(leads, "node", "left"), "homes")
+    own = base.select(F.col("home").alias("shard"), F.lit(False).alias("visitor"), "node", "v", "times", "home", "leads")
+    new = materialize(dealt.select("node", "shard"), "visits")
+    seen, told = new, None
+    while True:
+        visitors = new.join(base.select("node", "v", "times", "home"), "node")
+        visitors = visitors.select("shard", F.lit(True).alias("visitor"), "node", "v", "times", "home", F.lit(None).cast("array<long>").alias("leads"))
+        # Shards without a visitor have nothing to tell.
+        here = own if told is None else own.join(new.select("shard").distinct(), "shard", "left_semi").select(own.columns)
+        both = here.union(visitors).repartition("shard").sortWithinPartitions("shard", "visitor")
+        found = materialize(both.mapInArrow(_meet(cosine, cosine - slack), "what int, a long, b long"), "told")
+        told = found if told is None else told.union(found)
+        going = found.where(F.col("what") == _GO).select(F.col("a").alias("node"), F.col("b").alias("shard")).distinct()
+        new = materialize(going.join(seen, ["node", "shard"], "left_anti"), "visits")
+        if new.isEmpty():
+            return told
+        seen = seen.union(new)
+
+
 def _nodes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
     """All rows (id, v or null); and one node per distinct unit vector (node = smallest id, v, times)."""
 
@@ -307,16 +368,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     lengths = [r["n"] for r in nodes.groupBy(F.octet_length("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()]
     usable = nodes.where(F.octet_length("v") == lengths[0]) if lengths else nodes
     dealt = materialize(shards(usable.select("node", "v")), "dealt")
-    lists_schema = pa.schema([("node", pa.int64()), ("near", pa.list_(pa.int64()))])
-    lists = dealt.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_by_shard(_build, lists_schema), "node long, near array<long>")
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    homes = dealt.groupBy("node").agg(F.collect_set("shard").alias("homes"))
-    ready = dealt.join(united, "node").join(homes, "node").join(usable.select("node", "times"), "node")
-    found_schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("least", pa.int64())])
-    found = ready.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_by_shard(_search(cosine, slack), found_schema), "node long, links long, least long")
-    found = materialize(found, "found")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = connected_components(found.where("least <> node").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    told = _walk(dealt, usable, cosine, slack)
+    links = told.where(F.col("what") == _SUM).groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
+    classes = connected_components(told.where(F.col("what") == _LINK).select("a", "b"))
     whole = nodes.join(links, "node", "left").join(classes, "node", "left")
     per = materialize(whole.select("v", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "classes")
     named = rows.where("v is not null").join(per, "v").select("id", "n_links", "component_id")

@@ -222,6 +222,25 @@ def test_vectors_against_brute_force(spark):
     assert vectors.audit(df, out) >= 0.9
 
 
+def test_vectors_of_a_group_larger_than_a_shard(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=64) + rng.normal(size=(5000, 64)) * 0.17
+    x = np.concatenate((x, rng.normal(size=(1000, 64))))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert links[:5000].min() > 4900
+    out = vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = {r["vec_id"]: r for r in out.collect()}
+    assert [got[i]["n_links"] for i in range(6000)] == links.tolist()
+    assert {got[i]["component_id"] for i in range(5000)} == {0}
+
+
+def test_vectors_linked_through_a_larger_id_are_one_component(spark):
+    turn = [(2, 0.0), (3, 0.4), (1, 0.8)]
+    df = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in turn], "vec_id long, embedding array<double>")
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_vectors(df).collect()} == {(1, 1, 1), (2, 1, 1), (3, 2, 1)}
+
+
 def test_licences(spark, docs):
     rows = spark.createDataFrame([(1, "Plain words here.\nReleased under the MIT License."), (2, None), (3, "mit der die das und nicht"), (4, "Licensed under the Apache License, Version 2.0.")], "doc_id long, text string")
     model = licenses.train(spark, rows)
