@@ -21,8 +21,8 @@ spanning links, never all pairs of a group.
 Recall is audited: `audit` compares a bounded sample of queries with all rows.
 
 Defined results for odd input: vectors that are null, zero, or hold null or non-finite
-components, and vectors of another length than most, link with nothing and keep
-themselves; repeated rows are vectors of their own and link with each other; ties in
+components link with nothing and keep themselves; vectors of each length are a space
+of their own; repeated rows are vectors of their own and link with each other; ties in
 distance go to the smaller node; an empty table gives an empty result; other columns
 are ignored. Ids must not be null; rows without one are left out of the result.
 """
@@ -46,8 +46,10 @@ SHARD_ROWS, MOST_ROWS = 400, 2000
 OVERLAP, LEVELS = 2, 6
 #: Shards that a vector visits first, among the children of one shard.
 VISITS = 4
-#: Rows that centres are drawn from, at most about.
+#: Rows that centres are drawn from, at most about, over all shards too large for a task.
 CENTRE_SAMPLE = 200_000
+#: Rows of a shard that one task deals again by centres of its own, at most.
+TASK_ROWS = 20_000
 MOST_CENTRES = 4096
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
 #: Visitors compared with a shard at once.
@@ -118,30 +120,33 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float64).reshape(len(col), -1)
 
 
+def _deal(x: np.ndarray, rank: np.ndarray, c: np.ndarray, first: int, visits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, rank) of rows in the nearest of the centres c, numbered from first; rank is the place of the centre (0: home)."""
+    k = min(visits, len(c))
+    top = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :k]
+    at = np.broadcast_to(np.arange(k), top.shape)
+    # Who is at home goes to all; a row of the graph to two, another to one.
+    go = at < np.where(rank == 0, visits, np.where(rank < OVERLAP, OVERLAP, 1))[:, None]
+    return np.broadcast_to(np.arange(len(x))[:, None], top.shape)[go], first + top[go], np.maximum(at, rank[:, None])[go]
+
+
 def _nearest(packed: bytes, visits: int):
-    """Rows to the same in the nearest centres of their shard, at this level; rank is the place of the centre (0: home)."""
+    """Rows to the same in the nearest centres of their shard, by centres known beforehand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres: dict[int, np.ndarray] = pickle.loads(packed)
+        centres: dict[int, tuple[int, np.ndarray]] = pickle.loads(packed)
         for b in batches:
             if not len(b):
                 continue
-            x, shard, rank = _matrix(b["v"]), b["shard"].to_numpy(), b["rank"].to_numpy()
+            shard = b["shard"].to_numpy()
             rows, to, place = [], [], []
             for s in np.unique(shard):
                 mine = np.flatnonzero(shard == s)
-                c = centres[int(s)]
-                k = min(visits, len(c))
-                sims = x[mine] @ c.T
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                at = np.broadcast_to(np.arange(k), top.shape)
-                # Who is at home goes to all; a row of the graph to two, another to one.
-                mine_rank = rank[mine][:, None]
-                go = at < np.where(mine_rank == 0, visits, np.where(mine_rank < OVERLAP, OVERLAP, 1))
-                rows.append(np.broadcast_to(mine[:, None], top.shape)[go])
-                # A shard's number is its parent's, times the most centres, plus the centre.
-                to.append((int(s) * MOST_CENTRES + 1 + top)[go])
-                place.append(np.maximum(at, mine_rank)[go])
+                first, c = centres[int(s)]
+                row, child, rank = _deal(_matrix(b["v"].take(pa.array(mine))), b["rank"].to_numpy()[mine], c, first, visits)
+                rows.append(mine[row])
+                to.append(child)
+                place.append(rank)
             at = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays(
                 [b["node"].take(at), b["v"].take(at), pa.array(np.concatenate(to), pa.int64()), pa.array(np.concatenate(place), pa.int32())], ["node", "v", "shard", "rank"]
@@ -150,44 +155,81 @@ def _nearest(packed: bytes, visits: int):
     return run
 
 
-def _centres(sample: list[tuple[int, bytes]], counts: dict[int, int], shard_rows: int, seed: int = 7) -> dict[int, np.ndarray]:
-    """Spherical k-means centres for each shard, as many as its rows ask for."""
-    by: dict[int, list[bytes]] = {}
-    for s, v in sample:
-        by.setdefault(s, []).append(v)
+def _split(visits: int, shard_rows: int):
+    """A whole shard, sorted by node, to the same in shards of its own centres, numbered from `first`."""
+
+    def each(b: pa.RecordBatch):
+        x, rank = _matrix(b["v"]), b["rank"].to_numpy()
+        graph = x[rank < OVERLAP]
+        c = _centres(graph, len(graph), shard_rows)
+        row, child, place = _deal(x, rank, c, int(b["first"][0].as_py()), visits)
+        return b["node"].take(pa.array(row)), b["v"].take(pa.array(row)), child, place
+
+    return each
+
+
+def _most_centres(rows: int, shard_rows: int) -> int:
+    return max(2, min(MOST_CENTRES - 1, -(-rows * OVERLAP // shard_rows)))
+
+
+def _centres(x: np.ndarray, rows: int, shard_rows: int, seed: int = 7) -> np.ndarray:
+    """Spherical k-means centres for a shard of that many rows, of which x are a sample."""
     rng = np.random.default_rng(seed)
-    out = {}
-    for s in sorted(by):
-        x = np.frombuffer(b"".join(by[s]), np.float64).reshape(len(by[s]), -1)
-        k = max(2, min(len(x), MOST_CENTRES - 1, -(-counts[s] * OVERLAP // shard_rows)))
-        c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
-        for _ in range(4):
-            near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
-            sums = np.zeros_like(c)
-            np.add.at(sums, near, x)
-            norm = np.sqrt((sums**2).sum(axis=1))
-            c = np.where(norm[:, None] > 1e-9, sums / np.maximum(norm, 1e-9)[:, None], c)
-        out[s] = c
-    return out
+    c = x[rng.choice(len(x), min(_most_centres(rows, shard_rows), len(x)), replace=False)]
+    for _ in range(4):
+        near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        norm = np.sqrt((sums**2).sum(axis=1))
+        c = np.where(norm[:, None] > 1e-9, sums / np.maximum(norm, 1e-9)[:, None], c)
+    return c
 
 
 def shards(nodes: DataFrame, shard_rows: int = SHARD_ROWS, most_rows: int = MOST_ROWS, visits: int = VISITS) -> DataFrame:
-    """(node, v, shard, rank) of nodes (node, v): rank 0 is a node's home, below OVERLAP are the shards whose graph it is in, all are visited."""
-    now, done = nodes.select("node", "v", F.lit(0).cast("long").alias("shard"), F.lit(0).alias("rank")), None
-    for level in range(LEVELS):
+    """(node, v, shard, rank) of nodes (node, v): rank 0 is a node's home, below OVERLAP are the shards whose graph it is in, all are visited.
+
+    Vectors of each length start as a shard of their own. What LEVELS of dealing leave
+    too large is cut into blocks by hash, and its vectors visit all blocks.
+    """
+    spark = nodes.sparkSession
+    now, done = nodes.select("node", "v", F.octet_length("v").cast("long").alias("shard"), F.lit(0).alias("rank")), None
+    free = None
+    for level in range(LEVELS + 1):
         counts = {r["shard"]: r["count"] for r in now.where(F.col("rank") < OVERLAP).groupBy("shard").count().collect()}
+        free = max(counts, default=0) + 1 if free is None else free
         big = {s: n for s, n in counts.items() if n > (shard_rows if level == 0 else most_rows)}
         if not big:
             break
-        # Drawn evenly over all rows of shards to be dealt again; bounded by its parameter.
-        part = now.where(F.col("shard").isin(list(big))) if len(big) < len(counts) else now
-        rest = now.where(~F.col("shard").isin(list(big)))
-        share = min(1.0, CENTRE_SAMPLE / sum(big.values()))
-        drawn = part.where(F.col("rank") < OVERLAP).where(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
-        sample = [(r["shard"], bytes(r["v"])) for r in drawn.select("shard", "v").orderBy("shard", "node").limit(2 * CENTRE_SAMPLE).collect()]
-        centres = _centres(sample, big, shard_rows)
+        first = {}
+        for s in sorted(big):
+            first[s], free = free, free + _most_centres(big[s], shard_rows)
+        numbers = spark.createDataFrame([(s, n, first[s]) for s, n in big.items()], "shard long, n long, first long")
+        rest = now.join(F.broadcast(numbers), "shard", "left_anti").select(now.columns)
+        part = now.join(F.broadcast(numbers), "shard")
         done = rest if done is None else done.union(rest)
-        dealt = part.where(F.col("shard").isin(list(centres))).mapInArrow(_nearest(pickle.dumps(centres), visits), _DEALT)
+        if level == LEVELS:
+            blocks = F.ceil(F.col("n") / shard_rows)
+            own = F.pmod(F.xxhash64("node"), blocks)
+            every = part.where("rank = 0").select("node", "v", "first", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+            at_home = every.select("node", "v", (F.col("first") + F.col("block")).alias("shard"), F.when(F.col("own") == F.col("block"), 0).otherwise(OVERLAP).alias("rank"))
+            guests = part.where("rank > 0").select("node", "v", "rank", F.explode(F.sequence(F.col("first"), F.col("first") + blocks - 1)).alias("shard"))
+            now = materialize(at_home.union(guests.select("node", "v", "shard", F.greatest("rank", F.lit(OVERLAP)).alias("rank"))), "shards")
+            break
+        small, huge = part.where(F.col("n") <= TASK_ROWS), part.where(F.col("n") > TASK_ROWS)
+        split_schema = pa.schema([("node", pa.int64()), ("v", pa.binary()), ("shard", pa.int64()), ("rank", pa.int32())])
+        dealt = small.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_by_shard(_split(visits, shard_rows), split_schema), _DEALT)
+        if any(n > TASK_ROWS for n in big.values()):
+            share = min(1.0, CENTRE_SAMPLE / sum(n for n in big.values() if n > TASK_ROWS))
+            drawn = huge.where(F.col("rank") < OVERLAP).where(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+            sample: dict[int, list[bytes]] = {}
+            for r in drawn.select("shard", "v").orderBy("shard", "node").collect():
+                sample.setdefault(r["shard"], []).append(bytes(r["v"]))
+            centres = {s: (first[s], _centres(np.frombuffer(b"".join(v), np.float64).reshape(len(v), -1), big[s], shard_rows)) for s, v in sample.items() if len(v) > 1}
+            drawn_of = spark.createDataFrame([(s,) for s in centres], "shard long")
+            columns = ["node", "v", "shard", "rank"]
+            chosen = huge.join(F.broadcast(drawn_of), "shard", "left_semi").select(columns).mapInArrow(_nearest(pickle.dumps(centres), visits), _DEALT)
+            # A shard of which fewer than two rows were drawn waits for the next level as it is.
+            dealt = dealt.union(chosen).union(huge.join(F.broadcast(drawn_of), "shard", "left_anti").select(columns))
         now = materialize(dealt, "shards")
     return now if done is None else done.union(now)
 
@@ -312,7 +354,7 @@ def _meet(cosine: float, within: float):
     return run
 
 
-def _walk(dealt: DataFrame, usable: DataFrame, cosine: float, slack: float) -> DataFrame:
+def _walk(dealt: DataFrame, nodes: DataFrame, cosine: float, slack: float) -> DataFrame:
     """What all shards tell (what, a, b) until no vector has a shard left to visit."""
     homes = dealt.where("rank = 0").select("node", F.col("shard").alias("home"))
     lists_schema = pa.schema([("node", pa.int64()), ("near", pa.list_(pa.int64()))])
@@ -320,7 +362,7 @@ def _walk(dealt: DataFrame, usable: DataFrame, cosine: float, slack: float) -> D
     lists = graph.mapInArrow(_by_shard(_build(cosine - slack), lists_schema), "node long, near array<long>")
     edges = lists.select(F.col("node").alias("from"), F.explode("near").alias("node"))
     leads = edges.join(homes, "node").groupBy("from").agg(F.collect_set("home").alias("leads")).withColumnRenamed("from", "node")
-    base = materialize(usable.select("node", "v", "times").join(homes, "node").join(leads, "node", "left"), "homes")
+    base = materialize(nodes.select("node", "v", "times").join(homes, "node").join(leads, "node", "left"), "homes")
     own = base.select(F.col("home").alias("shard"), F.lit(False).alias("visitor"), "node", "v", "times", "home", "leads")
     new = materialize(dealt.select("node", "shard"), "visits")
     seen, told = new, None
@@ -364,11 +406,8 @@ def _nodes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", slack: float = SLACK) -> DataFrame:
     """One row per row of vectors: id_col, n_links, component_id, kept."""
     rows, nodes = _nodes(vectors, id_col, vector_col)
-    # Vectors of different length cannot be compared; each length is a space of its own.
-    lengths = [r["n"] for r in nodes.groupBy(F.octet_length("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()]
-    usable = nodes.where(F.octet_length("v") == lengths[0]) if lengths else nodes
-    dealt = materialize(shards(usable.select("node", "v")), "dealt")
-    told = _walk(dealt, usable, cosine, slack)
+    dealt = materialize(shards(nodes.select("node", "v")), "dealt")
+    told = _walk(dealt, nodes, cosine, slack)
     links = told.where(F.col("what") == _SUM).groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     classes = connected_components(told.where(F.col("what") == _LINK).select("a", "b"))
     whole = nodes.join(links, "node", "left").join(classes, "node", "left")

@@ -241,6 +241,26 @@ def test_vectors_linked_through_a_larger_id_are_one_component(spark):
     assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_vectors(df).collect()} == {(1, 1, 1), (2, 1, 1), (3, 2, 1)}
 
 
+def test_shards_drop_no_vector(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(3000, 8))
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(vectors.unit(x))], "node long, v binary")
+    for task_rows, sample, levels in ((10, 40, 6), (10, 40, 1), (20_000, 200_000, 6)):
+        monkeypatch.setattr(vectors, "TASK_ROWS", task_rows)
+        monkeypatch.setattr(vectors, "CENTRE_SAMPLE", sample)
+        monkeypatch.setattr(vectors, "LEVELS", levels)
+        rows = vectors.shards(nodes, 20, 60).select("node", "shard", "rank").collect()
+        homes = Counter(r["node"] for r in rows if r["rank"] == 0)
+        assert len(homes) == 3000 and set(homes.values()) == {1}
+        assert len({(r["node"], r["shard"]) for r in rows}) == len(rows)
+        assert max(Counter(r["shard"] for r in rows if r["rank"] == 0).values()) <= 120
+
+
+def test_vectors_of_every_length(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.01, 0.0]), (5, [0.0, 1.0])]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5)}
+
+
 def test_licences(spark, docs):
     rows = spark.createDataFrame([(1, "Plain words here.\nReleased under the MIT License."), (2, None), (3, "mit der die das und nicht"), (4, "Licensed under the Apache License, Version 2.0.")], "doc_id long, text string")
     model = licenses.train(spark, rows)
