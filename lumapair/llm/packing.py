@@ -7,7 +7,9 @@ sequence, or into a new one.
 
 Pieces are dealt by hash into groups of a bounded number of pieces, which are
 packed side by side, longest piece first. What a group leaves in open sequences
-goes on to the next round, with fewer groups, until one group is left.
+goes on to the next round, with fewer groups, until one group is left. A round that
+closes next to nothing is the last: its groups are samples of the same pieces, so
+dealing them again would close as little, and their open sequences stay as they are.
 
 Defined results for odd input: null text is empty, and an empty text is the end
 id alone; repeated rows are packed each for itself; an empty table gives an empty
@@ -30,6 +32,8 @@ from lumapair.session import materialize
 LENGTH, END = 4096, 1
 #: Pieces that one task packs, at most about.
 GROUP_PIECES = 40_000
+#: Share of its pieces that a round must place for another to follow.
+LEAST_PLACED = 1 / 16
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -121,17 +125,20 @@ def pack(pieces: DataFrame, capacity: int = LENGTH, group_pieces: int = GROUP_PI
     left, n, done, round_ = pieces, pieces.count(), None, 0
     while done is None or n:
         groups = max(1, n // group_pieces)
-        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_)), F.lit(groups))
+        # By row, so that repeated rows spread too; a written table numbers its rows alike each time.
+        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(round_)), F.lit(groups))
         dealt = left.withColumn("g", key).repartition(groups, "g").sortWithinPartitions("g", F.col("length").desc(), "doc_id", "piece")
         schema = f"{_PIECE}, g long, bin long, offset long, open boolean"
         packed = dealt.mapInArrow(_pack(capacity, groups == 1), schema).withColumn("round", F.lit(round_))
         packed = materialize(packed, "packed")
-        whole = packed.where("not open")
+        left = packed.where("open").select(*_PIECE_SCHEMA.names)
+        before, n = n, left.count()
+        last = groups == 1 or before - n < LEAST_PLACED * before
+        whole = packed if last else packed.where("not open")
         done = whole if done is None else done.union(whole)
-        if groups == 1:
+        if last:
             break
-        left = packed.where("open").select(*_PIECE_SCHEMA.names)
-        n, round_ = left.count(), round_ + 1
+        round_ += 1
     # Rounds, groups and bins are below 2^8, 2^31 and 2^24.
     sequence = F.shiftleft(F.shiftleft(F.col("round").cast("long"), 31) + F.col("g"), 24) + F.col("bin")
     return done.select(*_PIECE_SCHEMA.names, sequence.alias("sequence_id"), "offset")

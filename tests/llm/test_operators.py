@@ -166,6 +166,14 @@ def test_packing(docs):
     assert len(gaps) <= -(-int(lengths.sum()) // 4096) * 1.05 and np.bincount(b, lengths).max() <= 4096
 
 
+def test_packing_ends_when_no_sequence_closes(spark):
+    for rows in ([(i, 0, 0, 3000, 7) for i in range(300)], [(1, 0, 0, 3000, 7)] * 300):
+        pieces = vectors.materialize(spark.createDataFrame(rows, packing._PIECE), "pieces")
+        got = packing.pack(pieces, group_pieces=20).collect()
+        assert len(got) == 300 and len({r["sequence_id"] for r in got}) == 300
+        assert len({r["sequence_id"] >> 24 for r in got}) > 5
+
+
 def test_viterbi_against_the_library():
     from tokenizers import Tokenizer, models
 
