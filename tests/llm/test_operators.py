@@ -199,6 +199,19 @@ def test_pages(spark):
         assert got == {1: "Hi\nA & b\nc\nd", 2: "only here", 3: "another one", 4: ""}
 
 
+def test_pages_of_a_split_host_lose_the_same_runs(spark):
+    menu = "".join(f"<div>item{i}</div>" for i in range(12))
+    chrome = "<nav>a long line of nine words that also repeats elsewhere</nav>"
+    rows = [(i, "http://h/", f"<body>{menu}<div>own{i} text{i}</div>") for i in range(9)]
+    rows += [(20, "http://h/", chrome + "<article>x</article>"), (21, "http://h/", "<body><div>a long line of nine words that also repeats elsewhere</div><div>own21</div>")]
+    rows += [(None, "http://h/", f"<body>{menu}<div>alone</div>"), (30, "http://i/", f"<body>{menu}"), (30, "http://i/", f"<body>{menu}")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    items = "\n".join(f"item{i}" for i in range(12))
+    want = Counter([(i, f"own{i} text{i}") for i in range(9)] + [(20, "x"), (21, "own21"), (None, "alone"), (30, items), (30, items)])
+    for part_bytes in (1 << 20, 100, 1):
+        assert Counter((r["page_id"], r["text"]) for r in pages.main_texts(df, part_bytes=part_bytes).collect()) == want
+
+
 def test_suffix_array_against_brute_force():
     rng = np.random.default_rng(6)
     tokens, page = rng.integers(0, 3, 120), np.repeat(np.arange(6), 20)
