@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 _shipped: set[str] = set()
+#: Written tables: path to application, and DataFrame to path.
+_tables: dict[str, str] = {}
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,8 +36,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may do without it."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (given or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -44,7 +52,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _tables[path] = spark.sparkContext.applicationId
+    _path_of[written] = path
+    return written
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `materialize` returned and that nothing reads any more."""
+    for t in tables:
+        if path := _path_of.pop(t, None):
+            _tables.pop(path, None)
+            delete(t.sparkSession, path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove every table that this application has written so far; for use when all results that read them are written."""
+    for path, app in list(_tables.items()):
+        if app == spark.sparkContext.applicationId:
+            del _tables[path]
+            delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
