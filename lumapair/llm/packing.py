@@ -50,7 +50,7 @@ def _cut(tokenizer: str, length: int, end: int):
         cache = IdCache.of(tokenizer)
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
-            for i, ids in zip(b["id"].to_pylist(), cache.ids([t or "" for t in b["text"].to_pylist()])):
+            for i, ids in zip(b["id"].to_pylist(), cache.ids(b["text"])):
                 for piece in pieces_of(ids, length, end):
                     for col, v in zip(cols, (i, *piece)):
                         col.append(v)
@@ -66,14 +66,14 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndar
     gaps: list[int] = []
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     for i, n in enumerate(lengths.tolist()):
-        # Change of the sum, halved, if a bin of gap g takes n: counts[g - n] + 1 - counts[g], without what closes.
-        change = 1 - counts[n:]
-        change[1:] += counts[1 : capacity + 1 - n]
+        # Change of the sum of squares if a bin of gap g takes n; a bin that closes no longer counts.
+        change = 2 - 2 * counts[n:]
+        change[1:] += 2 * counts[1 : capacity + 1 - n]
         change[0] -= 1
         change[counts[n:] == 0] = np.iinfo(np.int64).max
         g = int(change.argmin())
-        fresh = int(counts[capacity - n]) if n < capacity else 0
-        # A new bin adds counts[capacity - n] + 1/2; an equal open bin comes first.
+        fresh = 2 * int(counts[capacity - n]) + 1 if n < capacity else 0
+        # Of equal changes, an open bin comes before a new one, and the smallest gap first.
         if change[g] <= fresh:
             gap = g + n
             b = stacks[gap].pop()

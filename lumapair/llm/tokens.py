@@ -6,10 +6,14 @@ import os
 import re
 from functools import cache
 
-#: Chunks that a worker remembers; beyond, it forgets all and starts again.
-MOST_CHUNKS = 400_000
-#: White space that every pre-tokenizer here drops and normalisation leaves alone.
-_SPLIT = re.compile(r"[ \t\n\r]+")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Chunks of each of the two generations that a worker remembers; the older one goes when the younger is full.
+MOST_CHUNKS = 50_000
+#: Bytes of text that are cut into chunks at once, about.
+BLOCK_BYTES = 8 << 20
 _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: Composed letters and ASCII only: lower-casing and NFC change nothing but A-Z and À-Þ.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -19,8 +23,10 @@ class IdCache:
     """Little-endian 32-bit ids of texts, as the tokenizer gives them without special tokens.
 
     The tokenizer drops white space between pre-tokens, so the ids of a text are
-    those of its chunks between blanks. That holds for the files with a `</w>` suffix
-    and a pre-tokenizer that removes white space; others are refused.
+    those of its chunks between ASCII white space. That holds for the files with a
+    `</w>` suffix and a pre-tokenizer that removes white space; others are refused.
+    The chunks of a block of texts are numbered by Arrow, so that each distinct one is
+    looked up once, and their ids are put together with NumPy.
     """
 
     def __init__(self, path: str) -> None:
@@ -34,42 +40,72 @@ class IdCache:
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        vocabulary = self.whole.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
     @cache
     def of(path: str) -> IdCache:
         return IdCache(path)
 
-    def _learn_words(self, words: list[str]) -> None:
-        for w, e in zip(words, self.bare.encode_batch_fast(words, add_special_tokens=False)):
-            self.words[w] = _packed(e.ids)
-
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         plain = [c for c in chunks if _PLAIN.fullmatch(c) and "<|" not in c]
         cut = [_LATIN.findall(c.lower()) for c in plain]
-        self._learn_words([w for w in {w for ws in cut for w in ws} if w not in self.words])
-        get = self.words.__getitem__
-        for c, ws in zip(plain, cut):
-            self.chunks[c] = b"".join(map(get, ws))
-        rest = [c for c in chunks if c not in self.chunks]
+        words = list({w for ws in cut for w in ws})
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+        found: dict[str, bytes] = {}
+        if len(ends) == len(words):
+            raw = ids.astype("<u4").tobytes()
+            get = {w: raw[x:y] for w, x, y in zip(words, [0, *ends[:-1].tolist()], ends.tolist())}.__getitem__
+            found = {c: get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for c, ws in zip(plain, cut)}
+        rest = [c for c in chunks if c not in found]
         for c, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
-            self.chunks[c] = _packed(e.ids)
+            found[c] = np.array(e.ids, "<u4").tobytes()
+        return found
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for t in texts:
-            parts = _SPLIT.split(t)
-            distinct = set(parts)
-            if new := [c for c in distinct if c not in self.chunks]:
-                if len(self.chunks) > MOST_CHUNKS:
-                    self.chunks, self.words = {"": b""}, {}
-                    new = list(distinct - {""})
-                self._learn(new)
-            out.append(b"".join(map(self.chunks.__getitem__, parts)))
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
+        out = [young.get(c) for c in chunks]
+        missing = [i for i, v in enumerate(out) if v is None]
+        if not missing:
+            return out
+        found = {c: v for c in [chunks[i] for i in missing] if (v := old.get(c)) is not None}
+        if new := [c for i in missing if (c := chunks[i]) not in found]:
+            found |= self._learn(new)
+        for i in missing:
+            out[i] = found[chunks[i]]
+        if len(young) + len(found) > MOST_CHUNKS:
+            self.old, self.young = young, found
+        else:
+            young |= found
         return out
 
+    def _block(self, texts: pa.Array) -> list[bytes]:
+        parts = pc.ascii_split_whitespace(texts)
+        bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        numbered = parts.flatten().dictionary_encode()
+        each = self._known(numbered.dictionary.to_pylist())
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), "<u4")
+        word = numbered.indices.to_numpy()
+        n = size[word]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        first = (np.cumsum(size) - size)[word] - ends[:-1]
+        ids = flat[np.repeat(first, n) + np.arange(ends[-1])]
+        at = ends[bounds].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
 
-def _packed(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    def ids(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of each text; null counts as empty."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()).fill_null("")
+        ends = pc.cumulative_sum(pc.binary_length(texts)).to_numpy()
+        out: list[bytes] = []
+        while len(out) < len(texts):
+            done = ends[len(out) - 1] if out else 0
+            stop = max(len(out) + 1, int(np.searchsorted(ends, done + BLOCK_BYTES, "right")))
+            out += self._block(texts.slice(len(out), stop - len(out)))
+        return out
