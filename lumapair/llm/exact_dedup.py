@@ -4,19 +4,26 @@ Two rounds of the same hash deduplication keep every task bounded. Round one
 runs inside each input partition, so a text with very many copies shrinks to one
 entry per partition before anything is shuffled. Round two runs on the entries,
 partitioned by content hash. In both, an open-addressing table compares complete
-contents; when its distinct contents pass the memory budget, records it does not
+contents; when what it holds passes the memory budget, records of contents it does not
 hold are partitioned by further hash bits to spill files, which are treated the
-same way, recursively.
-
-Defined results for odd input: null text counts as empty; a null id is larger
-than every id; rows that repeat an id and a text are copies of one another and
-carry the same keep_id (kept is true for each of them, as it is a function of
-doc_id); an empty table gives an empty result; other columns are ignored.
+same way, recursively. Spill files are private to a task and made anew when a task is
+run again, so a lost executor loses none of them.
+
+`exact_dedup` tells each row's group. `distinct_rows` returns the rows that stay, all
+columns: the texts travel with their rows, in one shuffle.
+
+Defined results for odd input: null text counts as empty; texts of any length are
+compared whole (a task holds at least one); a null id is larger than every id; rows
+that repeat an id and a text are copies of one another and carry the same keep_id
+(kept is true for each of them, as it is a function of doc_id), while `distinct_rows`
+keeps one of them: the one whose raw text, and then whose other values, come first in
+order; an empty table gives an empty result; `exact_dedup` ignores other columns,
+whatever their names.
 """
 
 from __future__ import annotations
 
-import struct
+import pickle
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lumapair.session import materialize
 
@@ -31,11 +39,10 @@ WHITE_SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of distinct content that one table may hold before records spill.
 MEMORY_BUDGET = 48 << 20
 FANOUT_BITS = 4
-_HEAD = struct.Struct("<qqqqI")
 _BATCH = 4096
 
-#: (hash, key, smallest id or None, count, content)
-Record = tuple[int, int, "int | None", int, bytes]
+#: (hash, content, what belongs to the record)
+Record = tuple[int, bytes, object]
 
 
 class OpenTable:
@@ -78,50 +85,56 @@ def _smaller(a: int | None, b: int | None) -> int | None:
     return b if a is None else a if b is None else min(a, b)
 
 
-def _write(file, r: Record) -> None:
-    h, key, small, n, body = r
-    file.write(_HEAD.pack(h, key, -1 if small is None else small, -n if small is None else n, len(body)) + body)
+class Group:
+    """Records of one content; `value` is for the caller, who says by `grow` how many bytes it holds more."""
 
+    __slots__ = ("_table", "body", "h", "value")
 
-def _read(file) -> Iterator[Record]:
-    file.seek(0)
-    while head := file.read(_HEAD.size):
-        h, key, small, n, size = _HEAD.unpack(head)
-        yield h, key, None if n < 0 else small, abs(n), file.read(size)
+    def __init__(self, h: int, body: bytes, table: OpenTable) -> None:
+        self.h, self.body, self.value, self._table = h, body, None, table
+
+    def grow(self, n: int) -> None:
+        self._table.bytes += n
 
 
-def grace(records: Iterable[Record], budget: int = MEMORY_BUDGET, level: int = 0) -> Iterator[tuple[bytes, int, "int | None", int, list[int]]]:
-    """Groups of equal content: (content, hash, smallest id, count, keys)."""
-    table, small, count, keys = OpenTable(), [], [], []
+def grace(records: Iterable[Record], budget: int = MEMORY_BUDGET, level: int = 0) -> Iterator[tuple[Group, object, bool]]:
+    """(group, what belongs to the record, False) for each record as it is placed, and (group, None, True) once for a group that is whole."""
+    table, groups = OpenTable(), []
     files: list | None = None
     shift = (FANOUT_BITS * (level + 1)) % 60
     try:
         for r in records:
-            h, key, least, n, body = r
+            h, body, extra = r
             e, slot = table.find(h, body)
             if e < 0:
                 if table.bytes and table.bytes + len(body) > budget:
                     if files is None:
                         files = [tempfile.TemporaryFile() for _ in range(1 << FANOUT_BITS)]
-                    _write(files[(h >> shift) & ((1 << FANOUT_BITS) - 1)], r)
+                    pickle.dump(r, files[(h >> shift) & ((1 << FANOUT_BITS) - 1)], pickle.HIGHEST_PROTOCOL)
                     continue
-                table.add(h, body, slot)
-                small.append(least)
-                count.append(n)
-                keys.append([key])
-            else:
-                small[e] = _smaller(small[e], least)
-                count[e] += n
-                keys[e].append(key)
-        for e, body in enumerate(table.bodies):
-            yield body, table.hashes[e], small[e], count[e], keys[e]
-        table = small = count = keys = None
+                e = table.add(h, body, slot)
+                groups.append(Group(h, table.bodies[e], table))
+            yield groups[e], extra, False
+        for g in groups:
+            yield g, None, True
+        table = groups = None
         for i, f in enumerate(files or []):
             yield from grace(_read(f), budget, level + 1)
             f.close()
+            files[i] = None
     finally:
         for f in files or []:
-            f.close()
+            if f:
+                f.close()
+
+
+def _read(file) -> Iterator[Record]:
+    file.seek(0)
+    while True:
+        try:
+            yield pickle.load(file)
+        except EOFError:
+            return
 
 
 def _batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -141,26 +154,31 @@ _GLOBAL = pa.schema([("link", pa.int64()), ("keep_id", pa.int64()), ("group_size
 
 
 def _within_partition(budget: int):
-    """Rows of an input partition to member rows (row_id, sha, link) and one entry row per distinct text."""
+    """Rows of an input partition to member rows (row_id, sha, link), as they come, and one entry row per distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 36
-        ids: list[int | None] = []
-        shas: list[str] = []
 
         def records() -> Iterator[Record]:
             for b in batches:
                 for i, h, sha, body in zip(b["id"].to_pylist(), b["h"].to_pylist(), b["sha"].to_pylist(), b["body"].to_pylist()):
-                    ids.append(i)
-                    shas.append(sha)
-                    yield h, len(ids) - 1, i, 1, body.encode()
+                    yield h, body.encode(), (i, sha)
 
         def rows() -> Iterator[tuple]:
-            for body, h, small, n, keys in grace(records(), budget):
-                link = base + keys[0]
-                yield link, None, None, h, small, n, body.decode()
-                for k in keys:
-                    yield link, ids[k], shas[k], None, None, None, None
+            number = 0
+            for g, extra, whole in grace(records(), budget):
+                if whole:
+                    link, small, n = g.value
+                    yield link, None, None, g.h, small, n, g.body.decode()
+                    continue
+                i, sha = extra
+                if g.value is None:
+                    g.value, number = (base + number, i, 1), number + 1
+                    g.grow(128)
+                else:
+                    link, small, n = g.value
+                    g.value = link, _smaller(small, i), n + 1
+                yield g.value[0], i, sha, None, None, None, None
 
         yield from _batches(rows(), _LOCAL)
 
@@ -168,13 +186,71 @@ def _within_partition(budget: int):
 
 
 def _across_partitions(budget: int):
+    """Entries to (link, smallest id, count); a text has one entry per input partition at most."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[Record]:
             for b in batches:
                 for link, h, small, n, body in zip(*(b[c].to_pylist() for c in ("link", "h", "small", "n", "body"))):
-                    yield h, link, small, n, body.encode()
+                    yield h, body.encode(), (link, small, n)
+
+        def rows() -> Iterator[tuple]:
+            for g, extra, whole in grace(records(), budget):
+                if whole:
+                    small, n, links = g.value
+                    for link in links:
+                        yield link, small, n
+                    continue
+                link, small, n = extra
+                if g.value is None:
+                    g.value = [small, n, [link]]
+                else:
+                    g.value[0], g.value[1] = _smaller(g.value[0], small), g.value[1] + n
+                    g.value[2].append(link)
+                g.grow(64)
 
-        yield from _batches(((link, small, n) for _, _, small, n, keys in grace(records(), budget) for link in keys), _GLOBAL)
+        yield from _batches(rows(), _GLOBAL)
+
+    return run
+
+
+def _first_rows(names: list[str], id_at: int, text_at: int, budget: int):
+    """Rows (h, body and the named columns) to the first row of each content; body is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+
+        def records() -> Iterator[Record]:
+            nonlocal schema
+            for b in batches:
+                schema = pa.schema([b.schema.field("h"), *(b.schema.field(c) for c in names)])
+                for h, body, *row in zip(b["h"].to_pylist(), b["body"].to_pylist(), *(b[c].to_pylist() for c in names)):
+                    yield h, body.encode(), row
+
+        def order(row: list) -> tuple:
+            i, text = row[id_at], row[text_at]
+            return i is None, 0 if i is None else i, text is not None, text or "", repr(row)
+
+        def rows() -> Iterator[tuple]:
+            for g, row, whole in grace(records(), budget):
+                if whole:
+                    yield (g.h, *g.value)
+                elif g.value is None:
+                    g.value = row
+                    g.grow(len(row[text_at] or "") + 256)
+                elif order(row) < order(g.value):
+                    g.grow(len(row[text_at] or "") - len(g.value[text_at] or ""))
+                    g.value = row
+
+        held, size = [], 0
+        for row in rows():
+            held.append(row)
+            size += len(row[text_at + 1] or "") + 64
+            if len(held) >= _BATCH or size >= 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
     return run
 
@@ -195,3 +271,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("row_id").alias(id_col), "keep_id", "group_size",
         F.col("row_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"),
     )
+
+
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = MEMORY_BUDGET) -> DataFrame:
+    """The rows of docs that stay, one per text, with all their columns."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    rows = docs.toDF(*names)
+    schema = StructType([StructField("h", LongType()), *(StructField(f.name, f.dataType) for f in rows.schema)])
+    first = _first_rows(names, id_at, text_at, budget)
+
+    def reduced(table: DataFrame) -> DataFrame:
+        body = normalised(F.col(names[text_at]))
+        return table.select(F.xxhash64(body).alias("h"), body.alias("body"), *names).mapInArrow(first, schema)
+
+    # The first round leaves one row per text and partition; only these are shuffled.
+    return reduced(reduced(rows).repartition("h").select(names)).select(names).toDF(*docs.columns)

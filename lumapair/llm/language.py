@@ -4,16 +4,21 @@ A text is a bag of character n-grams drawn from a mixture of languages. For a se
 of languages, expectation-maximisation estimates the proportions; the set itself
 is chosen by penalised likelihood: from the best single language, languages join
 as long as the gain exceeds the penalty. The predicted language is the one with the
-largest proportion, the score that proportion.
+largest proportion; the score is that proportion times the probability, at equal odds
+beforehand, that the best single language is the right one. So a text whose n-grams
+tell the languages apart has the proportion as its score, and one without evidence
+one part in as many as there are languages.
 
 The models are smoothed n-gram distributions over hashed buckets, learned from
 labelled rows. Their sample is bounded by the parameters `most_docs` per language,
 drawn by a hash of the id, and whole texts of it are counted; the counts come to the
-driver as at most languages x buckets sums, and go to the tasks as one matrix of
-that size.
+driver as one packed array per language, and go to the tasks as one matrix of
+languages x buckets. `MOST_LANGUAGES` bounds that matrix; more labels than that are
+an error, since none may be left out.
 
 Defined results for odd input: text that is null or has no letter is `und` with
-score 0, like every text if nothing can be learned; ties go to the language first
+score 0, like every text if nothing can be learned (letters are what Unicode calls so);
+texts of any length are read whole, one at a time; ties go to the language first
 by code point; repeated rows are predicted each for itself; an empty table gives an
 empty result; other columns are ignored. Rows without a language or with a null id
 train nothing.
@@ -22,9 +27,10 @@ train nothing.
 from __future__ import annotations
 
 import pickle
-import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +48,12 @@ SMOOTHING = 0.02
 #: Log-likelihood that a further language must gain: PENALTY x log(n-grams) / 2 + a share of all n-grams.
 PENALTY, PENALTY_SHARE = 8.0, 0.01
 ROUNDS = 30
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
 def ngram_buckets(text: str) -> np.ndarray:
@@ -52,7 +63,7 @@ def ngram_buckets(text: str) -> np.ndarray:
 
 
 def buckets(points: np.ndarray) -> np.ndarray:
-    letter = (points >= 97) & (points <= 122) | (points > 170)
+    letter = _letters()[points]
     x = np.where(letter, points, np.uint32(32)).astype(np.uint64)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
@@ -74,7 +85,7 @@ class Model:
 
     def infer(self, text: str | None) -> tuple[str, float, dict[str, float]]:
         """(language, score, proportions of the chosen set)"""
-        if not text or not _LETTER.search(text) or not self.languages:
+        if not text or not any(map(str.isalpha, text)) or not self.languages:
             return UND, 0.0, {}
         ids, counts = np.unique(ngram_buckets(text), return_counts=True)
         p = self.p[:, ids]
@@ -100,7 +111,8 @@ class Model:
                     break
                 chosen, shares, best = trial, found, ll
         top = min(range(len(chosen)), key=lambda i: (-shares[i], self.languages[chosen[i]]))
-        return self.languages[chosen[top]], float(shares[top]), {self.languages[k]: float(s) for k, s in zip(chosen, shares)}
+        sure = 1.0 / float(np.exp(np.clip(logs - logs.max(), -700, 0)).sum())
+        return self.languages[chosen[top]], float(shares[top]) * sure, {self.languages[k]: float(s) for k, s in zip(chosen, shares)}
 
 
 def _expectation_maximisation(p: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, float]:
@@ -131,6 +143,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], ["lang", "bucket", "n"])
 
 
+def _packed_counts(rows: pa.Table) -> pa.Table:
+    own = np.zeros(1 << BUCKET_BITS, np.int64)
+    own[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return pa.table({"lang": [rows["lang"][0].as_py()], "counts": [own.tobytes()]})
+
+
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = MOST_DOCS) -> Model:
     """A model of the labelled rows for which `usable` is true."""
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
@@ -145,13 +163,11 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = rows.where(drawn < limit).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     got = sample.mapInArrow(_count, _COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # One row per language, its counts packed: languages x buckets numbers.
-    counts = {r["lang"]: r["c"] for r in got.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).collect()}
+    # One row per language, its counts packed in the task.
+    packed = got.groupBy("lang").applyInArrow(_packed_counts, "lang string, counts binary")
+    counts = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in packed.toLocalIterator()}
     languages = sorted(counts)
-    sums = np.zeros((len(languages), 1 << BUCKET_BITS))
-    for i, lang in enumerate(languages):
-        for bucket, n in counts[lang]:
-            sums[i, bucket] = n
+    sums = np.array([counts[lang] for lang in languages], float).reshape(len(languages), 1 << BUCKET_BITS)
     # Every language is smoothed by the mean of all, so that unseen n-grams favour none of them.
     own = sums / np.maximum(sums.sum(axis=1, keepdims=True), 1)
     common = own.mean(axis=0) + 1.0 / (1 << BUCKET_BITS)
@@ -179,13 +195,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return found.withColumnRenamed("_id", id_col)
 
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs, all columns, with _lang_pred added."""
-    packed = pickle.dumps(model)
+def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language can be told; text that is null or has no letter is rejected."""
+    packed, names = pickle.dumps(model), [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(packed)
         for b in batches:
-            yield b.append_column("_lang_pred", pa.array([own.infer(t)[0] for t in b[text_col].to_pylist()], pa.string()))
+            yield b.filter(pa.array([own.infer(t)[0] != UND for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.withColumn("_lang_pred", F.lit("").cast("string")).schema)
+    rows = docs.toDF(*names)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

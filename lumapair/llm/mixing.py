@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from lumapair.llm.ranks import numbered
 from lumapair.session import materialize
@@ -62,28 +63,44 @@ def offset(source: Column, seed: str = SEED) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST, seed: str = SEED) -> DataFrame:
-    """One row per row of docs: id_col, source, size, source_size, target, copies, taken (copies x size)."""
-    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, most: int, seed: str) -> DataFrame:
+    """id, source, text_hash, size, source_size, target, copies: one row per row of docs."""
+    text = F.col(f"`{text_col}`")
+    sizes = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.xxhash64(text).alias("text_hash"), n_words(text).alias("size"))
     sizes = materialize(sizes, "sizes")
     targets = materialize(source_targets(sizes, most), "targets")
     rows = targets.agg(F.sum("docs")).first()[0] or 0
-    placed = numbered(sizes, F.col("source"), [F.col("size"), F.col("id").asc_nulls_last()], "place", rows)
+    placed = numbered(sizes, F.col("source"), [F.col("size"), F.col("id").asc_nulls_last(), F.col("text_hash")], "place", rows)
     t = targets.select(F.col("source").alias("named"), "source_size", "target")
     # One row per source: Spark broadcasts it under its own size threshold, and else joins with skew handling.
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     u = offset(F.col("source"), seed)
     copies = F.floor((F.col("place") + 1) * rate + u) - F.floor(F.col("place") * rate + u)
-    joined = placed.join(t, F.col("source").eqNullSafe(F.col("named"))).withColumn("copies", copies.cast("long"))
+    return placed.join(t, F.col("source").eqNullSafe(F.col("named"))).withColumn("copies", copies.cast("long"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST, seed: str = SEED) -> DataFrame:
+    """One row per row of docs: id_col, source, size, source_size, target, copies, taken (copies x size)."""
+    joined = _mixed(docs, id_col, text_col, source_col, most, seed)
     return joined.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """Rows of docs, each as often as the mix takes it."""
-    taken = mix(docs, id_col, text_col, source_col, **options)
-    times = taken.groupBy(F.col(id_col).alias("_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    again = Window.partitionBy(id_col).orderBy(F.lit(0))
-    joined = docs.withColumn("_row", F.row_number().over(again)).join(times, F.col(id_col).eqNullSafe(F.col("_id")))
-    share = F.floor(F.col("_row") * F.col("_copies") / F.col("_rows")) - F.floor((F.col("_row") - 1) * F.col("_copies") / F.col("_rows"))
-    repeated = joined.withColumn("_share", share.cast("int")).where("_share > 0")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_share")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST, seed: str = SEED) -> DataFrame:
+    """Rows of docs, each as often as the mix takes it.
+
+    Rows find their copies by a key over id, source and text, so texts move once and null
+    ids are spread. Rows that share the key share its copies; only they are numbered.
+    """
+    taken = _mixed(docs, id_col, text_col, source_col, most, seed)
+    times = taken.groupBy(F.xxhash64("id", "source", "text_hash").alias("k")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    i, t, s = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col, source_col))
+    keyed = docs.toDF(*names).withColumn("k", F.xxhash64(i, s, F.xxhash64(t)))
+    joined = keyed.join(times, "k")
+    values = [F.col(f.name) if isinstance(f.dataType, AtomicType) else F.to_json(F.struct(f.name)) for f in joined.select(names).schema]
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(*values)))
+    share = F.floor(F.col("place") * F.col("copies") / F.col("rows")) - F.floor((F.col("place") - 1) * F.col("copies") / F.col("rows"))
+    alone = joined.where("rows = 1").select(*names, F.col("copies").alias("n"))
+    shared = joined.where("rows > 1").withColumn("place", place).select(*names, share.cast("long").alias("n")).where("n > 0")
+    again = alone.union(shared).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return again.select(names).toDF(*docs.columns)

@@ -8,9 +8,20 @@ chain of what it links, never all pairs. The number of blocks follows the number
 distinct fingerprints, so that shards of unrelated fingerprints stay small; every
 choice of it finds the same links.
 
+`near_groups` links documents by the similarity of their shingle sets, with SimHash and
+BK-trees as the search: documents that share one of their least shingle hashes meet in
+a shard, a BK-tree finds those within `reach` bits there, and the exact Jaccard
+similarity of the whole sets decides. A shard keeps a tree of its leaders (documents
+linked to no earlier leader, in a random order of its own), so a family costs its size
+times its leaders rather than all pairs. Shards above `shard_docs` are dealt into parts
+whose leaders meet again, until one part is left or leaders no longer grow fewer: such
+documents share a shingle and little else, and near copies among them meet in their
+other shards.
+
 Defined results for odd input: null and empty texts, and texts of white space
 only, have fingerprint zero and link like any other; fewer words than a shingle
-make one shingle; ties in a bit (set in exactly half) give 0; equal rows share a
+make one shingle (`near_groups` links no text without a word); texts of any length are
+read whole; ties in a bit (set in exactly half) give 0; equal rows share a
 fingerprint; an empty table gives an empty result; other columns are ignored.
 Ids must not be null; rows without one are left out of the result.
 """
@@ -27,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumapair.llm.components import connected_components
-from lumapair.session import materialize
+from lumapair.session import discard, materialize
 
 BITS, SEED = 64, 42
 #: Unrelated fingerprints that a shard holds on average, at most.
@@ -161,3 +172,164 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = connected_components(links)
     found = materialize(nodes.join(classes, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
     return prints.join(found, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Least shingle hashes by which a document looks for others. A pair of similarity s shares none of them with a chance of (1 - s) ^ KEYS.
+KEYS = 5
+#: Bits within which a BK-tree searches; at a similarity of 0.8 two fingerprints differ in 9.7 bits, and in more than 18 once in 1000.
+REACH = 18
+SHARD_DOCS = 1000
+#: A shard that its parts' leaders do not shrink to this share has no further round.
+SHRUNK = 0.75
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text, which stand for the shingles."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    k = min(shingle, len(words))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter({digest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)}, np.uint64))
+
+
+def _keys(shingle: int, keys: int):
+    """Documents to the least of their shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least = [shingle_set(t.as_py(), shingle)[:keys].view(np.int64).tolist() for t in b["text"]]
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(least, pa.list_(pa.int64()))], ["node", "keys"])
+
+    return run
+
+
+def _sets(shingle: int):
+    """Documents with their shards to the same with fingerprint and set; 32 bits of a hash tell the shingles of two documents apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, grams = [], []
+            for t in b["text"]:
+                fps.append(_signed(fingerprint(t.as_py(), shingle)))
+                grams.append(np.unique(shingle_set(t.as_py(), shingle).astype("<u4")).tobytes())
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array(fps, pa.int64()), b["shards"], pa.array(grams, pa.binary())], ["node", "fp", "shards", "grams"])
+
+    return run
+
+
+def leaders_and_links(nodes: list[int], fps: list[int], sets: list[np.ndarray], similarity: float, reach: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Positions of the leaders, and pairs of positions that are similar; each position is compared with all leaders before it that its group does not hold yet."""
+    leaders: list[int] = []
+    kids: list[dict[int, int]] = []
+    group = list(range(len(nodes)))
+    links: list[tuple[int, int]] = []
+
+    def root(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    for i in range(len(nodes)):
+        x, near = fps[i], []
+        stack = [0] if leaders else []
+        while stack:
+            j = stack.pop()
+            d = (x ^ fps[leaders[j]]).bit_count()
+            if d <= reach:
+                near.append((d, leaders[j]))
+            for e, k in kids[j].items():
+                if -reach <= e - d <= reach:
+                    stack.append(k)
+        linked = False
+        for _, j in sorted(near):
+            if root(i) == root(j):
+                continue
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+                continue
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if both >= similarity * (len(a) + len(b) - both):
+                links.append((i, j))
+                group[root(i)] = root(j)
+                linked = True
+        if linked:
+            continue
+        # A leader: it goes into the tree.
+        leaders.append(i)
+        kids.append({})
+        at = 0
+        while at != len(leaders) - 1:
+            d = (x ^ fps[leaders[at]]).bit_count()
+            at = kids[at].setdefault(d, len(leaders) - 1)
+    return leaders, links
+
+
+_FOUND = pa.schema([("what", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("grams", pa.binary())])
+
+
+def _part(similarity: float, reach: int):
+    """Rows of a part, sorted by (key, g) and a random order, to links (what 0: a, b) and, of shards in several parts, leaders (what 1: a is the node, b the size of its shard)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            nodes = t["node"].to_pylist()
+            fps = [x & (2**64 - 1) for x in t["fp"].to_pylist()]
+            sets = [np.frombuffer(x, "<u4") for x in t["grams"].to_pylist()]
+            leaders, links = leaders_and_links(nodes, fps, sets, similarity, reach)
+            n, none = len(links), [None] * len(links)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip([[0] * n, [nodes[i] for i, _ in links], [nodes[j] for _, j in links], none, none, none], _FOUND.types)], schema=_FOUND)
+            if t["parts"][0].as_py() > 1:
+                at = pa.array(leaders, pa.int64())
+                cols = [pa.array([1] * len(leaders), pa.int32()), t["node"].take(at), t["n"].take(at), t["key"].take(at), t["fp"].take(at), t["grams"].take(at)]
+                yield from pa.table([c if isinstance(c, pa.Array) else c.combine_chunks() for c in cols], schema=_FOUND).to_batches(2048)
+
+        for b in batches:
+            key, g = b["key"].to_numpy(), b["g"].to_numpy()
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (g[1:] != g[:-1])) + 1).tolist(), len(key)] if len(key) else [0]
+            for i, j in zip(edges, edges[1:]):
+                if held and now != (key[i], g[i]):
+                    yield from out()
+                    held = []
+                now = (key[i], g[i])
+                held.append(b.slice(i, j - i))
+        if held:
+            yield from out()
+
+    return run
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, keys: int = KEYS, reach: int = REACH, shard_docs: int = SHARD_DOCS
+) -> DataFrame:
+    """(node, component) of every id that is linked to another: component is the smallest id reachable over pairs of at least that similarity."""
+    texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    least = materialize(texts.mapInArrow(_keys(shingle, keys), "node long, keys array<long>"), "near-keys")
+    each = least.select(F.explode("keys").alias("key"), "node")
+    # Shards of one document tell nothing; of shards with the same documents, one is enough.
+    shards = each.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
+    shards = materialize(shards.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n"), "near-shards")
+    mine = materialize(each.join(shards, "key").groupBy("node").agg(F.collect_set(F.struct("key", "n")).alias("shards")), "near-members")
+    # Only documents that meet another are cut into shingles again, and send them.
+    named = texts.select(F.col("id").alias("node"), "text").join(mine, "node").select("node", "text", "shards")
+    sets = named.mapInArrow(_sets(shingle), "node long, fp long, shards array<struct<key:long,n:long>>, grams binary")
+    rows = sets.select(F.explode("shards").alias("s"), "node", "fp", "grams").select("s.key", "s.n", "node", "fp", "grams")
+    links, round_ = None, 0
+    while True:
+        dealt = rows.withColumn("parts", F.ceil(F.col("n") / shard_docs)).withColumn("g", F.pmod(F.xxhash64("node", F.lit(round_)), F.col("parts")))
+        dealt = dealt.repartition("key", "g").sortWithinPartitions("key", "g", F.xxhash64("node", "key"), "node")
+        found = materialize(dealt.mapInArrow(_part(similarity, reach), "what int, a long, b long, key long, fp long, grams binary"), "near-found")
+        pairs = found.where("what = 0").select("a", "b")
+        links = pairs if links is None else links.union(pairs)
+        leaders = found.where("what = 1").select("key", F.col("a").alias("node"), F.col("b").alias("before"), "fp", "grams")
+        counts = leaders.groupBy("key").agg(F.count("*").alias("n"), F.max("before").alias("before")).where(F.col("n") <= SHRUNK * F.col("before"))
+        counts = materialize(counts.select("key", "n"), "near-leaders")
+        if counts.isEmpty():
+            break
+        rows, round_ = leaders.join(counts, "key").select("key", "n", "node", "fp", "grams"), round_ + 1
+    discard(least, shards, mine)
+    return connected_components(links)
