@@ -3,15 +3,18 @@
 Unit vectors are dealt to overlapping cluster shards: each goes to its `overlap`
 nearest centres, and a shard that holds too many is dealt again with centres of its
 own, level by level. The nearest is its home. Each shard builds a flat proximity
-graph by robust pruning (a neighbour is dropped if another kept neighbour is closer
-to it by `alpha`). The adjacency lists of a vector from all its shards are united;
-they say which shards it leads to.
+graph: vectors are inserted in batches, the greedy search from the medoid over the
+graph so far names a vector's candidates, and robust pruning drops a candidate if a kept
+neighbour is closer to it by `alpha`; a second pass goes over the whole graph. The
+adjacency lists of a vector from all its shards are united; they say where it leads to.
 
 Vectors then walk over shards in rounds. A vector visits the homes of its nearest
-centres first. In a shard it is compared with every vector at home there, in double
-precision, and goes on to the shards that the united lists of those within the
-search range lead to; whoever it finds visits its home in turn. Rounds end when
-nobody has a shard left to go to, so a group of any size is walked through whole.
+centres first. In a shard, a greedy search starts at the medoid and expands the best
+vectors of its beam and every vector within the search range, until none is left. What
+it has met at `cosine` or more, in double precision, is a link. It goes on to the shards
+that the united lists of those within the search range lead to; whoever it finds visits
+its home in turn. Rounds end when nobody has a shard left to go to, so a group of any
+size is walked through whole.
 
 Equal vectors (bit for bit after scaling) are one node with a multiplicity, so a
 third of all rows being copies costs one node. A vector is counted in its home only,
@@ -24,16 +27,19 @@ Defined results for odd input: vectors that are null, zero, or hold null or non-
 components link with nothing and keep themselves; vectors of each length are a space
 of their own; repeated rows are vectors of their own and link with each other; ties in
 distance go to the smaller node; an empty table gives an empty result; other columns
-are ignored. Ids must not be null; rows without one are left out of the result.
+are ignored, whatever their names. Ids must not be null; rows without one are left out
+of the result.
 """
 
 from __future__ import annotations
 
 import pickle
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +52,16 @@ SHARD_ROWS, MOST_ROWS = 400, 2000
 OVERLAP, LEVELS = 2, 6
 #: Shards that a vector visits first, among the children of one shard.
 VISITS = 4
-#: Rows that centres are drawn from, at most about, over all shards too large for a task.
-CENTRE_SAMPLE = 200_000
+#: Bytes of vectors that centres are drawn from on the driver, at most about, over all shards too large for a task; centres are fewer.
+SAMPLE_BYTES = 64 << 20
 #: Rows of a shard that one task deals again by centres of its own, at most.
 TASK_ROWS = 20_000
-MOST_CENTRES = 4096
-DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
-#: Visitors compared with a shard at once.
-BLOCK = 1024
+MOST_CENTRES = 1024
+DEGREE, BEAM, ALPHA = 24, 32, 1.2
+#: Nodes of its beam that a search expands in a step.
+STEP = 6
+#: Searches that run side by side.
+BLOCK = 256
 #: How far beyond the radius the walk goes on, in cosine.
 SLACK = 0.1
 AUDITED = 200
@@ -65,47 +73,135 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def robust_prune(near: np.ndarray, sims: np.ndarray, x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[int]:
     """Neighbours kept of the candidates `near` (closest first) with cosines sims."""
-    kept: list[int] = []
-    alive = np.ones(len(near), bool)
-    dist = 1.0 - sims
-    for i in range(len(near)):
-        if not alive[i]:
-            continue
-        kept.append(int(near[i]))
-        if len(kept) == degree:
+    if not len(near):
+        return []
+    own = x[near]
+    # stays[i]: the candidates that stay when candidate i is kept
+    stays = alpha * (1.0 - own @ own.T) > 1.0 - sims
+    np.fill_diagonal(stays, False)
+    kept, alive, at = [], np.ones(len(near), bool), 0
+    while len(kept) < degree:
+        kept.append(at)
+        alive[at] = False
+        alive &= stays[at]
+        at = int(alive.argmax())
+        if not alive[at]:
             break
-        alive &= alpha * (1.0 - x[near] @ x[near[i]]) > dist
-    return kept
-
-
-def build_graph(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> list[list[int]]:
-    """Adjacency lists of a shard: pruned nearest candidates, and the reverse edges, pruned again."""
-    n = len(x)
-    if n < 2:
-        return [[] for _ in range(n)]
-    k = min(candidates, n - 1)
-    lists: list[list[int]] = []
-    for at in range(0, n, 512):
-        s = x[at : at + 512] @ x.T
-        s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        for row, near in zip(s, top):
-            near = near[np.lexsort((near, -row[near]))]
-            lists.append(robust_prune(near, row[near], x, degree, alpha))
-    reverse: list[set[int]] = [set(a) for a in lists]
-    for i, a in enumerate(lists):
-        for j in a:
-            reverse[j].add(i)
-    out = []
-    for i, a in enumerate(reverse):
-        near = np.fromiter(a, np.int64, len(a))
-        if len(near) > degree:
-            s = x[near] @ x[i]
-            order = np.lexsort((near, -s))
-            out.append(robust_prune(near[order], s[order], x, degree, alpha))
-        else:
-            out.append(sorted(a))
-    return out
+    return near[kept].tolist()
+
+
+class Graph:
+    """A flat proximity graph over unit vectors; row n of `lists` holds the neighbours of n, filled up with -1."""
+
+    def __init__(self, x: np.ndarray, degree: int = DEGREE) -> None:
+        self.x = x
+        self.lists = np.full((len(x), degree), -1, np.int32)
+        self.medoid = int((x @ x.mean(axis=0)).argmax()) if len(x) else 0
+        self._dense: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, x: np.ndarray, lists: list[np.ndarray]) -> Graph:
+        g = cls(x, max([1, *map(len, lists)]))
+        for i, a in enumerate(lists):
+            g.lists[i, : len(a)] = a
+        return g
+
+    def _reached(self, row: np.ndarray, node: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        """Which nodes the expanded nodes of each search lead to."""
+        if len(row) * 64 < shape[0] * shape[1]:
+            out = np.zeros(shape, bool)
+            to = self.lists[node]
+            has = to >= 0
+            out[np.broadcast_to(row[:, None], to.shape)[has], to[has]] = True
+            return out
+        if self._dense is None:
+            self._dense = np.zeros((len(self.x), len(self.x)), np.float32)
+            i, k = np.nonzero(self.lists >= 0)
+            self._dense[i, self.lists[i, k]] = 1
+        mask = np.zeros(shape, np.float32)
+        mask[row, node] = 1
+        return mask @ self._dense > 0
+
+    def search(self, q: np.ndarray, beam: int = BEAM, within: float = np.inf) -> np.ndarray:
+        """Cosines of each query with the nodes it met, -inf for the others: a greedy search from the medoid that ends when the best `beam` nodes and all within the range are expanded."""
+        n = len(self.x)
+        sims = np.full((len(q), n), -np.inf)
+        sims[:, self.medoid] = q @ self.x[self.medoid]
+        unread = np.zeros(sims.shape, bool)
+        unread[:, self.medoid] = True
+        active = np.arange(len(q))
+        while len(active):
+            own, fresh = sims[active], unread[active]
+            kth = np.partition(own, n - beam, axis=1)[:, n - beam] if n > beam else np.full(len(active), -np.inf)
+            open_ = np.where(fresh, own, -np.inf)
+            best = np.argpartition(-open_, min(STEP, n) - 1, axis=1)[:, : min(STEP, n)]
+            value = np.take_along_axis(open_, best, axis=1)
+            go = open_ >= within
+            r, c = np.nonzero((value >= kth[:, None]) & (value > -np.inf))
+            go[r, best[r, c]] = True
+            r, node = np.nonzero(go)
+            if not len(r):
+                break
+            unread[active[r], node] = False
+            new = self._reached(r, node, go.shape) & (own == -np.inf)
+            r, node = np.nonzero(new)
+            row = active[r]
+            if 8 * len(r) > new.size:
+                sims[row, node] = (q[active] @ self.x.T)[r, node]
+            else:
+                sims[row, node] = np.einsum("ij,ij->i", q[row], self.x[node])
+            unread[row, node] = True
+            active = active[go.any(axis=1)]
+        return sims
+
+
+def _linked(g: Graph, node: int, near: np.ndarray, sims: np.ndarray, degree: int) -> None:
+    kept = robust_prune(near, sims, g.x, degree)
+    g.lists[node] = -1
+    g.lists[node, : len(kept)] = kept
+
+
+def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int = 11) -> Graph:
+    """Robust-pruned graph of a shard, by greedy insertion: batches of doubling size, then all once more."""
+    # Reverse edges may fill half as much again before a list is pruned.
+    g, n = Graph(x, degree + degree // 2), len(x)
+    order = np.random.default_rng(seed).permutation(n)
+    order = np.concatenate(([g.medoid], order[order != g.medoid])) if n else order
+    size = np.zeros(n, np.int64)
+    steps, at = [], 1
+    while at < n:
+        steps.append(order[at : at + min(max(1, at // 2), BLOCK)])
+        at += len(steps[-1])
+    steps += [order[i : i + BLOCK] for i in range(0, n, BLOCK)] if n > 1 else []
+    for batch in steps:
+        sims = g.search(x[batch], beam)
+        back: dict[int, list[int]] = {}
+        for i, row in zip(batch.tolist(), sims):
+            row[i] = -np.inf
+            met = np.flatnonzero(row > -np.inf)
+            if len(met) > 2 * beam:
+                met = met[np.argpartition(-row[met], 2 * beam - 1)[: 2 * beam]]
+            met = np.union1d(met, (own := g.lists[i])[own >= 0])
+            cosine = row[met]
+            if not np.isfinite(cosine).all():
+                cosine = x[met] @ x[i]
+            rank = np.lexsort((met, -cosine))
+            _linked(g, i, met[rank], cosine[rank], degree)
+            size[i] = (g.lists[i] >= 0).sum()
+            for j in g.lists[i, : size[i]].tolist():
+                back.setdefault(j, []).append(i)
+        for j, more in back.items():
+            own = g.lists[j, : size[j]]
+            more = np.setdiff1d(more, own)
+            if size[j] + len(more) <= g.lists.shape[1]:
+                g.lists[j, size[j] : size[j] + len(more)] = more
+            else:
+                near = np.concatenate((own, more))
+                cosine = x[near] @ x[j]
+                rank = np.lexsort((near, -cosine))
+                _linked(g, j, near[rank], cosine[rank], degree)
+            size[j] = (g.lists[j] >= 0).sum()
+    return g
 
 
 def _valid(vec: F.Column) -> F.Column:
@@ -120,21 +216,28 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float64).reshape(len(col), -1)
 
 
-def _deal(x: np.ndarray, rank: np.ndarray, c: np.ndarray, first: int, visits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, rank) of rows in the nearest of the centres c, numbered from first; rank is the place of the centre (0: home)."""
+def _child(shard: int, k: int) -> int:
+    """Number of the k-th child of a shard."""
+    h = xxhash.xxh64_intdigest(struct.pack("<qq", shard, k), 5)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _deal(x: np.ndarray, rank: np.ndarray, c: np.ndarray, shard: int, visits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, rank) of rows in the nearest of the centres c; rank is the place of the centre (0: home)."""
     k = min(visits, len(c))
+    numbers = np.array([_child(shard, i) for i in range(len(c))], np.int64)
     top = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :k]
     at = np.broadcast_to(np.arange(k), top.shape)
     # Who is at home goes to all; a row of the graph to two, another to one.
     go = at < np.where(rank == 0, visits, np.where(rank < OVERLAP, OVERLAP, 1))[:, None]
-    return np.broadcast_to(np.arange(len(x))[:, None], top.shape)[go], first + top[go], np.maximum(at, rank[:, None])[go]
+    return np.broadcast_to(np.arange(len(x))[:, None], top.shape)[go], numbers[top[go]], np.maximum(at, rank[:, None])[go]
 
 
 def _nearest(packed: bytes, visits: int):
     """Rows to the same in the nearest centres of their shard, by centres known beforehand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres: dict[int, tuple[int, np.ndarray]] = pickle.loads(packed)
+        centres: dict[int, np.ndarray] = pickle.loads(packed)
         for b in batches:
             if not len(b):
                 continue
@@ -142,8 +245,7 @@ def _nearest(packed: bytes, visits: int):
             rows, to, place = [], [], []
             for s in np.unique(shard):
                 mine = np.flatnonzero(shard == s)
-                first, c = centres[int(s)]
-                row, child, rank = _deal(_matrix(b["v"].take(pa.array(mine))), b["rank"].to_numpy()[mine], c, first, visits)
+                row, child, rank = _deal(_matrix(b["v"].take(pa.array(mine))), b["rank"].to_numpy()[mine], centres[int(s)], int(s), visits)
                 rows.append(mine[row])
                 to.append(child)
                 place.append(rank)
@@ -156,26 +258,22 @@ def _nearest(packed: bytes, visits: int):
 
 
 def _split(visits: int, shard_rows: int):
-    """A whole shard, sorted by node, to the same in shards of its own centres, numbered from `first`."""
+    """A whole shard, sorted by node, to the same in shards of its own centres."""
 
     def each(b: pa.RecordBatch):
         x, rank = _matrix(b["v"]), b["rank"].to_numpy()
         graph = x[rank < OVERLAP]
-        c = _centres(graph, len(graph), shard_rows)
-        row, child, place = _deal(x, rank, c, int(b["first"][0].as_py()), visits)
+        row, child, place = _deal(x, rank, _centres(graph, len(graph), shard_rows), int(b["shard"][0].as_py()), visits)
         return b["node"].take(pa.array(row)), b["v"].take(pa.array(row)), child, place
 
     return each
 
 
-def _most_centres(rows: int, shard_rows: int) -> int:
-    return max(2, min(MOST_CENTRES - 1, -(-rows * OVERLAP // shard_rows)))
-
-
 def _centres(x: np.ndarray, rows: int, shard_rows: int, seed: int = 7) -> np.ndarray:
     """Spherical k-means centres for a shard of that many rows, of which x are a sample."""
     rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(_most_centres(rows, shard_rows), len(x)), replace=False)]
+    wanted = max(2, min(MOST_CENTRES, -(-rows * OVERLAP // shard_rows)))
+    c = x[rng.choice(len(x), min(wanted, len(x)), replace=False)]
     for _ in range(4):
         near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
         sums = np.zeros_like(c)
@@ -189,47 +287,41 @@ def shards(nodes: DataFrame, shard_rows: int = SHARD_ROWS, most_rows: int = MOST
     """(node, v, shard, rank) of nodes (node, v): rank 0 is a node's home, below OVERLAP are the shards whose graph it is in, all are visited.
 
     Vectors of each length start as a shard of their own. What LEVELS of dealing leave
-    too large is cut into blocks by hash, and its vectors visit all blocks.
+    too large is cut into blocks by hash, and its vectors visit all blocks. The driver
+    gets a sample of bounded size from the shards that are too large for a task, no more.
     """
-    spark = nodes.sparkSession
+    columns = ["node", "v", "shard", "rank"]
     now, done = nodes.select("node", "v", F.octet_length("v").cast("long").alias("shard"), F.lit(0).alias("rank")), None
-    free = None
+    split_schema = pa.schema([("node", pa.int64()), ("v", pa.binary()), ("shard", pa.int64()), ("rank", pa.int32())])
     for level in range(LEVELS + 1):
-        counts = {r["shard"]: r["count"] for r in now.where(F.col("rank") < OVERLAP).groupBy("shard").count().collect()}
-        free = max(counts, default=0) + 1 if free is None else free
-        big = {s: n for s, n in counts.items() if n > (shard_rows if level == 0 else most_rows)}
-        if not big:
+        sizes = now.where(F.col("rank") < OVERLAP).groupBy("shard").agg(F.count("*").alias("n"), F.max(F.octet_length("v")).alias("width"))
+        big = materialize(sizes.where(F.col("n") > (shard_rows if level == 0 else most_rows)), "large-shards")
+        huge_rows, width = big.agg(F.sum(F.when(F.col("n") > TASK_ROWS, F.col("n"))), F.max("width")).first()
+        if width is None:
             break
-        first = {}
-        for s in sorted(big):
-            first[s], free = free, free + _most_centres(big[s], shard_rows)
-        numbers = spark.createDataFrame([(s, n, first[s]) for s, n in big.items()], "shard long, n long, first long")
-        rest = now.join(F.broadcast(numbers), "shard", "left_anti").select(now.columns)
-        part = now.join(F.broadcast(numbers), "shard")
+        rest = now.join(big, "shard", "left_anti").select(columns)
+        part = now.join(big.select("shard", "n"), "shard")
         done = rest if done is None else done.union(rest)
         if level == LEVELS:
             blocks = F.ceil(F.col("n") / shard_rows)
             own = F.pmod(F.xxhash64("node"), blocks)
-            every = part.where("rank = 0").select("node", "v", "first", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
-            at_home = every.select("node", "v", (F.col("first") + F.col("block")).alias("shard"), F.when(F.col("own") == F.col("block"), 0).otherwise(OVERLAP).alias("rank"))
-            guests = part.where("rank > 0").select("node", "v", "rank", F.explode(F.sequence(F.col("first"), F.col("first") + blocks - 1)).alias("shard"))
-            now = materialize(at_home.union(guests.select("node", "v", "shard", F.greatest("rank", F.lit(OVERLAP)).alias("rank"))), "shards")
+            every = part.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            home = F.when((F.col("rank") == 0) & (F.col("own") == F.col("block")), 0).otherwise(F.greatest("rank", F.lit(OVERLAP)))
+            now = materialize(every.select("node", "v", F.xxhash64("shard", "block").alias("shard"), home.alias("rank")), "shards")
             break
-        small, huge = part.where(F.col("n") <= TASK_ROWS), part.where(F.col("n") > TASK_ROWS)
-        split_schema = pa.schema([("node", pa.int64()), ("v", pa.binary()), ("shard", pa.int64()), ("rank", pa.int32())])
+        small, huge = part.where(F.col("n") <= TASK_ROWS).select(columns), part.where(F.col("n") > TASK_ROWS)
         dealt = small.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_by_shard(_split(visits, shard_rows), split_schema), _DEALT)
-        if any(n > TASK_ROWS for n in big.values()):
-            share = min(1.0, CENTRE_SAMPLE / sum(n for n in big.values() if n > TASK_ROWS))
+        if huge_rows:
+            share = min(1.0, SAMPLE_BYTES / width / huge_rows)
             drawn = huge.where(F.col("rank") < OVERLAP).where(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
-            sample: dict[int, list[bytes]] = {}
-            for r in drawn.select("shard", "v").orderBy("shard", "node").collect():
-                sample.setdefault(r["shard"], []).append(bytes(r["v"]))
-            centres = {s: (first[s], _centres(np.frombuffer(b"".join(v), np.float64).reshape(len(v), -1), big[s], shard_rows)) for s, v in sample.items() if len(v) > 1}
-            drawn_of = spark.createDataFrame([(s,) for s in centres], "shard long")
-            columns = ["node", "v", "shard", "rank"]
-            chosen = huge.join(F.broadcast(drawn_of), "shard", "left_semi").select(columns).mapInArrow(_nearest(pickle.dumps(centres), visits), _DEALT)
+            sample: dict[int, tuple[int, list[bytes]]] = {}
+            for r in drawn.select("shard", "n", "v").orderBy("shard", "node").collect():
+                sample.setdefault(r["shard"], (r["n"], []))[1].append(bytes(r["v"]))
+            centres = {s: _centres(np.frombuffer(b"".join(v), np.float64).reshape(len(v), -1), n, shard_rows) for s, (n, v) in sample.items() if len(v) > 1}
+            known = nodes.sparkSession.createDataFrame([(s,) for s in centres], "shard long")
+            chosen = huge.join(known, "shard", "left_semi").select(columns).mapInArrow(_nearest(pickle.dumps(centres), visits), _DEALT)
             # A shard of which fewer than two rows were drawn waits for the next level as it is.
-            dealt = dealt.union(chosen).union(huge.join(F.broadcast(drawn_of), "shard", "left_anti").select(columns))
+            dealt = dealt.union(chosen).union(huge.join(known, "shard", "left_anti").select(columns))
         now = materialize(dealt, "shards")
     return now if done is None else done.union(now)
 
@@ -259,13 +351,18 @@ def _by_shard(each, schema: pa.Schema):
     return run
 
 
+_GRAPH = pa.schema([("shard", pa.int64()), ("node", pa.int64()), ("v", pa.binary()), ("near", pa.list_(pa.int64())), ("close", pa.list_(pa.int64()))])
+_GRAPH_DDL = "shard long, node long, v binary, near array<long>, close array<long>"
+
+
 def _build(within: float):
-    """A shard's nodes with those of their graph neighbours that are within the search range."""
+    """A shard's nodes with their graph neighbours, and those of them that are within the search range."""
 
     def each(b: pa.RecordBatch):
         x, node = _matrix(b["v"]), b["node"].to_numpy()
-        lists = [[j for j in a if x[i] @ x[j] >= within] for i, a in enumerate(build_graph(x))]
-        return node, [node[a].tolist() if a else [] for a in lists]
+        lists = [a[a >= 0] for a in build_graph(x).lists]
+        close = [a[x[a] @ x[i] >= within] for i, a in enumerate(lists)]
+        return b["shard"], b["node"], b["v"], [node[a].tolist() for a in lists], [node[a].tolist() for a in close]
 
     return each
 
@@ -276,24 +373,28 @@ _SUM, _LINK, _GO = range(3)
 
 
 class _Home:
-    """A shard's own nodes, compared with its visitors."""
+    """A shard's graph, searched by its visitors. Links count with the nodes at home; a guest leads to its own home."""
 
     def __init__(self, shard: int, b: pa.RecordBatch, cosine: float, within: float):
         self.shard, self.cosine, self.within = shard, cosine, within
-        self.x, self.node, self.times = _matrix(b["v"]), b["node"].to_numpy(), b["times"].to_numpy()
-        leads = [a or [] for a in b["leads"].to_pylist()]
-        self.to = np.array(sorted({t for a in leads for t in a} - {shard}), np.int64)
+        self.x, self.node = _matrix(b["v"]), b["node"].to_numpy()
+        homes = b["home"].to_numpy()
+        self.at_home = homes == shard
+        self.times = np.where(self.at_home, b["times"].to_numpy(), 0)
+        place = {n: i for i, n in enumerate(self.node.tolist())}
+        self.graph = Graph.of(self.x, [np.array([place[n] for n in a], np.int64) for a in b["near"].to_pylist()])
+        leads = [{h, *(a or [])} - {shard} for h, a in zip(homes.tolist(), b["leads"].to_pylist())]
+        self.to = np.array(sorted(set().union(*leads)), np.int64)
         self.leads = np.zeros((len(leads), len(self.to)), np.float32)
         for i, a in enumerate(leads):
-            a = np.array([t for t in a if t != shard], np.int64)
-            self.leads[i, np.searchsorted(self.to, a)] = 1
+            self.leads[i, np.searchsorted(self.to, np.array(sorted(a), np.int64))] = 1
         self.group = np.arange(len(self.node))
         self.back: dict[int, np.ndarray] = {}
 
     def meet(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x, node, home = _matrix(b["v"]), b["node"].to_numpy(), b["home"].to_numpy()
-        sims = x @ self.x.T
-        near = sims >= self.cosine
+        sims = self.graph.search(x, within=self.within)
+        near = (sims >= self.cosine) & self.at_home
         links = near @ self.times - (near & (node[:, None] == self.node)) @ self.times
         some = np.flatnonzero(links > 0)
         yield _told(_SUM, node[some], links[some])
@@ -357,18 +458,20 @@ def _meet(cosine: float, within: float):
 def _walk(dealt: DataFrame, nodes: DataFrame, cosine: float, slack: float) -> DataFrame:
     """What all shards tell (what, a, b) until no vector has a shard left to visit."""
     homes = dealt.where("rank = 0").select("node", F.col("shard").alias("home"))
-    lists_schema = pa.schema([("node", pa.int64()), ("near", pa.list_(pa.int64()))])
     graph = dealt.where(F.col("rank") < OVERLAP).select("node", "v", "shard").repartition("shard").sortWithinPartitions("shard", "node")
-    lists = graph.mapInArrow(_by_shard(_build(cosine - slack), lists_schema), "node long, near array<long>")
-    edges = lists.select(F.col("node").alias("from"), F.explode("near").alias("node"))
+    graph = materialize(graph.mapInArrow(_by_shard(_build(cosine - slack), _GRAPH), _GRAPH_DDL), "graph")
+    # The lists of a vector from all its shards, united.
+    edges = graph.select(F.col("node").alias("from"), F.explode("close").alias("node")).distinct()
     leads = edges.join(homes, "node").groupBy("from").agg(F.collect_set("home").alias("leads")).withColumnRenamed("from", "node")
-    base = materialize(nodes.select("node", "v", "times").join(homes, "node").join(leads, "node", "left"), "homes")
-    own = base.select(F.col("home").alias("shard"), F.lit(False).alias("visitor"), "node", "v", "times", "home", "leads")
+    facts = materialize(nodes.select("node", "times").join(homes, "node").join(leads, "node", "left"), "homes")
+    base = nodes.select("node", "v").join(facts.select("node", "times", "home"), "node")
+    own = graph.select("shard", "node", "v", "near").join(facts, "node").select("shard", F.lit(False).alias("visitor"), "node", "v", "times", "home", "leads", "near")
+    own = materialize(own, "own")
     new = materialize(dealt.select("node", "shard"), "visits")
     seen, told = new, None
     while True:
-        visitors = new.join(base.select("node", "v", "times", "home"), "node")
-        visitors = visitors.select("shard", F.lit(True).alias("visitor"), "node", "v", "times", "home", F.lit(None).cast("array<long>").alias("leads"))
+        none = F.lit(None).cast("array<long>")
+        visitors = new.join(base, "node").select("shard", F.lit(True).alias("visitor"), "node", "v", "times", "home", none.alias("leads"), none.alias("near"))
         # Shards without a visitor have nothing to tell.
         here = own if told is None else own.join(new.select("shard").distinct(), "shard", "left_semi").select(own.columns)
         both = here.union(visitors).repartition("shard").sortWithinPartitions("shard", "visitor")

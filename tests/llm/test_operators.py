@@ -265,9 +265,9 @@ def test_vectors_linked_through_a_larger_id_are_one_component(spark):
 def test_shards_drop_no_vector(spark, monkeypatch):
     x = np.random.default_rng(9).normal(size=(3000, 8))
     nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(vectors.unit(x))], "node long, v binary")
-    for task_rows, sample, levels in ((10, 40, 6), (10, 40, 1), (20_000, 200_000, 6)):
+    for task_rows, sample, levels in ((10, 40, 6), (10, 40, 1), (20_000, 1 << 20, 6)):
         monkeypatch.setattr(vectors, "TASK_ROWS", task_rows)
-        monkeypatch.setattr(vectors, "CENTRE_SAMPLE", sample)
+        monkeypatch.setattr(vectors, "SAMPLE_BYTES", sample * 64)
         monkeypatch.setattr(vectors, "LEVELS", levels)
         rows = vectors.shards(nodes, 20, 60).select("node", "shard", "rank").collect()
         homes = Counter(r["node"] for r in rows if r["rank"] == 0)
