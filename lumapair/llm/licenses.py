@@ -114,9 +114,11 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", negative
     rows = [(family, t) for family, ts in TEMPLATES.items() for t in ts]
     known = spark.createDataFrame(rows, "family string, line string")
     named = r"(?i)licen[sc]e|licensed|copyright|copyleft|spdx|all rights reserved|redistribut|\bgpl\b|\bmit\b"
-    # Whole lines of the first documents in hash order, a bounded number of documents and of their lines.
-    texts = docs.where(F.col(text_col).isNotNull()).orderBy(F.xxhash64(text_col), text_col).limit(negatives // 8)
-    lines = paragraphs(texts.withColumn("n", F.lit(0)), "n", text_col).where(~F.col("line").rlike(named))
+    # Whole lines of the distinct texts with the least hashes: the hashes alone find the bound, then only those texts move.
+    hashed = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("n"), F.col(text_col).alias("text"))
+    least = hashed.select("n").distinct().orderBy("n").limit(negatives // 8).agg(F.max("n")).first()[0]
+    texts = hashed.where(F.col("n") <= F.lit(least)).groupBy("n").agg(F.min("text").alias("text"))
+    lines = paragraphs(texts, "n", "text").where(~F.col("line").rlike(named))
     none = lines.orderBy(F.xxhash64("line"), "line").limit(negatives).select(F.lit(NONE).alias("family"), "line")
     plain = spark.createDataFrame([(NONE, "A line of plain text that is under no terms."), (NONE, "")], "family string, line string")
     # A bounded table, held in one partition: each step of the fit is then one short task.

@@ -3,14 +3,17 @@
 Equal texts form one atomic group. Groups are ordered by the first 64 bits of
 the SHA-256 of their text; shards are contiguous runs of this order, and the
 largest shard is as small as contiguous runs allow. The smallest feasible capacity is found by
-binary search with a greedy check. The driver never holds all groups: it works on
+binary search with a greedy check. Within that capacity, each cut is made where the
+running sum comes nearest to an equal share of what is left, as long as the rest still
+fits; groups larger than an equal share stand alone. The driver never holds all groups: it works on
 sums over ranges of keys. A range that is refined no further is one that no greedy
 cut can fall into for any capacity still in question; the others are split until
 what is left in them are single groups. Sums held are bounded by
 2^RANGE_BITS + MOST_SUMS per level.
 
 Defined results for odd input: null text counts as empty and falls into the group
-of empty texts; repeated rows and ids are rows of their own; fewer groups than
+of empty texts; a text of any length is one size; equal rows are slotted in any order;
+repeated rows and ids are rows of their own; fewer groups than
 shards leave shards empty; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -63,6 +66,41 @@ def smallest_capacity(sums: np.ndarray, most: int) -> int:
     return low
 
 
+def balanced(sums: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """Cuts (positions after the last item of each shard) of whole items into runs of at most capacity, near an equal share each."""
+    n, ends = len(sums), np.cumsum(sums)
+    total = int(ends[-1])
+    large = sums * shards > total
+    cuts, at, done = [], 0, 0
+    while at < n:
+        left = shards - len(cuts)
+        last = int(np.searchsorted(ends, done + capacity, "right"))
+        # The first place from which the rest fits into the shards that are left; later places are no worse.
+        low, high = at + 1, last
+        while low < high:
+            mid = (low + high) // 2
+            rest = ends[mid:] - ends[mid - 1]
+            if greedy(rest, capacity, left - 1) is None:
+                low = mid + 1
+            else:
+                high = mid
+        own = large[at:]
+        nxt = at + int(own.argmax()) if own.any() else n
+        if nxt == at:
+            want = at + 1
+        else:
+            share = int(sums[at:][~own].sum()) / max(1, left - int(own.sum()))
+            want = int(np.searchsorted(ends, done + share))
+            # Up to the item that passes the share, or without it, whichever is nearer.
+            if want < n and (want == at or ends[want] - done - share <= done + share - ends[want - 1]):
+                want += 1
+            want = min(want, nxt)
+        at = min(max(want, low), last)
+        cuts.append(at)
+        done = int(ends[at - 1])
+    return cuts
+
+
 def _possible_cuts(ends: np.ndarray, low: int, high: int, most: int) -> np.ndarray:
     """Items into which a greedy cut may fall for a capacity from low to high, if items could be cut anywhere within."""
     total, n = int(ends[-1]), len(ends)
@@ -111,7 +149,7 @@ def minimax_cuts(groups: DataFrame, shards: int = SHARDS, range_bits: int = RANG
         return 0, []
     sums = np.array([p[2] for p in parts], np.int64)
     capacity = smallest_capacity(sums, shards)
-    cuts = greedy(np.cumsum(sums), capacity, shards)
+    cuts = balanced(sums, capacity, shards)
     return capacity, [parts[c][0] - (1 << 63) for c in cuts[:-1]]
 
 

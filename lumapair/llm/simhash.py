@@ -4,7 +4,9 @@ Fingerprints within `radius` bits agree on at least one choice of `blocks - radi
 out of `blocks` blocks of bits. Each distinct fingerprint goes to one shard per
 choice; in a shard a BK-tree, its children keyed by their Hamming distance to the
 parent, is searched along edges within the radius only. A shard returns a spanning
-chain of what it links, never all pairs. The number of blocks follows the number of
+chain of what it links, never all pairs. A shard above `SPLIT_ROWS` is dealt into parts,
+and every two parts are searched together, so that no task holds more and no link is
+lost. The number of blocks follows the number of
 distinct fingerprints, so that shards of unrelated fingerprints stay small; every
 choice of it finds the same links.
 
@@ -43,6 +45,8 @@ from lumapair.session import discard, materialize
 BITS, SEED = 64, 42
 #: Unrelated fingerprints that a shard holds on average, at most.
 SHARD_ROWS = 64
+#: Fingerprints that one BK-tree holds, about; larger shards are searched part by part.
+SPLIT_ROWS = 4000
 _LANES = np.uint64(0x0101010101010101)
 _CHUNK = 255 * 256
 
@@ -160,7 +164,7 @@ def block_masks(distinct: int, radius: int, shard_rows: int = SHARD_ROWS) -> lis
     return [sum((1 << edges[i + 1]) - (1 << edges[i]) for i in c) for c in choices]
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """One row per row of docs: id_col, fingerprint (16 lowercase hex digits), component_id."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = materialize(texts.mapInArrow(_fingerprints(shingle), "id long, fp long"), "prints")
@@ -168,6 +172,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     masks = [_signed(m) for m in block_masks(nodes.count(), radius)]
     shards = nodes.select("fp", "node", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("p", "mask"))
     shards = shards.select(F.xxhash64("p", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"), "fp", "node")
+    large = materialize(shards.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > split_rows), "large-shards")
+    if not large.isEmpty():
+        parts = F.coalesce(F.ceil(2 * F.col("n") / split_rows), F.lit(1).cast("long"))
+        dealt = shards.join(large, "k", "left").withColumn("parts", parts).withColumn("t", F.pmod(F.xxhash64("fp", "k"), F.col("parts")))
+        both = dealt.withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("parts = 1 or t <> u")
+        shards = both.select(F.xxhash64("k", F.least("t", "u"), F.greatest("t", "u")).alias("k"), "fp", "node")
     links = shards.repartition("k").sortWithinPartitions("k", "fp").mapInArrow(_shard_links(radius), "a long, b long")
     classes = connected_components(links)
     found = materialize(nodes.join(classes, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -7,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lumapair.llm import exact_dedup, language, licenses, mixing, packing, pages, sharding, simhash, vectors, viterbi
@@ -55,6 +57,7 @@ def test_language(docs):
     assert got[1]["lang_pred"] == "en" and got[5]["lang_pred"] == "de"
     assert [got[i]["lang_pred"] for i in (3, 4, 8)] == ["und"] * 3
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert model.infer("漢漢漢漢")[1] < 1 and model.infer("«—»")[0] == "und" and model.infer("ª")[0] != "und"
     both = model.infer(ROWS[0][1] * 8 + ROWS[4][1] * 8)
     assert set(both[2]) == {"en", "de"} and sum(both[2].values()) == pytest.approx(1)
 
@@ -65,23 +68,44 @@ def test_exact_dedup_with_spills(docs):
         assert {(1, 1, 2, True), (2, 1, 2, False), (3, 3, 2, True), (4, 3, 2, False), (5, 5, 2, True)} <= got
 
 
-def test_simhash_against_brute_force(spark):
+def _simhash(text: str | None, k: int) -> int:
+    """By the definition, bit by bit."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    grams = [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << bit for bit in range(64) if 2 * sum(x >> bit & 1 for x in h) > len(h))
+
+
+def test_fingerprints_by_the_definition():
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice(["A", "b\x0bc", "É", "d\te", "Zz"], rng.integers(0, 40))) for _ in range(40)] + [None, "", "  ", "one TWO", "word " * 70_000]
+    for t in texts:
+        for k in (3, 5):
+            assert simhash.fingerprint(t, k) == _simhash(t, k)
+
+
+def test_simhash_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vocabulary = [f"w{i}" for i in range(50)]
     texts = [" ".join(rng.choice(vocabulary, 300)) for _ in range(12)]
     for t in list(texts):
-        w = t.split(" ")
-        w[5] = "changed"
-        texts.append(" ".join(w))
-    df = spark.createDataFrame(list(enumerate([*texts, None, "", "one"])), "doc_id long, text string")
-    fps = [simhash.fingerprint(t) for t in [*texts, None, "", "one"]]
+        for at in (5, 90):
+            w = t.split(" ")
+            w[at] = "changed"
+            texts.append(" ".join(w))
+    texts += [None, "", "one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = [_simhash(t, 3) for t in texts]
     root = list(range(len(fps)))
     for _ in fps:
         for i, j in combinations(range(len(fps)), 2):
             if (fps[i] ^ fps[j]).bit_count() <= 3:
                 root[i] = root[j] = min(root[i], root[j])
-    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.simhash_components(df).collect()}
-    assert got == {i: (f"{fps[i]:016x}", root[i]) for i in range(len(fps))}
+    assert len(set(root)) < len(root) - 10
+    for split_rows, shard_rows in ((4000, 64), (2, 64), (4000, 0)):  # the last takes the most blocks
+        monkeypatch.setattr(simhash.block_masks, "__defaults__", (shard_rows,))
+        got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.simhash_components(df, split_rows=split_rows).collect()}
+        assert got == {i: (f"{fps[i]:016x}", root[i]) for i in range(len(fps))}
 
 
 def test_minimax_cuts_against_dynamic_programming(spark):
@@ -97,6 +121,9 @@ def test_minimax_cuts_against_dynamic_programming(spark):
             best = np.array([min(max(best[j], ends[i] - ends[j]) for j in range(i + 1)) for i in range(n + 1)])
         assert capacity == best[n]
         shard = np.searchsorted(firsts, keys, "right")
+        got = [sizes[shard == s].sum() for s in range(shards)]
+        if n > 20 * shards:
+            assert max(got) - min(got) <= 3 * sizes.max()
         assert max(sizes[shard == s].sum() for s in set(shard.tolist())) == capacity
 
 
@@ -161,11 +188,39 @@ def test_packing(docs):
             at += length
         assert at <= 4096
     assert Counter(r["doc_id"] for r in rows)[5] == 2
+    whole = {i: np.frombuffer(IdCache(public_tokenizers.path("word_bpe_49k.json")).ids([t or ""])[0], "<u4").tolist() + [1] for i, t, *_ in ROWS}
+    for r in rows:
+        own = whole[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["start"] == 4096 * r["piece"] and len(own) == r["length"] and zlib.crc32(np.array(own, "<u4").tobytes()) == r["ids_crc32"]
+    assert len(rows) == sum(-(-len(whole[r[0]]) // 4096) for r in ROWS)
     lengths = np.sort(np.random.default_rng(5).integers(1, 4097, 3000))[::-1]
     b, _, gaps = packing.sum_of_squares(lengths)
     assert len(gaps) <= -(-int(lengths.sum()) // 4096) * 1.05 and np.bincount(b, lengths).max() <= 4096
 
 
+def test_sum_of_squares_by_the_definition():
+    rng = np.random.default_rng(15)
+    for _ in range(60):
+        capacity = int(rng.integers(3, 12))
+        lengths = rng.integers(1, capacity + 1, 30)
+        bins, offsets, gaps = packing.sum_of_squares(lengths, capacity)
+        open_: list[int] = []
+        for n, b, at in zip(lengths.tolist(), bins.tolist(), offsets.tolist()):
+
+            def after(k: int) -> int:
+                left = [g - n if i == k else g for i, g in enumerate([*open_, capacity])]
+                left = left if k == len(open_) else left[:-1]
+                return sum(c * c for g, c in Counter(left).items() if 0 < g)
+
+            best = min([after(k) for k, g in enumerate(open_) if g >= n] + [after(len(open_))])
+            assert at == capacity - (open_[b] if b < len(open_) else capacity)
+            assert after(b) == best
+            if b == len(open_):
+                open_.append(capacity)
+            open_[b] -= n
+        assert open_ == gaps.tolist()
+
+
 def test_packing_ends_when_no_sequence_closes(spark):
     for rows in ([(i, 0, 0, 3000, 7) for i in range(300)], [(1, 0, 0, 3000, 7)] * 300):
         pieces = vectors.materialize(spark.createDataFrame(rows, packing._PIECE), "pieces")
@@ -194,8 +249,8 @@ def test_pages(spark):
     plain = "<body><div>{n}</div><div>{own}</div>"
     rows = [(1, "http://h/1", html.format(n=nav)), (2, "http://h/2", plain.format(n=nav, own="only here")), (3, "http://h/3", plain.format(n=nav, own="another one")), (4, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for part_bytes in (1 << 20, 1):
-        got = {r["page_id"]: r["text"] for r in pages.main_texts(df, part_bytes=part_bytes).collect()}
+    for part_tokens in (1 << 20, 1):
+        got = {r["page_id"]: r["text"] for r in pages.main_texts(df, part_tokens=part_tokens).collect()}
         assert got == {1: "Hi\nA & b\nc\nd", 2: "only here", 3: "another one", 4: ""}
 
 
@@ -208,8 +263,8 @@ def test_pages_of_a_split_host_lose_the_same_runs(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     items = "\n".join(f"item{i}" for i in range(12))
     want = Counter([(i, f"own{i} text{i}") for i in range(9)] + [(20, "x"), (21, "own21"), (None, "alone"), (30, items), (30, items)])
-    for part_bytes in (1 << 20, 100, 1):
-        assert Counter((r["page_id"], r["text"]) for r in pages.main_texts(df, part_bytes=part_bytes).collect()) == want
+    for part_tokens in (1 << 20, 100, 1):
+        assert Counter((r["page_id"], r["text"]) for r in pages.main_texts(df, part_tokens=part_tokens).collect()) == want
 
 
 def test_suffix_array_against_brute_force():
@@ -223,7 +278,8 @@ def test_suffix_array_against_brute_force():
     for i, w in at:
         if len(windows[w]) > 1:
             want[i : i + 5] = True
-    assert (pages.repeated_runs(tokens, page, 5) == want).all()
+    assert (pages.covered_by(pages.run_pages(tokens, page, 5) > 1, 5) == want).all()
+    assert max(pages.run_pages(tokens, page, 5)) == max(len(v) for v in windows.values())
 
 
 def test_vectors_against_brute_force(spark):
