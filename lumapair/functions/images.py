@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 WINDOW, SIGMA, C1, C2 = 11, 1.5, 1e-4, 9e-4
@@ -26,40 +27,55 @@ def _filtered(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return sum(k * rows[..., i : i + x.shape[-1]] for i, k in enumerate(w))
 
 
-def ssim(a: np.ndarray, b: np.ndarray) -> float:
-    """Mean structural similarity of two arrays (channels, height, width)."""
+def ssim(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mean structural similarity of arrays (..., channels, height, width), one for each of the leading axes."""
     w = _window()
     ma, mb = _filtered(a, w), _filtered(b, w)
     va, vb, cov = _filtered(a * a, w) - ma * ma, _filtered(b * b, w) - mb * mb, _filtered(a * b, w) - ma * mb
-    return float((((2 * ma * mb + C1) * (2 * cov + C2)) / ((ma * ma + mb * mb + C1) * (va + vb + C2))).mean())
+    return (((2 * ma * mb + C1) * (2 * cov + C2)) / ((ma * ma + mb * mb + C1) * (va + vb + C2))).mean(axis=(-3, -2, -1))
 
 
 def sobel(x: np.ndarray) -> np.ndarray:
-    """Edge magnitude with zeros outside, per channel."""
-    p = np.pad(x, [(0, 0), (1, 1), (1, 1)])
-    smooth = lambda m: m[:, :-2] + 2 * m[:, 1:-1] + m[:, 2:]
-    gx = smooth(p)[:, :, 2:] - smooth(p)[:, :, :-2]
-    across = p[:, :, :-2] + 2 * p[:, :, 1:-1] + p[:, :, 2:]
-    gy = across[:, 2:] - across[:, :-2]
+    """Edge magnitude with zeros outside, over the last two axes."""
+    p = np.pad(x, [(0, 0)] * (x.ndim - 2) + [(1, 1), (1, 1)])
+    down = p[..., :-2, :] + 2 * p[..., 1:-1, :] + p[..., 2:, :]
+    across = p[..., :-2] + 2 * p[..., 1:-1] + p[..., 2:]
+    gx, gy = down[..., 2:] - down[..., :-2], across[..., 2:, :] - across[..., :-2, :]
     return np.sqrt(gx * gx + gy * gy + 1e-12)
 
 
-def edge_l1(a: np.ndarray, b: np.ndarray) -> float:
-    return float(np.abs(sobel(a) - sobel(b)).mean())
+def edge_l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.abs(sobel(a) - sobel(b)).mean(axis=(-3, -2, -1))
 
 
-def resized(x: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Antialiased bilinear resampling of (channels, height, width)."""
+def _linear(t: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, 1 - t)
+
+
+def _cubic(t: np.ndarray, a: float = -0.5) -> np.ndarray:
+    """Keys' cubic convolution kernel."""
+    near = (a + 2) * t**3 - (a + 3) * t**2 + 1
+    far = a * (t**3 - 5 * t**2 + 8 * t - 4)
+    return np.where(t < 1, near, np.where(t < 2, far, 0.0))
+
+
+def resized(x: np.ndarray, height: int, width: int, kernel: Callable[[np.ndarray], np.ndarray] = _linear) -> np.ndarray:
+    """Antialiased resampling of (channels, height, width); bilinear unless another kernel is given."""
 
     def weights(n: int, m: int) -> np.ndarray:
         scale = max(n / m, 1.0)
         centre = (np.arange(m) + 0.5) * n / m
-        w = np.maximum(0.0, 1 - np.abs((np.arange(n)[None] + 0.5 - centre[:, None]) / scale))
+        w = kernel(np.abs((np.arange(n)[None] + 0.5 - centre[:, None]) / scale))
         return w / w.sum(axis=1, keepdims=True)
 
     return np.einsum("ih,chw,jw->cij", weights(x.shape[1], height), x, weights(x.shape[2], width))
 
 
+def square(x: np.ndarray, size: int) -> np.ndarray:
+    """Bicubic to size x size, whatever the shape was; values stay in [0, 1]."""
+    return np.clip(resized(x, size, size, _cubic), 0.0, 1.0)
+
+
 def short_side_crop(x: np.ndarray, size: int) -> np.ndarray:
     """Short side to `size`, then the middle square of that size."""
     _, h, w = x.shape
@@ -69,16 +85,41 @@ def short_side_crop(x: np.ndarray, size: int) -> np.ndarray:
     return y[:, top : top + size, left : left + size]
 
 
-def with_pair_score(df: DataFrame, name: str, score: Callable[[np.ndarray, np.ndarray], float], a: str = "pred", b: str = "target", shape: tuple[int, int, int] = (1, 8, 8)) -> DataFrame:
-    """df with a double column `name`: score of two array columns as images of one shape; null if one is null or of another size."""
+def _stacked(col: pa.Array, size: int, shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column that hold `size` values, none of them null, as images; and which rows these are."""
+    whole = pc.fill_null(pc.equal(pc.list_value_length(col), size), False).to_numpy(zero_copy_only=False)
+    flat = col.filter(pa.array(whole)).flatten().cast(pa.float64())
+    full = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, size).any(axis=1)
+    whole[np.flatnonzero(whole)[~full]] = False
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, *shape)[full], whole
+
+
+def with_pair_score(df: DataFrame, name: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray], a: str = "pred", b: str = "target", shape: tuple[int, int, int] = (1, 8, 8)) -> DataFrame:
+    """df with a double column `name`: score of two array columns as images of one shape, a batch at a time; null if one is null, of another size or holds a null."""
     size = int(np.prod(shape))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x, y in zip(batch[a].to_pylist(), batch[b].to_pylist()):
-                whole = x is not None and y is not None and len(x) == len(y) == size
-                out.append(score(np.array(x, float).reshape(shape), np.array(y, float).reshape(shape)) if whole else None)
-            yield batch.append_column(name, pa.array(out, pa.float64()))
+            (x, has_x), (y, has_y) = (_stacked(batch[c], size, shape) for c in (a, b))
+            both = has_x & has_y
+            out = np.full(len(batch), np.nan)
+            out[both] = score(x[both[has_x]], y[both[has_y]])
+            yield batch.append_column(name, pa.array(out, pa.float64(), mask=~both))
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, DoubleType())]))
+
+
+def decoded(spark: SparkSession, path: str) -> DataFrame:
+    """path, height, width and values (red, green, blue planes, 0 to 1) of the images below path that Spark can decode."""
+    raw = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path).select("image.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for h, w, n, data in zip(*(b[c].to_pylist() for c in ("height", "width", "nChannels", "data"))):
+                x = np.frombuffer(data, np.uint8).reshape(h, w, n)
+                rgb = np.repeat(x, 3, axis=2) if n == 1 else x[:, :, 2::-1]
+                out.append((rgb.transpose(2, 0, 1) / 255.0).ravel())
+            yield pa.RecordBatch.from_arrays([b["origin"], b["height"], b["width"], pa.array(out, pa.list_(pa.float64()))], ["path", "height", "width", "values"])
+
+    return raw.mapInArrow(run, "path string, height int, width int, values array<double>")

@@ -38,3 +38,8 @@ def sub_dir(name: Column) -> Column:
 def checkpoint_step(name: Column) -> Column:
     """Step of a name checkpoint-<int>, else null."""
     return F.regexp_extract(name, r"^checkpoint-(\d+)$", 1).try_cast("long")
+
+
+def stamp(at: Column) -> Column:
+    """A time as a folder name."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")

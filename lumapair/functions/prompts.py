@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Prompts by weather that callers may override.
+# Default prompts by weather, which callers may override.
 PROMPTS = {
-    "rain": "remove rain from the image",
-    "snow": "remove snow from the image",
-    "haze": "remove haze from the image",
+    "rain": "rainy scene, rain streaks on the image, wet surfaces, overcast sky",
+    "snow": "snowy scene, snowflakes covering the image, cold atmosphere, white noise",
+    "haze": "hazy scene, foggy atmosphere, low visibility, grayish tone",
 }
 
 

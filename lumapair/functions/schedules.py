@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,16 @@ def total_loss(mse: Column, terms: list[tuple[float, Column]]) -> Column:
     for weight, term in terms:
         out = out + F.lit(weight) * F.coalesce(term, F.lit(0.0))
     return out
+
+
+def residual_index(block: Column, layers: int, residuals: int) -> Column:
+    """Which of `residuals` control outputs a block of `layers` takes."""
+    return F.floor(block / F.lit(layers / residuals)).cast("int")
+
+
+def with_sigma(df: DataFrame, schedule: DataFrame, timestep: str = "timestep", sigma: str = "sigma") -> DataFrame:
+    """df with the noise level of its timestep; a timestep that the schedule has not just once is an error."""
+    known = schedule.groupBy(timestep).agg(F.min(sigma).alias("_sigma"), F.count("*").alias("_n"))
+    found = df.join(known, timestep, "left")
+    fault = F.concat(F.lit("not one noise level for timestep "), F.col(timestep).cast("string"))
+    return found.withColumn(sigma, F.when(F.col("_n") == 1, F.col("_sigma")).otherwise(F.raise_error(fault))).drop("_sigma", "_n")

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Moments = tuple[float, np.ndarray, np.ndarray]
@@ -49,45 +50,75 @@ def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple, Moments] = {}
     for b in batches:
         keys, sides = b["key"].to_pylist(), b["side"].to_pylist()
+        f = b["f"]
+        lengths = pc.unique(pc.list_value_length(f)).drop_null().to_pylist()
+        if len(lengths) > 1:
+            raise ValueError(f"feature vectors of different lengths: {sorted(lengths)}")
         by: dict[tuple, list] = {}
-        for k, s, f in zip(keys, sides, b["f"].to_pylist()):
-            if f is not None:
-                by.setdefault((k, s), []).append(f)
+        x = f.drop_null().flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, *(lengths or [0]))
+        for i, at in enumerate(np.flatnonzero(f.is_valid().to_numpy(zero_copy_only=False)).tolist()):
+            by.setdefault((keys[at], sides[at]), []).append(i)
         for ks, rows in by.items():
-            own = moments(np.array(rows, float))
+            own = moments(x[rows])
             held[ks] = merged(held[ks], own) if ks in held else own
     cols = zip(*[(k, s, m[0], m[1].tobytes(), m[2].tobytes()) for (k, s), m in held.items()]) if held else [[]] * 5
-    types = [pa.string(), pa.string(), pa.float64(), pa.binary(), pa.binary()]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["key", "side", "n", "mean", "m2"])
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _PARTIAL_TYPES)], ["key", "side", "n", "mean", "m2"])
 
 
-def frechet(features: DataFrame, key: str, side: str, vector: str, sides: tuple[str, str]) -> DataFrame:
-    """(key, distance) per key: each task sends moments (d x d per key and side it meets), never vectors."""
+def _finish(sides: tuple[str, str] | None):
+    """Sorted rows of moments to one row per key and side (no sides given), or to the distance per key."""
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, {}, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Moments] = {}
+        now: tuple = ()
 
-        def close() -> None:
-            if held or out or now is not None:
-                out.append((now, distance(held.get(sides[0]), held.get(sides[1]))))
+        def out() -> pa.RecordBatch:
+            if sides:
+                return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([distance(held.get(sides[0]), held.get(sides[1]))], pa.float64())], ["key", "distance"])
+            rows = zip(*[(now[0], s, m[0], m[1].tobytes(), m[2].tobytes()) for s, m in held.items()])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _PARTIAL_TYPES)], ["key", "side", "n", "mean", "m2"])
 
-        started = False
         for b in batches:
             for k, s, n, mean, m2 in zip(*(b[c].to_pylist() for c in ("key", "side", "n", "mean", "m2"))):
-                if started and k != now:
-                    close()
+                if now and now != (k,):
+                    yield out()
                     held = {}
-                now, started = k, True
+                now = (k,)
                 d = np.frombuffer(mean)
                 own = (n, d, np.frombuffer(m2).reshape(len(d), len(d)))
                 held[s] = merged(held[s], own) if s in held else own
-        if started:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], ["key", "distance"])
+        if now:
+            yield out()
+
+    return run
+
+
+_PARTIAL_TYPES = [pa.string(), pa.string(), pa.float64(), pa.binary(), pa.binary()]
 
-    rows = features.select(F.col(key).cast("string").alias("key"), F.col(side).cast("string").alias("side"), F.col(vector).alias("f"))
-    partial = rows.mapInArrow(_partials, _PARTIAL)
-    return partial.repartition("key").sortWithinPartitions("key", "side").mapInArrow(finish, "key string, distance double")
+
+def key_moments(features: DataFrame, key: Column, side: str, vector: str) -> DataFrame:
+    """(key, side, n, mean, m2), one row per key and side: tasks send moments (d x d per key and side they meet), never vectors."""
+    rows = features.select(key.cast("string").alias("key"), F.col(side).cast("string").alias("side"), F.col(vector).alias("f"))
+    return rows.mapInArrow(_partials, _PARTIAL).repartition("key").sortWithinPartitions("key", "side").mapInArrow(_finish(None), _PARTIAL)
+
+
+def frechet(features: DataFrame, key: str, side: str, vector: str, sides: tuple[str, str]) -> DataFrame:
+    """(key, distance) per key."""
+    partial = key_moments(features, F.col(key), side, vector)
+    return partial.repartition("key").sortWithinPartitions("key", "side").mapInArrow(_finish(sides), "key string, distance double")
+
+
+def frechet_levels(features: DataFrame, group: str, sub: str, side: str, vector: str, sides: tuple[str, str]) -> DataFrame:
+    """(level, group, sub, distance) per sub-dataset, per group and overall. Features are read once; the levels above merge the moments below."""
+    key = F.to_json(F.array(F.col(group).cast("string"), F.col(sub).cast("string")))
+    names = F.from_json("key", "array<string>")
+    none = F.lit(None).cast("string")
+    levels = F.array(F.array(names[0], names[1], F.lit("sub")), F.array(names[0], none, F.lit("group")), F.array(none, none, F.lit("all")))
+    # One row per sub-dataset and side so far; each goes to its three levels.
+    lower = key_moments(features, key, side, vector)
+    spread = lower.withColumn("key", F.explode(F.transform(levels, lambda x: F.to_json(x))))
+    done = spread.repartition("key").sortWithinPartitions("key", "side").mapInArrow(_finish(sides), "key string, distance double")
+    return done.select(names[2].alias("level"), names[0].alias(group), names[1].alias(sub), "distance")
 
 
 def trace_terms(features: DataFrame, side: str, vector: str) -> DataFrame:

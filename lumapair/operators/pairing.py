@@ -55,3 +55,68 @@ def prompt_dictionary(df: DataFrame, prompt: str = "prompt", position: str = "po
     per = df.groupBy(prompt).agg(F.min(position).alias("first"), F.count("*").alias("n"))
     order = Window.orderBy("first")  # over distinct prompts, not over rows
     return per.select(prompt, "first", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"), (F.row_number().over(order) - 1).alias("prompt_id"))
+
+
+def head(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+    """The first rows overall; all, if the limit is None or not above 0."""
+    return df if limit is None or limit <= 0 else df.orderBy(*order).limit(limit)
+
+
+def sample(df: DataFrame, key: str, limit: int | None, seed: int) -> DataFrame:
+    """`limit` rows overall without replacement, the same for a seed."""
+    return head(df, [hash_order(F.col(key), seed), F.col(key)], limit)
+
+
+def seeded_sample_per_group(df: DataFrame, group: str, key: str, limit: int | None) -> DataFrame:
+    """`limit` rows of each group without replacement, by a seed that follows from the group's name."""
+    order = F.md5(F.concat(group_seed(F.col(group).cast("string")).cast("string"), F.lit(":"), F.col(key).cast("string")))
+    return _limited(df, group, [order, F.col(key)], limit)
+
+
+def numbered_in_group(df: DataFrame, group: str, order: list[Column], name: str = "image_index") -> DataFrame:
+    """df with the place of each row in its group, from 0. A group is a sub-dataset, whose files one task can number."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+
+
+def save_counts(sizes: DataFrame, config: dict, sub: str = "sub_name", group: str = "weather", n: str = "n") -> DataFrame:
+    """sizes (one row per sub-dataset) with `k`: how many images to save. <weather>_<sub>_num counts before <weather>_num; none set or below 0: all; nothing if save_predictions is off."""
+    if not config.get("save_predictions", True):
+        return sizes.withColumn("k", F.lit(0).cast("long"))
+    set_ = [x for name, v in config.items() if name.endswith("_num") and v is not None for x in (F.lit(name), F.lit(int(v)))]
+    table = F.create_map(*set_) if set_ else F.create_map(F.lit(""), F.lit(-1))
+    own = F.concat(F.col(group), F.lit("_"), F.regexp_replace(F.col(sub), r"^[^_]*_", ""), F.lit("_num"))
+    k = F.coalesce(F.try_element_at(table, own), F.try_element_at(table, F.concat(F.col(group), F.lit("_num"))), F.lit(-1))
+    return sizes.withColumn("k", F.when(k < 0, F.col(n)).otherwise(F.least(k.cast("long"), F.col(n))))
+
+
+def saved_images(images: DataFrame, counts: DataFrame, sub: str = "sub_name", at: str = "image_index", stem: str = "stem") -> DataFrame:
+    """The first k images of each sub-dataset with the names of their three files."""
+    kept = images.join(counts.select(sub, "k"), sub).where(F.col(at) < F.col("k")).drop("k")
+    base = F.concat(F.lpad(F.col(at).cast("string"), 3, "0"), F.lit("_"), F.col(stem).cast("string"))
+    return kept.withColumns({side: F.concat(base, F.lit(f"_{side}.png")) for side in ("pred", "lq", "gt")})
+
+
+def with_lookup(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """df with what `known` has for its key (embeddings of prompts, say); a key that is not there once is an error."""
+    once = known.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
+    found = df.join(once, key, "left")
+    fault = F.concat(F.lit("not one row for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    checked = found.withColumn("_n", F.when(F.col("_n") == 1, F.col("_n")).otherwise(F.raise_error(fault)))
+    return checked.where("_n = 1").drop("_n")
+
+
+def matched(images: DataFrame, prompts: DataFrame, at: str = "at") -> DataFrame:
+    """Images with prompts: by place if there are as many, or one of one side with all of the other; the lists are given by hand and short."""
+    n, m = images.count(), prompts.count()
+    if n == m:
+        return images.join(prompts, at)
+    if n == 1:
+        return prompts.crossJoin(F.broadcast(images.drop(at)))
+    if m == 1:
+        return images.crossJoin(F.broadcast(prompts.drop(at)))
+    raise ValueError(f"{n} images and {m} prompts: one of either, or as many of both, are needed")
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows in an order that a seed decides."""
+    return df.orderBy(hash_order(F.col(key), seed), key)

@@ -1,8 +1,8 @@
 """Registered queries of the evaluation side, each with the SQL that must give the same rows.
 
 The test tables hold no images: an embedding stands for an 8 x 8 patch with values
-(x + 1) / 2, its target is the next patch of the same label. Label is the weather,
-vec_id % 3 the sub-dataset. Runs over seeds come from lineitem (see FIXTURES.md).
+(x + 1) / 2, its target is the next patch of the same label among 200 ids. Label is the
+weather, vec_id % 3 the sub-dataset. Runs over seeds come from lineitem (see FIXTURES.md).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumapair.functions import images, paths, pixels, prompts, schedules
 from lumapair.operators import frechet, pairing, quality, reports
-from lumapair.sources import sinks, trees
+from lumapair.sources import config, sinks, trees
 from lumapair.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,12 +39,12 @@ def _r(c, digits: int = 6):
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, weather, sub, pred, target"""
     own = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("weather"), (F.col("vec_id") % 3).alias("sub"), pixels.unit_range(F.col("embedding")).alias("pred"))
-    following = F.lead("pred").over(Window.partitionBy("weather").orderBy("vec_id"))
+    following = F.lead("pred").over(Window.partitionBy("weather", F.floor(F.col("vec_id") / 200)).orderBy("vec_id"))
     return own.withColumn("target", following).where("target IS NOT NULL")
 
 
 _PATCHES = """p AS (SELECT vec_id, label AS weather, vec_id % 3 AS sub, list_transform(embedding, lambda x: least(greatest((x::DOUBLE + 1) / 2, 0.0::DOUBLE), 1.0::DOUBLE)) AS pred FROM embeddings),
-    q AS (SELECT *, lead(pred) OVER (PARTITION BY weather ORDER BY vec_id) AS target FROM p),
+    q AS (SELECT *, lead(pred) OVER (PARTITION BY weather, vec_id // 200 ORDER BY vec_id) AS target FROM p),
     e AS (SELECT vec_id, weather, sub, list_transform(range(1, len(pred) + 1), lambda i: pred[i] - target[i]) AS d FROM q WHERE target IS NOT NULL),
     m AS (SELECT vec_id, weather, sub, d, list_avg(list_transform(d, lambda v: v * v)) AS mse FROM e),
     s AS (SELECT vec_id, weather, sub, d, mse, CASE WHEN mse <= 1e-12 THEN 100.0 ELSE -10 * log10(mse) END::DOUBLE AS psnr FROM m)"""
@@ -78,7 +78,7 @@ def _prompted(spark, sf_dir):
 
 
 _PROMPTED = """w AS (SELECT doc_id, ['rain', 'snow', 'haze'][doc_id % 3 + 1] AS weather, concat(source, '/', doc_id) AS path FROM documents),
-    x AS (SELECT doc_id, weather, CASE WHEN (concat('0x', left(md5(path), 8))::BIGINT % 1000000) / 1000000.0::DOUBLE < 0.2 THEN concat('remove ', weather, ' from the image') ELSE '' END AS prompt FROM w)"""
+    x AS (SELECT doc_id, weather, CASE WHEN (concat('0x', left(md5(path), 8))::BIGINT % 1000000) / 1000000.0::DOUBLE < 0.2 THEN CASE weather WHEN 'rain' THEN 'rainy scene, rain streaks on the image, wet surfaces, overcast sky' WHEN 'snow' THEN 'snowy scene, snowflakes covering the image, cold atmosphere, white noise' ELSE 'hazy scene, foggy atmosphere, low visibility, grayish tone' END ELSE '' END AS prompt FROM w)"""
 
 
 @query(f"WITH {_PROMPTED} SELECT doc_id, weather, prompt FROM x")
@@ -103,20 +103,70 @@ def psnr_pooled(spark, sf_dir):
     return per.groupBy("weather").agg(_r(pixels.psnr_of(F.avg("mse"))).alias("psnr_pooled"))
 
 
-@query()
+_PIXELS = """px AS (SELECT vec_id, unnest(range(0, 64)) AS m, unnest(pred) AS a, unnest(target) AS b FROM q WHERE target IS NOT NULL),
+    nb AS (SELECT k, m, k // 8 - m // 8 AS dy, k % 8 - m % 8 AS dx FROM (SELECT unnest(range(0, 64)) AS k), (SELECT unnest(range(0, 64)) AS m))"""
+_SSIM = """g AS (SELECT k, m, exp(-(dy * dy + dx * dx) / 4.5::DOUBLE) / (SELECT pow(sum(exp(-(d * d) / 4.5::DOUBLE)), 2) FROM (SELECT unnest(range(-5, 6)) AS d)) AS w FROM nb WHERE abs(dy) <= 5 AND abs(dx) <= 5),
+    f AS (SELECT vec_id, k, sum(w * a) AS ma, sum(w * b) AS mb, sum(w * a * a) AS aa, sum(w * b * b) AS bb, sum(w * a * b) AS ab FROM px JOIN g ON px.m = g.m GROUP BY vec_id, k),
+    ss AS (SELECT vec_id, avg(((2 * ma * mb + 1e-4) * (2 * (ab - ma * mb) + 9e-4)) / ((ma * ma + mb * mb + 1e-4) * (aa - ma * ma + bb - mb * mb + 9e-4))) AS ssim FROM f GROUP BY vec_id)"""
+
+
+@query(f"WITH {_PATCHES}, {_PIXELS}, {_SSIM} SELECT vec_id, round(ssim, 6) AS ssim FROM ss")
 def ssim_per_sample(spark, sf_dir):
     ship(spark)
     scored = images.with_pair_score(patches(spark, sf_dir).select("vec_id", "pred", "target"), "ssim", images.ssim)
     return scored.select("vec_id", _r("ssim").alias("ssim"))
 
 
-@query()
+@query(
+    f"""WITH {_PATCHES}, {_PIXELS}, e1 AS (SELECT vec_id, k, sum(a * -dx * (2 - abs(dy))) AS ax, sum(a * -dy * (2 - abs(dx))) AS ay, sum(b * -dx * (2 - abs(dy))) AS bx, sum(b * -dy * (2 - abs(dx))) AS by_
+        FROM px JOIN nb ON px.m = nb.m WHERE abs(dy) <= 1 AND abs(dx) <= 1 GROUP BY vec_id, k)
+    SELECT vec_id, round(avg(abs(sqrt(ax * ax + ay * ay + 1e-12) - sqrt(bx * bx + by_ * by_ + 1e-12))), 6) AS edge_l1 FROM e1 GROUP BY vec_id"""
+)
 def sobel_edge_l1(spark, sf_dir):
     ship(spark)
     scored = images.with_pair_score(patches(spark, sf_dir).select("vec_id", "pred", "target"), "edge_l1", images.edge_l1)
     return scored.select("vec_id", _r("edge_l1").alias("edge_l1"))
 
 
+def per_image(spark, sf_dir):
+    """vec_id, weather, sub_name, psnr, ssim, lpips (NaN for each tenth), infer_time"""
+    a, b = F.col("pred"), F.col("target")
+    scored = images.with_pair_score(patches(spark, sf_dir), "ssim", images.ssim)
+    lpips = F.when(F.col("vec_id") % 10 == 0, float("nan")).otherwise(pixels.l1(a, b))
+    name = F.concat(F.lit("w"), F.col("weather").cast("string"), F.lit("_"), F.col("sub").cast("string"))
+    return scored.select("vec_id", "weather", name.alias("sub_name"), pixels.psnr(a, b).alias("psnr"), "ssim", lpips.alias("lpips"), (F.col("vec_id") % 7 / 10.0).alias("infer_time"))
+
+
+_IMAGES = f"""{_PATCHES}, {_PIXELS}, {_SSIM}, im AS (SELECT s.vec_id, weather, concat('w', weather, '_', sub) AS sub_name, psnr, ssim, CASE WHEN s.vec_id % 10 <> 0 THEN list_avg(list_transform(d, lambda v: abs(v))) END AS lpips, s.vec_id % 7 / 10.0::DOUBLE AS infer_time FROM s JOIN ss ON s.vec_id = ss.vec_id)"""
+
+
+@query(
+    f"""WITH {_IMAGES} SELECT weather, sub_name, count(*) AS n, round(avg(psnr), 6) AS psnr, round(avg(ssim), 6) AS ssim, round(avg(lpips), 6) AS lpips, CASE WHEN grouping(weather) = 0 THEN round(avg(infer_time), 6) END AS avg_time,
+    CASE grouping(weather) + grouping(sub_name) WHEN 0 THEN 'sub' WHEN 1 THEN 'group' ELSE 'all' END AS level FROM im GROUP BY GROUPING SETS ((weather, sub_name), (weather), ())"""
+)
+def metrics_report(spark, sf_dir):
+    ship(spark)
+    return reports.metrics_report(per_image(spark, sf_dir)).withColumns({c: _r(c) for c in ("psnr", "ssim", "lpips", "avg_time")})
+
+
+@query(
+    f"""WITH {_IMAGES}, w AS (SELECT weather, avg(psnr) AS psnr, avg(ssim) AS ssim FROM im GROUP BY weather)
+    SELECT 500::BIGINT AS step, concat('val/', weather, '/psnr') AS key, round(psnr, 6) AS value FROM w UNION ALL SELECT 500, concat('val/', weather, '/ssim'), round(ssim, 6) FROM w
+    UNION ALL SELECT 500, 'val/avg_psnr', round(avg(psnr), 6) FROM w UNION ALL SELECT 500, 'val/avg_ssim', round(avg(ssim), 6) FROM w"""
+)
+def step_scalars(spark, sf_dir):
+    ship(spark)
+    report = reports.metrics_report(per_image(spark, sf_dir)).where("level = 'group'")
+    return reports.step_scalars(report.select(F.col("weather").cast("string").alias("weather"), "psnr", "ssim"), 500).withColumn("value", _r("value"))
+
+
+@query("SELECT coalesce(round(avg(value), 6), 0) AS value, 0.0::DOUBLE AS none FROM events")
+def pair_means(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    none = reports.pair_means(e.where("event_id < 0").select(F.col("value").alias("none")), ["none"])
+    return reports.pair_means(e, ["value"]).select(_r("value").alias("value")).crossJoin(none)
+
+
 @query(
     f"""WITH {_PATCHES} SELECT weather, sub, count(*) AS n, round(avg(psnr), 6) AS mean_psnr,
     CASE grouping(weather) + grouping(sub) WHEN 0 THEN 'sub' WHEN 1 THEN 'group' ELSE 'all' END AS level FROM s GROUP BY GROUPING SETS ((weather, sub), (weather), ())"""
@@ -138,11 +188,11 @@ def nan_skipping_mean(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(_r(reports.nan_mean(score), 4).alias("mean_score"))
 
 
-_RUNS = "r AS (SELECT l_orderkey AS image, l_orderkey % 4 AS grp, l_linenumber AS seed, l_linenumber - 1 AS seed_pos, avg(l_extendedprice) / 1000 AS score FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+_RUNS = "r AS (SELECT l_orderkey AS image, l_orderkey % 4 AS grp, l_linenumber AS seed, l_linenumber - 1 AS seed_pos, avg(l_extendedprice) / 999.1::DOUBLE AS score FROM lineitem GROUP BY l_orderkey, l_linenumber)"
 
 
 def runs(spark, sf_dir):
-    per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("seed")).agg((F.avg("l_extendedprice") / 1000).alias("score"))
+    per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("seed")).agg((F.avg("l_extendedprice") / 999.1).alias("score"))
     return per.withColumn("grp", F.col("image") % 4).withColumn("seed_pos", F.col("seed") - 1)
 
 
@@ -193,6 +243,68 @@ def sweep_stats(spark, sf_dir):
     return reports.sweep_stats(per, "score", "pos").withColumns({c: _r(c, 7) for c in ("score_mean", "score_std", "score_min", "score_max")})
 
 
+_SEEDS = """l AS (SELECT *, l_orderkey % 4 AS z FROM lineitem), rr AS (SELECT concat('s', z) AS subdataset, ['rain', 'snow', 'haze'][z % 3 + 1] AS weather, l_orderkey AS image_index, l_linenumber AS seed, l_linenumber - 1 AS seed_pos,
+        l_linenumber * 1.5::DOUBLE AS elapsed_sec, avg(l_extendedprice) / 99991 AS psnr, avg(l_discount) / 0.99991 AS ssim, CASE WHEN min(l_quantity) >= 3 THEN avg(l_tax) / 0.99991 END AS lpips, avg(l_quantity) / 50 AS diversity
+        FROM l GROUP BY z, l_orderkey, l_linenumber),
+    lq AS (SELECT concat('s', z) AS subdataset, l_orderkey AS image_index, avg(l_extendedprice) / 199982 AS lq_psnr, avg(l_discount) / 2 AS lq_ssim, avg(l_tax) * 2 AS lq_lpips FROM l GROUP BY z, l_orderkey),
+    lm AS (SELECT subdataset, avg(lq_psnr) AS lq_mean_psnr, avg(lq_ssim) AS lq_mean_ssim, avg(lq_lpips) AS lq_mean_lpips FROM lq GROUP BY subdataset),
+    st AS (SELECT subdataset, weather, seed, max(elapsed_sec) AS elapsed_sec, avg(psnr) AS mean_psnr, avg(ssim) AS mean_ssim, avg(lpips) AS mean_lpips, CASE WHEN min(seed_pos) = 0 THEN 0.0 ELSE avg(diversity) END AS mean_diversity_lpips_vs_seed0
+        FROM rr GROUP BY subdataset, weather, seed),
+    it AS (SELECT subdataset, weather, image_index, avg(psnr) AS psnr_mean, stddev_pop(psnr) AS psnr_std, max(psnr) - min(psnr) AS psnr_range, stddev_pop(ssim) AS ssim_std, max(ssim) - min(ssim) AS ssim_range,
+        stddev_pop(lpips) AS lpips_std, max(lpips) - min(lpips) AS lpips_range, arg_min(seed, (-psnr, seed_pos)) AS best_psnr_seed, arg_min(seed, (psnr, seed_pos)) AS worst_psnr_seed, max(psnr) AS best_psnr, min(psnr) AS worst_psnr,
+        max(psnr) - avg(psnr) AS oracle_psnr_gain FROM rr GROUP BY subdataset, weather, image_index)"""
+
+
+def seed_scores(spark, sf_dir):
+    """Runs over images and seeds, the scores of the degraded inputs, and paths; all from lineitem."""
+    z = F.col("l_orderkey") % 4
+    own = table(spark, sf_dir, "lineitem").select("*", F.concat(F.lit("s"), z.cast("string")).alias("subdataset"), F.element_at(F.array(F.lit("rain"), F.lit("snow"), F.lit("haze")), (z % 3 + 1).cast("int")).alias("weather"), F.col("l_orderkey").alias("image_index"))
+    lpips = F.when(F.min("l_quantity") >= 3, F.avg("l_tax") / 0.99991).otherwise(float("nan"))
+    per = own.groupBy("subdataset", "weather", "image_index", F.col("l_linenumber").alias("seed")).agg((F.avg("l_extendedprice") / 99991).alias("psnr"), (F.avg("l_discount") / 0.99991).alias("ssim"), lpips.alias("lpips"), (F.avg("l_quantity") / 50).alias("diversity"))
+    lq = own.groupBy("subdataset", "image_index").agg((F.avg("l_extendedprice") / 199982).alias("lq_psnr"), (F.avg("l_discount") / 2).alias("lq_ssim"), (F.avg("l_tax") * 2).alias("lq_lpips"))
+    files = lq.select("subdataset", "image_index", F.concat(F.lit("lq/"), "image_index").alias("lq_path"), F.concat(F.lit("gt/"), "image_index").alias("gt_path"))
+    return per.withColumn("seed_pos", F.col("seed") - 1).withColumn("elapsed_sec", F.col("seed") * 1.5), lq, files
+
+
+_SEED_COLUMNS = ["elapsed_sec", "mean_psnr", "mean_ssim", "mean_lpips", "mean_diversity_lpips_vs_seed0", "lq_mean_psnr", "lq_mean_ssim", "lq_mean_lpips"]
+_IMAGE_COLUMNS = ["psnr_mean", "psnr_std", "psnr_range", "ssim_std", "ssim_range", "lpips_std", "lpips_range", "best_psnr", "worst_psnr", "oracle_psnr_gain"]
+_SUMMARY_COLUMNS = ["psnr_mean", "psnr_std", "ssim_mean", "ssim_std", "lpips_mean", "lpips_std", "diversity_lpips_mean", "diversity_lpips_max", "lq_mean_psnr", "lq_mean_ssim", "lq_mean_lpips", "per_image_psnr_range_mean", "per_image_oracle_psnr_gain_mean", "images_with_psnr_range_ge_0_5_pct"]
+
+
+def _rounded(names: list[str], digits: int = 6) -> str:
+    return ", ".join(f"round({c}, {digits}) AS {c}" for c in names)
+
+
+@query(f"WITH {_SEEDS} SELECT st.subdataset, weather, seed, {_rounded(_SEED_COLUMNS)} FROM st JOIN lm ON st.subdataset = lm.subdataset")
+def seed_table(spark, sf_dir):
+    per, lq, _ = seed_scores(spark, sf_dir)
+    return reports.seed_table(per, lq).withColumns({c: _r(c) for c in _SEED_COLUMNS})
+
+
+def _image_table(spark, sf_dir):
+    per, _, files = seed_scores(spark, sf_dir)
+    return reports.image_table(per, files)
+
+
+@query(f"WITH {_SEEDS} SELECT subdataset, weather, image_index, concat('lq/', image_index) AS lq_path, concat('gt/', image_index) AS gt_path, {_rounded(_IMAGE_COLUMNS).replace('round(lpips_std, 6)', 'coalesce(round(lpips_std, 6), -1)').replace('round(lpips_range, 6)', 'coalesce(round(lpips_range, 6), -1)')}, best_psnr_seed, worst_psnr_seed FROM it")
+def image_table(spark, sf_dir):
+    """Images without a score in lpips have NaN there, shown as -1."""
+    out = _image_table(spark, sf_dir).withColumns({c: _r(c) for c in _IMAGE_COLUMNS})
+    return out.withColumns({c: F.nanvl(c, F.lit(-1.0)) for c in ("lpips_std", "lpips_range")})
+
+
+@query(
+    f"""WITH {_SEEDS}, sm AS (SELECT st.subdataset, weather, avg(mean_psnr) AS psnr_mean, stddev_pop(mean_psnr) AS psnr_std, avg(mean_ssim) AS ssim_mean, stddev_pop(mean_ssim) AS ssim_std, avg(mean_lpips) AS lpips_mean, stddev_pop(mean_lpips) AS lpips_std,
+        avg(mean_diversity_lpips_vs_seed0) FILTER (seed <> 1) AS diversity_lpips_mean, max(mean_diversity_lpips_vs_seed0) FILTER (seed <> 1) AS diversity_lpips_max, any_value(lq_mean_psnr) AS lq_mean_psnr, any_value(lq_mean_ssim) AS lq_mean_ssim,
+        any_value(lq_mean_lpips) AS lq_mean_lpips FROM st JOIN lm ON st.subdataset = lm.subdataset GROUP BY st.subdataset, weather),
+    ov AS (SELECT subdataset, count(*) AS n_samples, avg(psnr_range) AS per_image_psnr_range_mean, avg(oracle_psnr_gain) AS per_image_oracle_psnr_gain_mean, avg(CASE WHEN psnr_range >= 0.5 THEN 1.0 ELSE 0.0 END) * 100 AS images_with_psnr_range_ge_0_5_pct FROM it GROUP BY subdataset)
+    SELECT sm.subdataset, weather, n_samples, {_rounded(_SUMMARY_COLUMNS)} FROM sm JOIN ov ON sm.subdataset = ov.subdataset"""
+)
+def summary_table(spark, sf_dir):
+    per, lq, _ = seed_scores(spark, sf_dir)
+    return reports.summary_table(reports.seed_table(per, lq), _image_table(spark, sf_dir), 1).withColumns({c: _r(c) for c in _SUMMARY_COLUMNS})
+
+
 @query("""WITH x AS (SELECT vec_id % 2 AS side, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT side, i, count(x) AS n, avg(x) AS m, var_samp(x) AS v FROM x GROUP BY side, i)
     SELECT side, max(n) AS n, round(sum(m * m), 6) AS mean_norm2, round(sum(v), 6) AS cov_trace FROM c GROUP BY side""")
 def frechet_terms(spark, sf_dir):
@@ -204,8 +316,21 @@ def frechet_terms(spark, sf_dir):
 def frechet_distance(spark, sf_dir):
     ship(spark)
     e = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 2).alias("side"), "embedding")
-    levels = e.union(e.withColumn("label", F.lit(-1)))
-    return frechet.frechet(levels, "label", "side", "embedding", ("0", "1")).withColumn("distance", _r("distance"))
+    return frechet.frechet(e, "label", "side", "embedding", ("0", "1")).withColumn("distance", _r("distance"))
+
+
+@query(
+    """WITH e AS (SELECT label::VARCHAR AS label, (vec_id % 3)::VARCHAR AS sub, vec_id % 2 AS side, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+    m AS (SELECT label, sub, side, grouping(label) + grouping(sub) AS g, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c FROM e GROUP BY GROUPING SETS ((label, sub, side), (label, side), (side)))
+    SELECT CASE a.g WHEN 0 THEN 'sub' WHEN 1 THEN 'group' ELSE 'all' END AS level, a.label, a.sub, round(pow(a.mx - b.mx, 2) + pow(a.my - b.my, 2) + a.vx + a.vy + b.vx + b.vy
+        - 2 * sqrt(a.vx * b.vx + 2 * a.c * b.c + a.vy * b.vy + 2 * sqrt(greatest((a.vx * a.vy - a.c * a.c) * (b.vx * b.vy - b.c * b.c), 0))), 6) AS distance
+    FROM m a JOIN m b ON a.side = 0 AND b.side = 1 AND a.g = b.g AND a.label IS NOT DISTINCT FROM b.label AND a.sub IS NOT DISTINCT FROM b.sub"""
+)
+def frechet_levels(spark, sf_dir):
+    """Two components, for which the distance has a closed form."""
+    ship(spark)
+    e = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3).alias("sub"), (F.col("vec_id") % 2).alias("side"), F.slice("embedding", 1, 2).alias("f"))
+    return frechet.frechet_levels(e, "label", "sub", "side", "f", ("0", "1")).withColumn("distance", _r("distance"))
 
 
 @query("SELECT label, round(sqrt(avg(x * x)), 6) AS rms, round(max(abs(x)), 6) AS abs_max FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label")
@@ -230,11 +355,11 @@ def checkpoint_retention(spark, sf_dir):
     return quality.retention(names.select(paths.checkpoint_step(F.col("name")).alias("step")), 3)
 
 
-@query("SELECT steps, round(0.3::DOUBLE / (3.0 - 0.3 * 2.0), 6) AS start, round(CASE WHEN steps = 1 THEN 0.3 / 2.4 ELSE 0.001 END, 6) AS last FROM (SELECT unnest(range(1, 31)) AS steps)")
+@query("WITH s AS (SELECT unnest(range(1, 31)) AS steps), l AS (SELECT steps, unnest(range(0, steps)) AS i FROM s) SELECT steps, i, round(CASE WHEN steps = 1 THEN 0.125::DOUBLE ELSE 0.125 + (0.001 - 0.125) * i / (steps - 1) END, 6) AS level FROM l")
 def flow_schedule(spark, sf_dir):
-    s = spark.range(1, 31).select(F.col("id").alias("steps"), F.lit(schedules.flow_start(0.3, 3.0)).alias("start"))
-    levels = schedules.flow_schedule(F.col("start"), F.col("steps"))
-    return s.select("steps", _r("start").alias("start"), _r(F.element_at(levels, -1)).alias("last"))
+    s = spark.range(1, 31).select(F.col("id").alias("steps"))
+    levels = schedules.flow_schedule(F.lit(schedules.flow_start(0.3, 3.0)), F.col("steps"))
+    return s.select("steps", F.posexplode(levels).alias("i", "level")).withColumn("level", _r("level"))
 
 
 @query("SELECT step, round(0.5 * greatest((least(greatest(((30 - least(step + 1, 29)) / 30.0 - 1 / 30.0) / (29 / 30.0), 0.0), 1.0) - 0.2) / 0.8, 0.0), 6) AS weight FROM (SELECT unnest(range(0, 30)) AS step)")
@@ -267,3 +392,150 @@ def image_lines(spark, sf_dir):
     per = patches(spark, sf_dir).select(F.concat(F.lit("sub"), F.col("sub").cast("string")).alias("sub_name"), F.col("vec_id").cast("string").alias("stem"), F.lit(0.0).alias("infer_time"),
         _r(pixels.psnr(F.col("pred"), F.col("target")), 4).alias("psnr"), _r(pixels.mse(F.col("pred"), F.col("target")), 4).alias("mse"))
     return sinks.image_lines(per, metrics=("psnr", "mse"))
+
+
+@query("SELECT event_type, count(*) FILTER (abs(value) / 1e4 < 1e-6) AS tiny, count(*) FILTER (abs(value) / 1e4 >= 1e-6 AND abs(value) / 1e4 < 1e-2) AS small, count(*) FILTER (abs(value) / 1e4 >= 1e-2) AS large FROM events GROUP BY event_type")
+def magnitude_buckets(spark, sf_dir):
+    return quality.magnitude_buckets(table(spark, sf_dir, "events").select("event_type", (F.col("value") / 1e4).alias("value")), ["event_type"], "value")
+
+
+@query("SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events WHERE event_id % 13 = 0) WHERE n <= 20")
+def first_offenders(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("value", F.when(F.col("event_id") % 13 == 0, float("nan")).otherwise(F.col("value")))
+    return quality.first_offenders(e, "event_type", "event_id", "value")
+
+
+@query("SELECT event_type, event_id, event_id // 8 AS batch, round(avg(value) OVER (PARTITION BY event_type, event_id // 8), 6) AS batch_mean FROM events")
+def batch_times(spark, sf_dir):
+    out = quality.batch_times(table(spark, sf_dir, "events"), "event_type", "event_id", "value", 8)
+    return out.select("event_type", "event_id", "batch", _r("batch_mean").alias("batch_mean"))
+
+
+@query("SELECT event_id, round((event_id % 5) / greatest(event_id % 3, 1e-8), 6) AS ratio FROM events")
+def rms_ratio(spark, sf_dir):
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", _r(quality.ratio((i % 5).cast("double"), (i % 3).cast("double"))).alias("ratio"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) AS n FROM documents) WHERE n <= 50")
+def head_limit(spark, sf_dir):
+    return pairing.head(table(spark, sf_dir, "documents").select("doc_id", "source"), [F.col("source"), F.col("doc_id")], 50).select("doc_id")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('7:', doc_id)), doc_id) AS n FROM documents) WHERE n <= 50")
+def hash_sample(spark, sf_dir):
+    return pairing.sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50, 7)
+
+
+@query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(concat(concat('0x', left(md5(lang), 8))::BIGINT % 2147483648, ':', doc_id)), doc_id) AS n FROM documents WHERE lang IS NOT NULL) WHERE n <= 10")
+def seeded_sample_per_group(spark, sf_dir):
+    return pairing.seeded_sample_per_group(table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("lang", "doc_id"), "lang", "doc_id", 10)
+
+
+_SAVED = """i AS (SELECT doc_id, ['rain', 'snow', 'haze'][doc_id % 3 + 1] AS weather, concat(['rain', 'snow', 'haze'][doc_id % 3 + 1], '_set', doc_id // 3 % 4) AS sub_name FROM documents),
+    j AS (SELECT *, row_number() OVER (PARTITION BY sub_name ORDER BY doc_id) - 1 AS image_index FROM i)"""
+
+
+def _indexed(spark, sf_dir):
+    weather = F.element_at(F.array(F.lit("rain"), F.lit("snow"), F.lit("haze")), (F.col("doc_id") % 3 + 1).cast("int"))
+    own = table(spark, sf_dir, "documents").select("doc_id", weather.alias("weather"), F.concat(weather, F.lit("_set"), (F.floor(F.col("doc_id") / 3) % 4).cast("string")).alias("sub_name"))
+    return pairing.numbered_in_group(own, "sub_name", [F.col("doc_id")])
+
+
+@query(f"WITH {_SAVED} SELECT doc_id, sub_name, image_index FROM j")
+def position_in_group(spark, sf_dir):
+    return _indexed(spark, sf_dir).select("doc_id", "sub_name", "image_index")
+
+
+@query(
+    f"""WITH {_SAVED}, k AS (SELECT *, count(*) OVER (PARTITION BY sub_name) AS n FROM j),
+    c AS (SELECT *, CASE WHEN sub_name = 'rain_set1' THEN 3 WHEN weather = 'rain' THEN 5 WHEN weather = 'snow' THEN 0 WHEN sub_name = 'haze_set2' THEN 2000000 ELSE n END AS k FROM k)
+    SELECT sub_name, concat(lpad(image_index::VARCHAR, 3, '0'), '_', doc_id, '_pred.png') AS pred FROM c WHERE image_index < k"""
+)
+def saved_images(spark, sf_dir):
+    own = _indexed(spark, sf_dir)
+    counts = pairing.save_counts(own.groupBy("weather", "sub_name").agg(F.count("*").alias("n")), {"rain_set1_num": 3, "rain_num": 5, "snow_num": 0, "haze_set2_num": 2000000, "haze_num": -1})
+    return pairing.saved_images(own, counts, stem="doc_id").select("sub_name", "pred")
+
+
+@query("SELECT event_id, round((1000 - event_id % 1000) / 1000.0::DOUBLE, 6) AS sigma FROM events")
+def sigma_lookup(spark, sf_dir):
+    schedule = spark.range(1000).select(F.col("id").alias("timestep"), ((1000 - F.col("id")) / 1000.0).alias("sigma"))
+    return schedules.with_sigma(table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 1000).alias("timestep")), schedule).select("event_id", _r("sigma").alias("sigma"))
+
+
+@query(f"WITH {_PROMPTED}, y AS (SELECT prompt, row_number() OVER (ORDER BY min(doc_id)) - 1 AS prompt_id FROM x GROUP BY prompt) SELECT x.doc_id, y.prompt_id FROM x JOIN y ON x.prompt = y.prompt")
+def prompt_lookup(spark, sf_dir):
+    own = _prompted(spark, sf_dir)
+    known = pairing.prompt_dictionary(own, "prompt", "doc_id").select("prompt", "prompt_id")
+    return pairing.with_lookup(own.select("doc_id", "prompt"), known, "prompt").select("doc_id", "prompt_id")
+
+
+@query("SELECT concat('image', i) AS image, 'one prompt' AS prompt FROM (SELECT unnest(range(0, 3)) AS i)")
+def validation_pairs(spark, sf_dir):
+    shown = spark.range(3).select(F.col("id").alias("at"), F.concat(F.lit("image"), F.col("id").cast("string")).alias("image"))
+    return pairing.matched(shown, spark.range(1).select(F.col("id").alias("at"), F.lit("one prompt").alias("prompt"))).select("image", "prompt")
+
+
+@query(
+    f"""WITH {_PATCHES}, t AS (SELECT vec_id, vec_id % 11 / 10.0::DOUBLE AS sigma, pred, target FROM q WHERE target IS NOT NULL)
+    SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: (1 - sigma) * pred[i] + sigma * target[i])), 6) AS blended, round(list_sum(list_transform(range(1, 65), lambda i: target[i] - pred[i])), 6) AS velocity,
+        round(list_sum(pred), 6) AS clean, round(list_sum(list_transform(pred, lambda v: v * 2 - 1)), 6) AS signed, list_sum(list_transform(pred, lambda v: round_even(v * 255, 0)::INT))::BIGINT AS quantised,
+        round(1 - sigma, 6) AS image_weight, (sigma / 1.1 * 1000)::DOUBLE::INT AS timestep, round(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN sigma > 0 THEN pred[i] + sigma * (target[i] - pred[i]) ELSE pred[i] END)), 6) AS corrected FROM t""".replace("(sigma / 1.1 * 1000)::DOUBLE::INT", "trunc(sigma / 1.1 * 1000)::INT")
+)
+def flow_terms(spark, sf_dir):
+    """Blend, velocity and what they stand for, per patch; sums over its values."""
+    own = patches(spark, sf_dir).withColumn("sigma", F.col("vec_id") % 11 / 10.0)
+    x, n, sigma = F.col("pred"), F.col("target"), F.col("sigma")
+    z, v = pixels.blend(x, n, sigma), pixels.velocity(x, n)
+    total = lambda a: _r(F.aggregate(a, F.lit(0.0), lambda acc, y: acc + y))
+    return own.select(
+        "vec_id", total(z).alias("blended"), total(v).alias("velocity"), total(pixels.clean(z, v, sigma)).alias("clean"), total(pixels.signed_range(x)).alias("signed"),
+        F.aggregate(pixels.quantised(x), F.lit(0).cast("long"), lambda acc, y: acc + y).alias("quantised"), _r(schedules.image_loss_weight(sigma)).alias("image_weight"),
+        schedules.timestep_index(sigma / 1.1).alias("timestep"), total(schedules.toward(x, n, sigma)).alias("corrected"),
+    )
+
+
+@query("SELECT event_id, round(value + 0.5 * CASE WHEN event_id % 10 = 0 THEN value * 2 ELSE 0 END + 0.1 * (value + 1), 6) AS loss FROM events")
+def total_loss(spark, sf_dir):
+    v = F.col("value")
+    terms = [(0.5, F.when(F.col("event_id") % 10 == 0, v * 2)), (0.1, v + 1)]
+    return table(spark, sf_dir, "events").select("event_id", _r(schedules.total_loss(v, terms)).alias("loss"))
+
+
+@query("SELECT i AS block, (i < 23 AND (i + 1) % 4 = 0) AS ends_stage, (i // 2)::INT AS residual FROM (SELECT unnest(range(0, 24)) AS i)")
+def stages(spark, sf_dir):
+    i = F.col("id")
+    return spark.range(24).select(i.alias("block"), F.array_contains(schedules.stage_indices(F.lit(24), 4), i.cast("int")).alias("ends_stage"), schedules.residual_index(i, 24, 12).alias("residual"))
+
+
+@query("SELECT doc_id, CASE WHEN (concat('0x', left(md5(doc_id::VARCHAR), 8))::BIGINT % 1000000) / 1000000.0::DOUBLE < 0.3 THEN '' ELSE ['one', 'two', 'three'][concat('0x', substr(md5(doc_id::VARCHAR), 9, 7))::BIGINT % 3 + 1] END AS caption FROM documents")
+def caption_choice(spark, sf_dir):
+    three = F.array(F.lit("one"), F.lit("two"), F.lit("three"))
+    return table(spark, sf_dir, "documents").select("doc_id", prompts.caption(three, F.col("doc_id").cast("string"), 0.3, True).alias("caption"))
+
+
+@query("SELECT concat('checkpoint-', max(event_id)) AS folder, max(event_id) AS step FROM events WHERE event_id % 500 = 0")
+def resume_folder(spark, sf_dir):
+    names = table(spark, sf_dir, "events").where("event_id % 500 = 0").select(F.concat(F.lit("checkpoint-"), "event_id").alias("name"))
+    return trees.resume_folder(names.union(spark.range(1).select(F.lit("checkpoint-old"))))
+
+
+@query("SELECT concat('runs/checkpoint-', max(event_id), '/controlnet') AS folder FROM events WHERE event_id % 500 = 0")
+def checkpoint_folder(spark, sf_dir):
+    files = table(spark, sf_dir, "events").where("event_id % 500 = 0").select(F.concat(F.lit("runs/checkpoint-"), "event_id", F.lit("/controlnet/config.json")).alias("path"))
+    return trees.checkpoint_folder(files.union(spark.range(1).select(F.lit("runs/checkpoint-x/controlnet/config.json"))), "runs")
+
+
+@query("SELECT event_id, i::INT AS at, (event_id + i)::INT AS seed, i + 0.5::DOUBLE AS controlnet_conditioning_scale, 30 AS num_inference_steps FROM events, (SELECT unnest(range(0, 2)) AS i) WHERE event_id % 100 = 0")
+def candidates(spark, sf_dir):
+    one = lambda i: F.concat(F.lit('{"seed":'), (F.col("event_id") + i).cast("string"), F.lit(f',"controlnet_conditioning_scale":{i}.5,"num_inference_steps":30}}'))
+    e = table(spark, sf_dir, "events").where("event_id % 100 = 0").select("event_id", F.concat(F.lit("["), one(0), F.lit(","), one(1), F.lit("]")).alias("value"))
+    found = config.candidates(e)
+    # Seeds follow from the event, which leads back to it.
+    return found.select((F.col("seed") - F.col("at")).cast("long").alias("event_id"), "at", "seed", "controlnet_conditioning_scale", "num_inference_steps")
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events")
+def time_stamps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", paths.stamp(F.col("ts")).alias("stamp"))

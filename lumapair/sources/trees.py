@@ -66,3 +66,55 @@ def pick_columns(df: DataFrame, image: str | None = None, caption: str | None =
             raise ValueError(f"column {name or at} is not among {', '.join(names)}")
         picked.append(F.col(f"`{name or names[at]}`"))
     return df.select(*[c.alias(a) for c, a in zip(picked, ("image", "caption", "conditioning"))])
+
+
+def missing_folders(files: DataFrame, root: str, weathers: list[str], splits: list[str]) -> DataFrame:
+    """(weather, split) of the training folders without a pair; all of them missing is an error."""
+    spark = files.sparkSession
+    wanted = spark.createDataFrame([(w, s) for w in weathers for s in splits], "weather string, split string")
+    found = training_pairs(files, root, weathers, splits).select("weather", "split").distinct()
+    if found.isEmpty():
+        raise ValueError(f"no pair below {root} in {', '.join(weathers)} and {', '.join(splits)}")
+    return wanted.join(found, ["weather", "split"], "left_anti")
+
+
+def eval_roots(config: dict, weathers: list[str]) -> dict[str, str]:
+    """Folder of each weather: `dataset_<weather>`, else a folder of its name below `dataset_root`; weathers with neither are left out."""
+    root = config.get("dataset_root")
+    found = {w: config.get(f"dataset_{w}") or (f"{root.rstrip('/')}/{w}" if root else None) for w in weathers}
+    return {w: r for w, r in found.items() if r}
+
+
+def image_folder(spark: SparkSession, root: str) -> DataFrame:
+    """path and the fields of metadata.jsonl (one JSON object per line, with file_name relative to its folder) of the images below root; images without an entry have nulls."""
+    files = image_files(spark, root)
+    look = {"recursiveFileLookup": "true", "pathGlobFilter": "metadata.jsonl"}
+    if spark.read.format("binaryFile").options(**look).load(root).select("path").isEmpty():
+        return files
+    notes = spark.read.options(**look).json(root)
+    folder = F.regexp_replace(F.col("_metadata.file_path"), r"[^/]*$", "")
+    named = notes.withColumn("_path", F.concat(folder, "file_name")).drop("file_name")
+    plain = lambda p: F.regexp_replace(p, r"^file:/+", "/")
+    return files.join(named, plain(F.col("path")) == plain(F.col("_path")), "left").drop("_path")
+
+
+def checkpoint_folder(files: DataFrame, root: str) -> DataFrame:
+    """One row, folder: root if it holds config.json, else its `controlnet`, else that of the checkpoint with the largest number, else root."""
+    part = F.split(below(F.col("path"), root), "/")
+    p = files.select(part.alias("p")).where(F.element_at("p", -1) == "config.json")
+    step = paths.checkpoint_step(F.col("p")[0])
+    rank = F.when(F.size("p") == 1, F.lit(1 << 62)).when((F.size("p") == 2) & (F.col("p")[0] == "controlnet"), F.lit((1 << 62) - 1))
+    rank = F.coalesce(rank, F.when((F.size("p") == 3) & (F.col("p")[1] == "controlnet"), step))
+    base = root.rstrip("/")
+    folder = F.concat_ws("/", F.lit(base), F.concat_ws("/", F.slice("p", 1, F.size("p") - 1)))
+    best = p.where(rank.isNotNull()).agg(F.max_by(folder, rank).alias("folder"))
+    return best.select(F.coalesce(F.regexp_replace("folder", "/+$", ""), F.lit(base)).alias("folder"))
+
+
+def resume_folder(names: DataFrame, wanted: str = "latest", name: str = "name") -> DataFrame:
+    """One row, (folder, step): the checkpoint to resume from; nulls if there is none. `latest` is the one with the largest number."""
+    own = F.regexp_extract(F.lit(wanted.rstrip("/")), r"([^/]*)$", 1)
+    step = paths.checkpoint_step(F.col(name))
+    if wanted != "latest":
+        return names.sparkSession.range(1).select(own.alias("folder"), paths.checkpoint_step(own).alias("step"))
+    return names.agg(F.max_by(name, step).alias("folder"), F.max(step).alias("step"))
