@@ -5,12 +5,12 @@ nearest centres, and a shard that holds too many is dealt again with centres of
 own, level by level. The nearest is its home. Each shard builds a flat proximity
 graph: vectors are inserted in batches, the greedy search from the medoid over the
 graph so far names a vector's candidates, and robust pruning drops a candidate if a kept
-neighbour is closer to it by `alpha`; a second pass goes over the whole graph. The
-adjacency lists of a vector from all its shards are united; they say where it leads to.
+neighbour is closer to it by `alpha`; a second pass goes over the whole graph. Edges lead
+both ways. The adjacency lists of a vector from all its shards are united; they say where it leads to.
 
 Vectors then walk over shards in rounds. A vector visits the homes of its nearest
-centres first. In a shard, a greedy search starts at the medoid and expands the best
-vectors of its beam and every vector within the search range, until none is left. What
+centres first. In a shard, a greedy search starts at the medoid (and at a few vectors far from it and
+each other) and expands the best vectors of its beam and every vector within the search range, until none is left. What
 it has met at `cosine` or more, in double precision, is a link. It goes on to the shards
 that the united lists of those within the search range lead to; whoever it finds visits
 its home in turn. Rounds end when nobody has a shard left to go to, so a group of any
@@ -60,6 +60,8 @@ MOST_CENTRES = 1024
 DEGREE, BEAM, ALPHA = 24, 32, 1.2
 #: Nodes of its beam that a search expands in a step.
 STEP = 6
+#: Vectors that a search starts from: the medoid, and others far from it and from each other.
+STARTS = 4
 #: Searches that run side by side.
 BLOCK = 256
 #: How far beyond the radius the walk goes on, in cosine.
@@ -96,7 +98,12 @@ class Graph:
     def __init__(self, x: np.ndarray, degree: int = DEGREE) -> None:
         self.x = x
         self.lists = np.full((len(x), degree), -1, np.int32)
-        self.medoid = int((x @ x.mean(axis=0)).argmax()) if len(x) else 0
+        # The medoid, and the vectors farthest from those chosen, so that a tight group around it traps no search.
+        self.starts = [int((x @ x.mean(axis=0)).argmax())] if len(x) else []
+        nearest = x @ x[self.starts[0]] if len(x) else x
+        while len(self.starts) < min(STARTS, len(x)):
+            self.starts.append(int(nearest.argmin()))
+            nearest = np.maximum(nearest, x @ x[self.starts[-1]])
         self._dense: np.ndarray | None = None
 
     @classmethod
@@ -126,9 +133,9 @@ class Graph:
         """Cosines of each query with the nodes it met, -inf for the others: a greedy search from the medoid that ends when the best `beam` nodes and all within the range are expanded."""
         n = len(self.x)
         sims = np.full((len(q), n), -np.inf)
-        sims[:, self.medoid] = q @ self.x[self.medoid]
+        sims[:, self.starts] = q @ self.x[self.starts].T
         unread = np.zeros(sims.shape, bool)
-        unread[:, self.medoid] = True
+        unread[:, self.starts] = True
         active = np.arange(len(q))
         while len(active):
             own, fresh = sims[active], unread[active]
@@ -166,7 +173,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int
     # Reverse edges may fill half as much again before a list is pruned.
     g, n = Graph(x, degree + degree // 2), len(x)
     order = np.random.default_rng(seed).permutation(n)
-    order = np.concatenate(([g.medoid], order[order != g.medoid])) if n else order
+    order = np.concatenate((g.starts[:1], order[order != g.starts[0]])) if n else order
     size = np.zeros(n, np.int64)
     steps, at = [], 1
     while at < n:
@@ -355,12 +362,21 @@ _GRAPH = pa.schema([("shard", pa.int64()), ("node", pa.int64()), ("v", pa.binary
 _GRAPH_DDL = "shard long, node long, v binary, near array<long>, close array<long>"
 
 
+def both_ways(lists: np.ndarray) -> list[np.ndarray]:
+    """Neighbours by edges of either direction. Pruning may leave a vector that no list names, as in a tight group around few centres; this way it is met from those it names."""
+    n = len(lists)
+    i, k = np.nonzero(lists >= 0)
+    j = lists[i, k].astype(np.int64)
+    edges = np.unique(np.concatenate((i * n + j, j * n + i)))
+    return np.split(edges % n, np.searchsorted(edges, np.arange(1, n) * n)) if n else []
+
+
 def _build(within: float):
     """A shard's nodes with their graph neighbours, and those of them that are within the search range."""
 
     def each(b: pa.RecordBatch):
         x, node = _matrix(b["v"]), b["node"].to_numpy()
-        lists = [a[a >= 0] for a in build_graph(x).lists]
+        lists = both_ways(build_graph(x).lists)
         close = [a[x[a] @ x[i] >= within] for i, a in enumerate(lists)]
         return b["shard"], b["node"], b["v"], [node[a].tolist() for a in lists], [node[a].tolist() for a in close]
 

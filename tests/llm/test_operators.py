@@ -318,6 +318,16 @@ def test_vectors_linked_through_a_larger_id_are_one_component(spark):
     assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_vectors(df).collect()} == {(1, 1, 1), (2, 1, 1), (3, 2, 1)}
 
 
+def test_a_search_meets_all_of_a_tight_group():
+    rng = np.random.default_rng(16)
+    for shape in (0.0, 1.0):
+        spread = 0.02 + 0.2 * rng.random(230)[:, None] ** 3 * shape
+        x = vectors.unit(np.concatenate((rng.normal(size=64) + rng.normal(size=(230, 64)) * spread, rng.normal(size=(300, 64)))))
+        g = vectors.Graph.of(x, vectors.both_ways(vectors.build_graph(x).lists))
+        met = g.search(x, within=0.8) >= 0.9
+        assert (met == (x @ x.T >= 0.9)).mean() > 0.9999 and met[:230, :230].all()
+
+
 def test_shards_drop_no_vector(spark, monkeypatch):
     x = np.random.default_rng(9).normal(size=(3000, 8))
     nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(vectors.unit(x))], "node long, v binary")
