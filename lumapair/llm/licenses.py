@@ -11,7 +11,8 @@ The L1 penalty leaves few features with a weight, and most weigh too little to o
 `none` together. Only paragraphs with one of the others (see `telling`) are cut into
 n-grams; the bound is exact, so no finding is lost. Weights are literals of the plan, bounded by the templates' n-grams.
 
-Defined results for odd input: null and empty texts have no paragraphs; repeated rows
+Defined results for odd input: null and empty texts have no paragraphs; texts of any length are
+scanned whole; repeated rows
 give their findings each; ties go to the family first by name; an empty table gives an
 empty result; other columns are ignored. Ids may be null.
 """

@@ -9,7 +9,7 @@ size, so that equal sizes stand together and what is taken stays near the target
 the expected copies are summed along this order, one random offset per source is
 added, and a document is emitted once for each integer boundary its interval crosses.
 
-Defined results for odd input: null text has no words, and a document without
+Defined results for odd input: texts of any length count whole; null text has no words, and a document without
 words takes none; a source without words has target 0 and is taken 0 times; rows
 that repeat an id are sampled each for itself (in `mixed_documents` they share the
 copies of their id as evenly as whole numbers allow); null ids are ordered last;

@@ -12,7 +12,8 @@ closes next to nothing is the last: its groups are samples of the same pieces, s
 dealing them again would close as little, and their open sequences stay as they are.
 
 Defined results for odd input: null text is empty, and an empty text is the end
-id alone; repeated rows are packed each for itself; an empty table gives an empty
+id alone; a text of any length is cut into as many pieces as it needs; pieces of equal
+length are packed in the order of id and piece; repeated rows are packed each for itself; an empty table gives an empty
 result; other columns are ignored. Ids may be null.
 """
 

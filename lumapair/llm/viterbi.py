@@ -14,7 +14,8 @@ those of its words; and if all scores are whole numbers, sums are exact, so that
 fall the same way. Then each distinct word is segmented once per worker; else every
 text is segmented as a whole, like texts with runs of blanks.
 
-Defined results for odd input: null and empty texts have 0 pieces; repeated rows are
+Defined results for odd input: null and empty texts have 0 pieces; texts of any length are
+counted whole; repeated rows are
 counted each for itself; an empty table gives an empty result; other columns are
 ignored. Ids may be null.
 """
