@@ -18,6 +18,13 @@ def pair(gt: DataFrame, lq: DataFrame, keys: list[str], path: str = "path") -> D
     return left.join(right, keys)
 
 
+def pair_sides(files: DataFrame, gt: Column, lq: Column, keys: list[str], path: str = "path") -> DataFrame:
+    """keys, gt_path, lq_path as `pair` gives them, of one listing that holds both sides: one scan and one shuffle."""
+    lowest = lambda side: F.min(F.when(side, F.col(path)))
+    both = files.groupBy(*keys).agg(lowest(gt).alias("gt_path"), lowest(lq).alias("lq_path"))
+    return both.where("gt_path IS NOT NULL AND lq_path IS NOT NULL")
+
+
 def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct keys on one side only, with the side: `missing` (not right) or `unexpected` (not left)."""
     a, b = left.select(*keys).distinct(), right.select(*keys).distinct()

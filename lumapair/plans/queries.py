@@ -379,11 +379,12 @@ def eval_tree_pairs(spark, sf_dir):
     folder = F.concat(F.lit("tree/"), "weather", F.lit("/set"), F.col("s").cast("string"), F.lit("/"))
 
     def side(dirs, end):
-        return F.concat(folder, F.element_at(F.array(*[F.lit(d) for d in dirs]), F.col("s") + 1), F.lit("/"), F.col("doc_id").cast("string"), F.lit(end)).alias("path")
+        return F.concat(folder, F.element_at(F.array(*[F.lit(d) for d in dirs]), F.col("s") + 1), F.lit("/"), F.col("doc_id").cast("string"), F.lit(end))
 
-    degraded = ids.where("doc_id % 7 <> 0")
-    files = ids.select(side(["gt", "test/GT", "GT", "gt"], ".png")).union(degraded.select(side(["lq", "test/LQ", "LQ", "lq"], ".JPG")))
-    files = files.union(ids.where("s = 3").select(side(["", "", "", "GT"], ".png"))).union(ids.where("s = 3").select(side(["", "", "", "LQ"], ".png")))
+    last = F.col("s") == 3
+    degraded = F.when(F.col("doc_id") % 7 != 0, side(["lq", "test/LQ", "LQ", "lq"], ".JPG"))
+    upper = [F.when(last, side([d] * 4, ".png")) for d in ("GT", "LQ")]
+    files = ids.select(F.explode(F.array(side(["gt", "test/GT", "GT", "gt"], ".png"), degraded, *upper)).alias("path")).where("path IS NOT NULL")
     return trees.eval_pairs(files.where(paths.is_image(F.col("path"))), "tree", ["rain", "snow", "haze"], ["test"])
 
 

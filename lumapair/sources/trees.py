@@ -32,7 +32,7 @@ def training_pairs(files: DataFrame, root: str, weathers: list[str], splits: lis
     parts = files.select("path", part.alias("p")).where(F.size("p") == 4)
     named = parts.select("path", F.col("p")[0].alias("weather"), F.col("p")[1].alias("split"), F.col("p")[2].alias("side"), paths.stem(F.col("path")).alias("stem"))
     wanted = named.where(F.col("weather").isin(weathers) & F.col("split").isin(splits))
-    return pairing.pair(wanted.where("side = 'GT'"), wanted.where("side = 'LQ'"), ["weather", "split", "stem"])
+    return pairing.pair_sides(wanted, F.col("side") == "GT", F.col("side") == "LQ", ["weather", "split", "stem"])
 
 
 def eval_pairs(files: DataFrame, root: str, weathers: list[str], splits: list[str]) -> DataFrame:
@@ -52,7 +52,7 @@ def eval_pairs(files: DataFrame, root: str, weathers: list[str], splits: list[st
     split_named = F.col("sub").isin(splits)
     per = seen.groupBy("weather").agg(F.max(split_named).alias("only_splits"))
     chosen = seen.join(per, "weather").where(~F.col("only_splits") | split_named).where("rank IS NOT NULL")
-    pairs = pairing.pair(chosen.where("side = 'gt'"), chosen.where("side = 'lq'"), ["weather", "sub", "rank", "stem"])
+    pairs = pairing.pair_sides(chosen, F.col("side") == "gt", F.col("side") == "lq", ["weather", "sub", "rank", "stem"])
     first = pairs.groupBy("weather", "sub").agg(F.min("rank").alias("rank"))
     return pairs.join(first, ["weather", "sub", "rank"]).select("weather", paths.sub_name(F.col("weather"), F.col("sub")).alias("sub_name"), "stem", "gt_path", "lq_path")
 

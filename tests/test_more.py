@@ -204,3 +204,12 @@ def test_the_library_stands_without_its_training_data_side(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'eval_report' in q and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_a_listing_pairs_like_its_two_sides(spark):
+    rows = [("a", "gt", "g/a.png"), ("a", "gt", "g/a.jpg"), ("a", "lq", "l/a.png"), ("b", "gt", "g/b.png"), ("c", "lq", "l/c.png"), ("d", "other", "o/d.png"), ("e", None, "e.png")]
+    files = spark.createDataFrame(rows, "stem string, side string, path string")
+    side = F.col("side")
+    got = [tuple(r) for r in pairing.pair_sides(files, side == "gt", side == "lq", ["stem"]).collect()]
+    assert got == [tuple(r) for r in pairing.pair(files.where(side == "gt"), files.where(side == "lq"), ["stem"]).collect()] == [("a", "g/a.jpg", "l/a.png")]
+    assert pairing.pair_sides(files.limit(0), side == "gt", side == "lq", ["stem"]).count() == 0
