@@ -3,9 +3,11 @@
 Paragraphs are lines. A multinomial logistic regression over sparse word n-grams (one
 and two words), trained here on labelled templates and on a bounded sample of lines of
 the corpus that name no licence, gives each paragraph a family. The class `none` is
-trained as a class of its own; `unknown` is what names a licence but reaches no
-calibrated probability for a family. A template comparison confirms a prediction: the
-share of the n-grams of the family's nearest template that the paragraph holds.
+trained as a class of its own. A quarter of those lines and wordings that are no
+templates are held out: they set the temperature of the probabilities and the threshold
+below which a finding is `unknown`. A template comparison confirms a prediction: the
+share of the n-grams of the family's nearest template that the paragraph holds together
+with the two lines before and after it, over which a notice may be wrapped.
 
 The L1 penalty leaves few features with a weight, and most weigh too little to outweigh
 `none` together. Only paragraphs with one of the others (see `telling`) are cut into
@@ -20,8 +22,9 @@ empty result; other columns are ignored. Ids may be null.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +38,8 @@ NEGATIVES = 4000
 L1 = 0.0005
 #: Share of a template's n-grams that confirms a prediction.
 CONFIRMED = 0.5
+#: Lines before and after a paragraph that a notice may be wrapped over.
+AROUND = 2
 
 # Common wordings of licence notices by family.
 TEMPLATES: dict[str, list[str]] = {
@@ -88,6 +93,19 @@ TEMPLATES: dict[str, list[str]] = {
 }
 
 
+# Wordings that are held out of training, by family.
+HELD_OUT: dict[str, list[str]] = {
+    "apache": ["This file is distributed under the Apache License 2.0.", "Apache License, Version 2.0, January 2004"],
+    "bsd": ["This software is licensed under the 2-Clause BSD License.", "Use of this source code is governed by a BSD license."],
+    "cc": ["Text is available under the Creative Commons Attribution-ShareAlike 3.0 License.", "Shared under CC BY-NC-SA 4.0."],
+    "gpl": ["This file is released under the GNU GPL version 3.", "You should have received a copy of the GNU General Public License along with this program."],
+    "lgpl": ["This file is part of a library under the GNU Lesser General Public License.", "Licensed under the LGPL, version 2.1."],
+    "mit": ["This project is licensed under the MIT License.", "The MIT License (MIT)"],
+    "mpl": ["This file is under the Mozilla Public License 2.0.", "Released under the MPL, version 2.0."],
+    "proprietary": ["Copyright 2020 by the authors. All rights reserved.", "Confidential: no part of this document may be reproduced."],
+}
+
+
 def ngrams(text: Column) -> Column:
     """Distinct words and word pairs of a text, in lower case."""
     words = F.filter(F.split(F.lower(text), r"[^a-z0-9.\-]+"), lambda w: F.length(F.rtrim(w, F.lit("."))) > 0)
@@ -103,52 +121,88 @@ class Classifier:
     #: feature -> weight per family
     weights: dict[str, list[float]]
     threshold: float
+    #: Of the held-out wordings the share with the right family, of the held-out lines of `none` the share with any.
+    held_out: dict[str, float] = field(default_factory=dict)
+
+
+def paragraphs(docs: DataFrame, id_col: str, text_col: str, pattern: str | None = None) -> DataFrame:
+    """id, paragraph, line and context (the line with those around it) of every line that is not blank and, in lower case, holds the pattern."""
+    lines = docs.select(F.col(id_col).alias("id"), F.split(F.col(text_col), r"\r\n|\n|\r").alias("lines"))
+
+    def wanted(line: Column) -> Column:
+        return F.trim(line) != "" if pattern is None else (F.trim(line) != "") & F.lower(line).rlike(pattern)
 
+    def one(line: Column, i: Column) -> Column:
+        context = F.concat_ws("\n", F.slice("lines", F.greatest(i + 1 - AROUND, F.lit(1)), F.least(i + 1, F.lit(1 + AROUND)) + AROUND))
+        return F.when(wanted(line), F.struct(i.alias("paragraph"), line.alias("line"), context.alias("context")))
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), r"\r\n|\n|\r")).alias("paragraph", "line"))
-    return lines.where(F.trim("line") != "")
+    # The array is filtered before it is unfolded, so that lines without the pattern become no rows.
+    found = lines.select("id", F.explode(F.filter(F.transform("lines", one), lambda p: p.isNotNull())).alias("found"))
+    return found.select("id", "found.*")
 
 
 def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", negatives: int = NEGATIVES) -> Classifier:
     """A classifier of the templates against a bounded sample of lines that share no rare word with them."""
     rows = [(family, t) for family, ts in TEMPLATES.items() for t in ts]
-    known = spark.createDataFrame(rows, "family string, line string")
+    unseen = [(family, t) for family, ts in HELD_OUT.items() for t in ts]
+    known = spark.createDataFrame([(*r, False) for r in rows] + [(*r, True) for r in unseen], "family string, line string, held boolean")
     named = r"(?i)licen[sc]e|licensed|copyright|copyleft|spdx|all rights reserved|redistribut|\bgpl\b|\bmit\b"
     # Whole lines of the distinct texts with the least hashes: the hashes alone find the bound, then only those texts move.
     hashed = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("n"), F.col(text_col).alias("text"))
     least = hashed.select("n").distinct().orderBy("n").limit(negatives // 8).agg(F.max("n")).first()[0]
     texts = hashed.where(F.col("n") <= F.lit(least)).groupBy("n").agg(F.min("text").alias("text"))
     lines = paragraphs(texts, "n", "text").where(~F.col("line").rlike(named))
-    none = lines.orderBy(F.xxhash64("line"), "line").limit(negatives).select(F.lit(NONE).alias("family"), "line")
-    plain = spark.createDataFrame([(NONE, "A line of plain text that is under no terms."), (NONE, "")], "family string, line string")
+    none = lines.orderBy(F.xxhash64("line"), "line").limit(negatives).select(F.lit(NONE).alias("family"), "line", (F.pmod(F.xxhash64("line", F.lit(1)), F.lit(4)) == 0).alias("held"))
+    plain = spark.createDataFrame([(NONE, "A line of plain text that is under no terms.", False), (NONE, "", False)], known.schema)
     # A bounded table, held in one partition: each step of the fit is then one short task.
     labelled = materialize(known.union(none).union(plain).withColumn("grams", ngrams(F.col("line"))).coalesce(1), "licence-lines").coalesce(1).cache()
     try:
-        vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 16).fit(labelled.where(F.col("family") != NONE))
+        fitted = labelled.where(~F.col("held"))
+        vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 16).fit(fitted.where(F.col("family") != NONE))
         names = [NONE, *sorted(TEMPLATES)]
         label = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("family")) - 1
         # Each family weighs as much as any other, and all of them as much as `none`.
-        count = labelled.groupBy("family").agg(F.count("*").alias("n"))
-        weighed = labelled.join(F.broadcast(count), "family").withColumn("w", F.when(F.col("family") == NONE, F.lit(len(TEMPLATES))).otherwise(F.lit(1.0)) / F.col("n"))
+        count = fitted.groupBy("family").agg(F.count("*").alias("n"))
+        weighed = fitted.join(F.broadcast(count), "family").withColumn("w", F.when(F.col("family") == NONE, F.lit(len(TEMPLATES))).otherwise(F.lit(1.0)) / F.col("n"))
         ready = vocabulary.transform(weighed).select("features", "w", label.cast("double").alias("label")).coalesce(1).cache()
         model = LogisticRegression(family="multinomial", regParam=L1, elasticNetParam=1.0, weightCol="w", maxIter=60).fit(ready)
         ready.unpersist()
         w = model.coefficientMatrix.toArray()
         weights = {f: w[:, i].tolist() for i, f in enumerate(vocabulary.vocabulary) if abs(w[:, i]).max() > 1e-9}
         found = Classifier(names, model.interceptVector.toArray().tolist(), weights, 0.5)
-        # Calibration: half way between the likeliest line of `none` and the least likely template, on the log-odds scale, 0.5 at least.
-        scored = _probabilities(labelled, found)
-        best = F.array_max(F.slice("p", 2, len(names) - 1))
-        r = scored.agg(F.max(F.when(F.col("family") == NONE, best)).alias("no"), F.min(F.when(F.col("family") != NONE, best)).alias("yes")).first()
-        odds = [min(max(p, 1e-6), 1 - 1e-6) for p in (r["no"], r["yes"])]
-        middle = (odds[0] / (1 - odds[0]) * odds[1] / (1 - odds[1])) ** 0.5
-        found.threshold = min(0.9, max(0.5, middle / (1 + middle)))
-        return found
+        # At most `negatives` lines and the wordings.
+        held = _probabilities(labelled.where("held"), found).select("family", "p").collect()
+        return calibrated(found, [r["family"] for r in held], np.array([r["p"] for r in held]))
     finally:
         labelled.unpersist()
 
 
+def calibrated(model: Classifier, families: list[str], p: np.ndarray) -> Classifier:
+    """The model with the temperature that makes held-out rows likeliest (each family of the same weight, and `none` of that of all others), and the least threshold, from 0.5 to 0.9, that no wrong finding among them reaches."""
+    y = np.array([model.families.index(f) for f in families])
+    names, sizes = np.unique(y, return_counts=True)
+    size = dict(zip(names.tolist(), sizes.tolist()))
+    w = np.array([(len(TEMPLATES) if i == 0 else 1) / size[i] for i in y.tolist()])
+    logs = np.log(np.clip(p, 1e-300, 1))
+
+    def shares(t: float) -> np.ndarray:
+        e = np.exp((logs - logs.max(axis=1, keepdims=True)) / t)
+        return e / e.sum(axis=1, keepdims=True)
+
+    def loss(t: float) -> float:
+        return -float(w @ np.log(np.clip(shares(t)[np.arange(len(y)), y], 1e-300, 1)))
+
+    t = min((2.0 ** (k / 4) for k in range(-8, 9)), key=loss)
+    q = shares(t)
+    best = q[:, 1:].max(axis=1)
+    right, finding = q[:, 1:].argmax(axis=1) + 1 == y, q[:, 0] < 0.5
+    wrong = best[finding & ~right]
+    threshold = min(0.9, max([0.5, *np.nextafter(wrong, 1.0).tolist()]))
+    told, plain = finding & (best >= threshold), y == 0
+    figures = {"right": float((told & right)[~plain].mean()), "false": float(told[plain].mean()) if plain.any() else 0.0, "temperature": t}
+    return Classifier(model.families, [b / t for b in model.bias], {f: [v / t for v in ws] for f, ws in model.weights.items()}, threshold, figures)
+
+
 def _probabilities(lines: DataFrame, model: Classifier) -> DataFrame:
     """lines (with grams) and p: the probability of each class, in the order of model.families.
 
@@ -198,17 +252,15 @@ def _any_of(grams: list[str]) -> str:
 
 def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per paragraph that names a licence: id_col, paragraph (from 0), family, probability, similarity, confirmed, line."""
-    lines = paragraphs(docs.where(F.col(text_col).isNotNull()), id_col, text_col)
     needed = telling(model)
-    if needed is not None:
-        lines = lines.where(F.lower("line").rlike(_any_of(needed)))
+    lines = paragraphs(docs.where(F.col(text_col).isNotNull()), id_col, text_col, None if needed is None else _any_of(needed))
     scored = _probabilities(lines.withColumn("grams", ngrams(F.col("line"))), model)
     names = F.array(*[F.lit(n) for n in model.families])
     top = F.array_max(F.slice("p", 2, len(model.families) - 1))
     likely = scored.where(F.col("p")[0] < 0.5).withColumn("top", top).withColumn("best", F.element_at(names, F.array_position("p", F.col("top")).cast("int")))
     templates = F.create_map(*[x for f, ts in sorted(TEMPLATES.items()) for x in (F.lit(f), F.array(*[ngrams(F.lit(t)) for t in ts]))])
-    share = F.array_max(F.transform(F.element_at(templates, F.col("best")), lambda t: F.size(F.array_intersect("grams", t)) / F.size(t)))
-    compared = likely.withColumn("similarity", share)
+    share = F.array_max(F.transform(F.element_at(templates, F.col("best")), lambda t: F.size(F.array_intersect("near", t)) / F.size(t)))
+    compared = likely.withColumn("near", F.array_union("grams", ngrams(F.col("context")))).withColumn("similarity", share)
     known = F.col("top") >= model.threshold
     return compared.select(
         F.col("id").alias(id_col), "paragraph", F.when(known, F.col("best")).otherwise(UNKNOWN).alias("family"), F.col("top").alias("probability"),

@@ -355,6 +355,34 @@ def test_licences(spark, docs):
     assert got[1, 1] == ("mit", True) and got[4, 0] == ("apache", True) and (1, 0) not in got and not got.get((3, 0), ("", False))[1]
 
 
+def test_a_wrapped_notice_is_confirmed_with_its_neighbours(spark):
+    notice = "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation."
+    rows = spark.createDataFrame([(1, f"Some file.\n# {notice}\nint x;"), (None, "Released under the MIT License."), (3, "\n \n"), (4, None)], "doc_id long, text string")
+    model = licenses.train(spark, rows)
+    got = {(r["doc_id"], r["paragraph"]): (r["family"], r["confirmed"]) for r in licenses.scan(rows, model).collect()}
+    assert got[1, 2] == ("gpl", True) and got[None, 0] == ("mit", True) and not {k for k in got if k[0] in (3, 4)}
+    assert model.held_out["right"] >= 0.6 and licenses.scan(rows.limit(0), model).count() == 0
+
+
+def test_paragraphs_know_the_lines_around_them(spark):
+    text = "a\n\nb\r\nc\rd\ne"
+    lines = ["a", "", "b", "c", "d", "e"]
+    rows = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
+    for pattern in (None, "[bd]"):
+        got = {tuple(r) for r in licenses.paragraphs(rows, "doc_id", "text", pattern).collect()}
+        assert got == {(1, i, t, "\n".join(lines[max(0, i - 2) : i + 3])) for i, t in enumerate(lines) if t and (pattern is None or t in "bd")}
+
+
+def test_calibration_on_held_out_rows():
+    model = licenses.Classifier(["none", "x", "y"], [0.0, 0.0, 0.0], {"g": [0.0, 2.0, 1.0]}, 0.5)
+    p = np.array([[0.9, 0.05, 0.05], [0.2, 0.7, 0.1], [0.1, 0.6, 0.3], [0.05, 0.15, 0.8]])
+    found = licenses.calibrated(model, ["none", "none", "x", "y"], p)
+    t = found.held_out["temperature"]
+    assert found.weights["g"] == [0.0, 2.0 / t, 1.0 / t]
+    q = p ** (1 / t) / (p ** (1 / t)).sum(axis=1, keepdims=True)
+    assert found.threshold == pytest.approx(min(0.9, max(0.5, q[1, 1]))) and found.held_out["false"] == 0.5 * (q[1, 1] > 0.9)
+
+
 def test_licence_scan_loses_nothing_to_its_first_filter(spark, docs, monkeypatch):
     rows = spark.createDataFrame([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] + [(-1, "the ... apache\nUNDER the... Apache 2.0"), (-2, "x.mit mit. MIT-like -mit")] + [(-10 - i, "\n".join([*t, *(x[: len(x) // 2] for x in t)])) for i, t in enumerate(licenses.TEMPLATES.values())], "doc_id long, text string")
     model = licenses.train(spark, rows)
