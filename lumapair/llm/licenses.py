@@ -203,9 +203,11 @@ def calibrated(model: Classifier, families: list[str], p: np.ndarray) -> Classif
     return Classifier(model.families, [b / t for b in model.bias], {f: [v / t for v in ws] for f, ws in model.weights.items()}, threshold, figures)
 
 
-def _probabilities(lines: DataFrame, model: Classifier) -> DataFrame:
+def _probabilities(lines: DataFrame, model: Classifier, likely: bool = False) -> DataFrame:
     """lines (with grams) and p: the probability of each class, in the order of model.families.
 
+    If `likely`, lines with clearly 0.5 or more for `none` are left out before the probabilities.
+
     The scores and the probabilities are written in between: few lines come so far, and
     Catalyst would else copy the large literal into each use.
     """
@@ -216,6 +218,9 @@ def _probabilities(lines: DataFrame, model: Classifier) -> DataFrame:
         hits = F.filter(F.transform("grams", lambda g: F.try_element_at(per, g)), lambda v: v.isNotNull())
         total = F.aggregate(hits, bias, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
     scored = materialize(lines.withColumn("z", total), "licence-scores")
+    if likely:
+        others = F.slice("z", 2, len(model.families) - 1)
+        scored = scored.where(F.aggregate(others, F.lit(0.0), lambda a, x: a + F.exp(x - F.col("z")[0])) > 1 - 1e-6)
     shifted = materialize(scored.withColumn("e", F.transform("z", lambda s: F.exp(s - F.array_max("z")))), "licence-odds")
     shares = F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y))
     return materialize(shifted.withColumn("p", shares).drop("z", "e"), "licence-shares")
@@ -254,7 +259,7 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
     """One row per paragraph that names a licence: id_col, paragraph (from 0), family, probability, similarity, confirmed, line."""
     needed = telling(model)
     lines = paragraphs(docs.where(F.col(text_col).isNotNull()), id_col, text_col, None if needed is None else _any_of(needed))
-    scored = _probabilities(lines.withColumn("grams", ngrams(F.col("line"))), model)
+    scored = _probabilities(lines.withColumn("grams", ngrams(F.col("line"))), model, likely=True)
     names = F.array(*[F.lit(n) for n in model.families])
     top = F.array_max(F.slice("p", 2, len(model.families) - 1))
     likely = scored.where(F.col("p")[0] < 0.5).withColumn("top", top).withColumn("best", F.element_at(names, F.array_position("p", F.col("top")).cast("int")))
