@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumapair.llm import exact_dedup, language, licenses, mixing, packing, pages, sharding, simhash, vectors, viterbi
+from lumapair.llm import exact_dedup, language, licenses, mixing, negatives, packing, pages, sharding, simhash, urls, vectors, viterbi, whitening
 from lumapair.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: (verdict, host, start of the path)
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_html": op2_html,
@@ -78,8 +99,13 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_vectors": op9_vectors,
     "op10_mixing": op10_mixing,
+    "op11_urls": op11_urls,
+    "op12_whitening": op12_whitening,
+    "op13_negatives": op13_negatives,
 }
 
+_STRICT, _SOFT = (str([t for t, w in urls.VOCABULARY.items() if (w >= urls.LIMIT) == strict]) for strict in (True, False))
+
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
@@ -102,4 +128,21 @@ ORACLE_SQL: dict[str, str] = {
                    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, (floor((place + 1) * rate + u) - floor(place * rate + u))::BIGINT * size AS taken FROM p
     """,
+    "op11_urls": rf"""
+        WITH u AS (SELECT page_id, lower(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')) AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+             h AS (SELECT *, list_sort(list_filter(list_concat({_STRICT}, {_SOFT}), lambda t: regexp_matches(lower(host || path), '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)'))) AS hits FROM u),
+             r AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS v(verdict, r_host, r_path)),
+             f AS (SELECT page_id, arg_max(r_host || r_path, length(r_host || r_path)) AS rule, arg_max(verdict, length(r_host || r_path)) AS verdict
+                   FROM u JOIN r ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY page_id),
+             w AS (SELECT *, (2 * len(list_intersect(hits, {_STRICT})) + len(list_intersect(hits, {_SOFT})))::BIGINT AS weight FROM h)
+        SELECT w.page_id, host, path, rule, coalesce(verdict, CASE WHEN weight >= 2 THEN 'block' ELSE 'allow' END) AS verdict, hits, weight FROM w LEFT JOIN f ON w.page_id = f.page_id
+    """,
+    "op13_negatives": r"""
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+                   FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT a.vec_id AS anchor_id, a.label = e.label AS same, e.vec_id, list_dot_product(a.x, e.x)::BIGINT AS score FROM e a JOIN e ON a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id),
+             p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5
+    """,
 }
