@@ -333,6 +333,20 @@ def frechet_levels(spark, sf_dir):
     return frechet.frechet_levels(e, "label", "sub", "side", "f", ("0", "1")).withColumn("distance", _r("distance"))
 
 
+@query(
+    """WITH x AS (SELECT label, vec_id % 2 AS side, vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    c AS (SELECT a.label, a.side, a.i, b.i AS k, count(*) AS n, covar_samp(a.x, b.x) AS c FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= b.i AND a.i // 16 * 16 <= b.i GROUP BY a.label, a.side, a.i, b.i),
+    d AS (SELECT label, side, i, k, n, c FROM c UNION ALL SELECT label, side, k, i, n, c FROM c WHERE i <> k AND i // 16 = k // 16)
+    SELECT label::VARCHAR AS key, side::VARCHAR AS side, (i // 16)::INT AS block, max(n) AS n, round(sum(c) FILTER (i = k), 6) AS trace, round(sum(c), 6) AS total, round(sum(c * c), 6) AS squares FROM d GROUP BY label, side, i // 16"""
+)
+def frechet_blocks(spark, sf_dir):
+    """Blocks of 16 rows of each covariance."""
+    ship(spark)
+    e = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 2).alias("side"), "embedding")
+    bytes_ = 16 * 64 * 8
+    return frechet.block_terms(frechet.moment_blocks(e, "label", "side", "embedding", bytes_), bytes_).withColumns({c: _r(c) for c in ("trace", "total", "squares")})
+
+
 @query("SELECT label, round(sqrt(avg(x * x)), 6) AS rms, round(max(abs(x)), 6) AS abs_max FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label")
 def tensor_diagnostics(spark, sf_dir):
     return quality.tensor_diagnostics(table(spark, sf_dir, "embeddings"), ["label"], "embedding").withColumns({c: _r(c) for c in ("rms", "abs_max")})
