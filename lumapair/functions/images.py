@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 WINDOW, SIGMA, C1, C2 = 11, 1.5, 1e-4, 9e-4
 
@@ -59,16 +60,29 @@ def _cubic(t: np.ndarray, a: float = -0.5) -> np.ndarray:
     return np.where(t < 1, near, np.where(t < 2, far, 0.0))
 
 
-def resized(x: np.ndarray, height: int, width: int, kernel: Callable[[np.ndarray], np.ndarray] = _linear) -> np.ndarray:
-    """Antialiased resampling of (channels, height, width); bilinear unless another kernel is given."""
+Taps = tuple[np.ndarray, np.ndarray]
+
+
+@cache
+def taps(n: int, m: int, kernel: Callable[[np.ndarray], np.ndarray] = _linear) -> Taps:
+    """Sparse weights that bring n values to m: which values each result takes (m x k), and their shares (m x k), which sum to 1. Shrinking widens the kernel, so that nothing is passed over."""
+    scale = max(n / m, 1.0)
+    reach = (2.0 if kernel is _cubic else 1.0) * scale
+    centre = (np.arange(m) + 0.5) * n / m
+    first = np.floor(centre - reach).astype(int)
+    at = first[:, None] + np.arange(int(np.ceil(2 * reach)) + 2)
+    w = np.where((at >= 0) & (at < n), kernel(np.abs((at + 0.5 - centre[:, None]) / scale)), 0.0)
+    used = np.flatnonzero(w.any(axis=0))
+    at, w = at[:, used[0] : used[-1] + 1], w[:, used[0] : used[-1] + 1]
+    return np.clip(at, 0, n - 1), w / w.sum(axis=1, keepdims=True)
 
-    def weights(n: int, m: int) -> np.ndarray:
-        scale = max(n / m, 1.0)
-        centre = (np.arange(m) + 0.5) * n / m
-        w = kernel(np.abs((np.arange(n)[None] + 0.5 - centre[:, None]) / scale))
-        return w / w.sum(axis=1, keepdims=True)
 
-    return np.einsum("ih,chw,jw->cij", weights(x.shape[1], height), x, weights(x.shape[2], width))
+def resized(x: np.ndarray, height: int, width: int, kernel: Callable[[np.ndarray], np.ndarray] = _linear) -> np.ndarray:
+    """Antialiased resampling of (..., height, width), one axis after the other; bilinear unless another kernel is given."""
+    at, w = taps(x.shape[-2], height, kernel)
+    x = sum(x[..., at[:, i], :] * w[:, i, None] for i in range(at.shape[1]))
+    at, w = taps(x.shape[-1], width, kernel)
+    return sum(x[..., at[:, i]] * w[:, i] for i in range(at.shape[1]))
 
 
 def square(x: np.ndarray, size: int) -> np.ndarray:
@@ -77,12 +91,38 @@ def square(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def short_side_crop(x: np.ndarray, size: int) -> np.ndarray:
-    """Short side to `size`, then the middle square of that size."""
-    _, h, w = x.shape
-    k = size / min(h, w)
-    y = resized(x, max(size, int(h * k)), max(size, int(w * k)))
-    top, left = round((y.shape[1] - size) / 2), round((y.shape[2] - size) / 2)
-    return y[:, top : top + size, left : left + size]
+    """Short side to `size`, the other in proportion (rounded down), then the middle square of that size."""
+    h, w = x.shape[-2:]
+    y = resized(x, size * h // min(h, w), size * w // min(h, w))
+    top, left = round((y.shape[-2] - size) / 2), round((y.shape[-1] - size) / 2)
+    return y[..., top : top + size, left : left + size]
+
+
+#: Bytes of images of one shape that are resampled side by side.
+SIDE_BY_SIDE = 32 << 20
+
+
+def with_prepared(df: DataFrame, size: int, how: Callable[[np.ndarray, int], np.ndarray] = short_side_crop, values: str = "values", height: str = "height", width: str = "width", name: str = "prepared", channels: int = 3) -> DataFrame:
+    """df with `name`: images of any shapes (channels x height x width values, planes after each other) prepared to size x size by `short_side_crop` or `square`.
+
+    Images of one shape in a batch are resampled together. Null for an image that is null, holds a null, or whose number of values is not that of its shape.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs, ws = (np.nan_to_num(batch[c].cast(pa.float64()).to_numpy(zero_copy_only=False)).astype(int) for c in (height, width))
+            found: list[np.ndarray | None] = [None] * len(batch)
+            for h, w in {(h, w) for h, w in zip(hs.tolist(), ws.tolist()) if h > 0 and w > 0}:
+                at = np.flatnonzero((hs == h) & (ws == w))
+                step = max(1, SIDE_BY_SIDE // (8 * channels * h * w))
+                for lo in range(0, len(at), step):
+                    own = at[lo : lo + step]
+                    x, whole = _stacked(batch[values].take(pa.array(own)), channels * h * w, (channels, h, w))
+                    for i, y in zip(own[whole].tolist(), how(x, size).reshape(len(x), channels * size * size)):
+                        found[i] = y
+            yield batch.append_column(name, pa.array(found, pa.list_(pa.float64())))
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, ArrayType(DoubleType()))]))
 
 
 def _stacked(col: pa.Array, size: int, shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumapair.operators.places import placed
+
 
 def one_per_key(files: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
     """Of files that share the keys, the lowest path."""
@@ -81,8 +83,8 @@ def seeded_sample_per_group(df: DataFrame, group: str, key: str, limit: int | No
 
 
 def numbered_in_group(df: DataFrame, group: str, order: list[Column], name: str = "image_index") -> DataFrame:
-    """df with the place of each row in its group, from 0. A group is a sub-dataset, whose files one task can number."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+    """df with the place of each row in its group, from 0; a group may be of any size."""
+    return placed(df, order, name, [F.col(group)])
 
 
 def save_counts(sizes: DataFrame, config: dict, sub: str = "sub_name", group: str = "weather", n: str = "n") -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumapair.functions import images, paths, pixels, prompts, schedules
-from lumapair.operators import frechet, pairing, quality, reports
-from lumapair.sources import config, sinks, trees
-from lumapair.session import ship, table
+from lumapair.operators import frechet, pairing, places, quality, reports, validation
+from lumapair.session import folder, ship, table
+from lumapair.sources import config, sinks, tables, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -369,17 +369,27 @@ def checkpoint_retention(spark, sf_dir):
     return quality.retention(names.select(paths.checkpoint_step(F.col("name")).alias("step")), 3)
 
 
-@query("WITH s AS (SELECT unnest(range(1, 31)) AS steps), l AS (SELECT steps, unnest(range(0, steps)) AS i FROM s) SELECT steps, i, round(CASE WHEN steps = 1 THEN 0.125::DOUBLE ELSE 0.125 + (0.001 - 0.125) * i / (steps - 1) END, 6) AS level FROM l")
+@query(
+    """WITH e AS (SELECT event_id, event_id % 30 + 1 AS steps, (event_id % 10 + 1) / 10.0::DOUBLE AS s FROM events), l AS (SELECT event_id, steps, s / (3 - s * 2) AS start, unnest(range(0, steps)) AS i FROM e)
+    SELECT event_id, i::INT AS i, round(CASE WHEN steps = 1 THEN start ELSE start + (0.001 - start) * i / (steps - 1) END, 6) AS level FROM l"""
+)
 def flow_schedule(spark, sf_dir):
-    s = spark.range(1, 31).select(F.col("id").alias("steps"))
-    levels = schedules.flow_schedule(F.lit(schedules.flow_start(0.3, 3.0)), F.col("steps"))
-    return s.select("steps", F.posexplode(levels).alias("i", "level")).withColumn("level", _r("level"))
+    """The noise levels of each event's schedule: as many as its id says, from its strength."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 30 + 1).alias("steps"), ((F.col("event_id") % 10 + 1) / 10.0).alias("strength"))
+    levels = schedules.flow_schedule(schedules.flow_start_of(F.col("strength"), 3.0), F.col("steps"))
+    return e.select("event_id", F.posexplode(levels).alias("i", "level")).withColumn("level", _r("level"))
 
 
-@query("SELECT step, round(0.5 * greatest((least(greatest(((30 - least(step + 1, 29)) / 30.0 - 1 / 30.0) / (29 / 30.0), 0.0), 1.0) - 0.2) / 0.8, 0.0), 6) AS weight FROM (SELECT unnest(range(0, 30)) AS step)")
+@query(
+    """WITH e AS (SELECT event_id, event_id % 30 + 2 AS n, event_id % 29 % (event_id % 30 + 2) AS step FROM events)
+    SELECT event_id, step, round(0.5 * greatest((least(greatest(((n - least(step + 1, n - 1)) / n::DOUBLE - 1 / n::DOUBLE) / ((n - 1) / n::DOUBLE), 0.0), 1.0) - 0.2) / 0.8, 0.0), 6) AS weight FROM e"""
+)
 def rss_schedule(spark, sf_dir):
-    sigmas = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: (30 - i) / F.lit(30.0))
-    return spark.range(30).select(F.col("id").alias("step"), _r(schedules.rss_weight(sigmas, F.col("id").cast("int"), 0.5, 0.2)).alias("weight"))
+    """The correction weight after a step of each event's schedule."""
+    n = F.col("event_id") % 30 + 2
+    e = table(spark, sf_dir, "events").select("event_id", n.alias("n"), (F.col("event_id") % 29 % n).alias("step"))
+    sigmas = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: (F.col("n") - i) / F.col("n").cast("double"))
+    return e.select("event_id", "step", _r(schedules.rss_weight(sigmas, F.col("step").cast("int"), 0.5, 0.2)).alias("weight"))
 
 
 _TREE = """f AS (SELECT doc_id, ['rain', 'snow', 'haze'][doc_id % 3 + 1] AS weather, doc_id // 3 % 4 AS s FROM documents),
@@ -462,6 +472,37 @@ def position_in_group(spark, sf_dir):
     return _indexed(spark, sf_dir).select("doc_id", "sub_name", "image_index")
 
 
+@query(
+    """WITH a AS (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) - 1 AS place FROM events), b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS place FROM documents)
+    SELECT place, event_id, doc_id FROM a JOIN b USING (place)"""
+)
+def positional_pairs(spark, sf_dir):
+    """Predictions and ground truth that only their order relates; the longer list is cut."""
+    left = table(spark, sf_dir, "events").select("event_id", "ts")
+    right = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    found = places.zipped(left, right, [F.col("ts").desc(), F.col("event_id")], [F.col("n_chars"), F.col("doc_id")])
+    return found.select("place", "event_id", "doc_id")
+
+
+_BATCHES = """o AS (SELECT epoch, doc_id, row_number() OVER (PARTITION BY epoch ORDER BY md5(concat('11:', epoch, ':', doc_id)), doc_id) - 1 AS place FROM documents, (SELECT unnest(range(0, 3))::INT AS epoch)),
+    b AS (SELECT epoch, place // 16 AS batch, place, doc_id FROM o WHERE place < (SELECT count(*) // 16 * 16 FROM documents))"""
+
+
+def _batched(spark, sf_dir):
+    return places.batches(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", 16, 11, 3, True)
+
+
+@query(f"WITH {_BATCHES} SELECT epoch, batch, place, doc_id FROM b")
+def epoch_batches(spark, sf_dir):
+    return _batched(spark, sf_dir).select("epoch", "batch", "place", "doc_id")
+
+
+@query(f"WITH {_BATCHES} SELECT epoch, batch, count(*)::INT AS n, string_agg(doc_id, ',' ORDER BY place) AS doc_ids FROM b GROUP BY epoch, batch")
+def collated_batches(spark, sf_dir):
+    stacked = places.collated(_batched(spark, sf_dir), ["doc_id"])
+    return stacked.select("epoch", "batch", "n", F.array_join("doc_id", ",").alias("doc_ids"))
+
+
 @query(
     f"""WITH {_SAVED}, k AS (SELECT *, count(*) OVER (PARTITION BY sub_name) AS n FROM j),
     c AS (SELECT *, CASE WHEN sub_name = 'rain_set1' THEN 3 WHEN weather = 'rain' THEN 5 WHEN weather = 'snow' THEN 0 WHEN sub_name = 'haze_set2' THEN 2000000 ELSE n END AS k FROM k)
@@ -486,10 +527,169 @@ def prompt_lookup(spark, sf_dir):
     return pairing.with_lookup(own.select("doc_id", "prompt"), known, "prompt").select("doc_id", "prompt_id")
 
 
-@query("SELECT concat('image', i) AS image, 'one prompt' AS prompt FROM (SELECT unnest(range(0, 3)) AS i)")
+@query(
+    """WITH p AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS at FROM benchmark), d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS at FROM documents)
+    SELECT 'one prompt' AS kind, d.at, doc_id, length(text)::INT AS n FROM d, p WHERE p.at = 0 UNION ALL SELECT 'one image', p.at, doc_id, length(text)::INT FROM p, d WHERE d.at = 0
+    UNION ALL SELECT 'both', p.at, doc_id, length(text)::INT FROM p JOIN d ON p.at = d.at"""
+)
 def validation_pairs(spark, sf_dir):
-    shown = spark.range(3).select(F.col("id").alias("at"), F.concat(F.lit("image"), F.col("id").cast("string")).alias("image"))
-    return pairing.matched(shown, spark.range(1).select(F.col("id").alias("at"), F.lit("one prompt").alias("prompt"))).select("image", "prompt")
+    """One prompt for all images, one image for all prompts, and as many of both."""
+    prompt = places.placed(table(spark, sf_dir, "benchmark").select("item_id", "text"), [F.col("item_id")], "at").select("at", "text")
+    image = places.placed(table(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")], "at")
+    as_many = image.join(prompt.select("at"), "at", "left_semi")
+    kinds = {"one prompt": (image, prompt.where("at = 0")), "one image": (image.where("at = 0"), prompt), "both": (as_many, prompt)}
+    found = [pairing.matched(i, p).select(F.lit(kind).alias("kind"), "at", "doc_id", F.length("text").alias("n")) for kind, (i, p) in kinds.items()]
+    return found[0].union(found[1]).union(found[2])
+
+
+def _weights(kernel: str) -> str:
+    """SQL of the table r: weight of value k of n in result i of m."""
+    return f"""z AS (SELECT n, m, greatest(n / m::DOUBLE, 1) AS scale, unnest(range(0, m)) AS i FROM (VALUES (8, 5), (4, 5), (16, 20), (16, 5), (8, 6)) AS v(n, m)),
+    y AS (SELECT n, m, i, k, abs((k + 0.5 - (i + 0.5) * n / m) / scale) AS t FROM (SELECT *, unnest(range(0, n)) AS k FROM z)),
+    x AS (SELECT n, m, i, k, {kernel} AS w FROM y), r AS (SELECT n, m, i, k, w / sum(w) OVER (PARTITION BY n, m, i) AS w FROM x)"""
+
+
+_LINEAR = "greatest(0.0::DOUBLE, 1 - t)"
+_CUBIC = "CASE WHEN t < 1 THEN 1.5::DOUBLE * t * t * t - 2.5::DOUBLE * t * t + 1 WHEN t < 2 THEN -0.5::DOUBLE * (t * t * t - 5 * t * t + 8 * t - 4) ELSE 0 END"
+#: Patches of two shapes, 8 x 8 and 4 x 16, by their values; rows of both are resampled together.
+_SHAPED = """h AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 4 END AS high, CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 16 END AS wide, pred FROM p),
+    v AS (SELECT vec_id, high, wide, unnest(range(0, 64)) // wide AS row_, unnest(range(0, 64)) % wide AS col, unnest(pred) AS value FROM h)"""
+
+
+def _shaped(spark, sf_dir):
+    ship(spark)
+    own = table(spark, sf_dir, "embeddings").select("vec_id", pixels.unit_range(F.col("embedding")).alias("values"))
+    even = F.col("vec_id") % 2 == 0
+    return own.withColumns({"height": F.when(even, 8).otherwise(4), "width": F.when(even, 8).otherwise(16)})
+
+
+def _pixels_of(df: DataFrame, size: int) -> DataFrame:
+    each = df.select("vec_id", F.posexplode("prepared").alias("at", "value"))
+    return each.select("vec_id", F.floor(F.col("at") / size).alias("i"), (F.col("at") % size).cast("long").alias("j"), _r("value").alias("value"))
+
+
+@query(
+    f"""WITH {_PATCHES}, {_SHAPED}, {_weights(_LINEAR)}, s2 AS (SELECT vec_id, row_, col, value, high, wide, CASE WHEN high = 8 THEN 5 ELSE 20 END AS across FROM v)
+    SELECT vec_id, a.i, CASE WHEN across = 20 THEN b.i - 8 ELSE b.i END AS j, round(sum(a.w * b.w * value), 6) AS value FROM s2 JOIN r a ON a.n = high AND a.m = 5 AND a.k = row_ JOIN r b ON b.n = wide AND b.m = across AND b.k = col
+    WHERE across = 5 OR b.i BETWEEN 8 AND 12 GROUP BY vec_id, a.i, b.i, across"""
+)
+def short_side_patches(spark, sf_dir):
+    """Short side to 5, bilinear, then the middle square."""
+    return _pixels_of(images.with_prepared(_shaped(spark, sf_dir), 5, images.short_side_crop, channels=1), 5)
+
+
+@query(
+    f"""WITH {_PATCHES}, {_SHAPED}, {_weights(_CUBIC)}
+    SELECT vec_id, a.i, b.i AS j, round(least(greatest(sum(a.w * b.w * value), 0.0), 1.0), 6) AS value FROM v JOIN r a ON a.n = high AND a.m = 5 AND a.k = row_ JOIN r b ON b.n = wide AND b.m = 5 AND b.k = col GROUP BY vec_id, a.i, b.i"""
+)
+def square_patches(spark, sf_dir):
+    """To 5 x 5, bicubic, whatever the shape."""
+    return _pixels_of(images.with_prepared(_shaped(spark, sf_dir), 5, images.square, channels=1), 5)
+
+
+@query(
+    f"""WITH {_PATCHES}, {_weights(_LINEAR)}, o AS (SELECT vec_id, weather, pred, target FROM q WHERE target IS NOT NULL AND weather < 6
+        QUALIFY row_number() OVER (PARTITION BY weather ORDER BY md5(concat(concat('0x', left(md5(weather::VARCHAR), 8))::BIGINT % 2147483648, ':', vec_id)), vec_id) <= 7),
+    u AS (SELECT vec_id, weather, unnest(range(0, 64)) AS l, unnest(pred) AS a, unnest(target) AS b FROM o),
+    px AS (SELECT vec_id, weather, ra.i * 6 + rb.i AS m, sum(ra.w * rb.w * a) AS a, sum(ra.w * rb.w * b) AS b FROM u JOIN r ra ON ra.n = 8 AND ra.m = 6 AND ra.k = l // 8 JOIN r rb ON rb.n = 8 AND rb.m = 6 AND rb.k = l % 8 GROUP BY vec_id, weather, ra.i, rb.i),
+    nb AS (SELECT k, m, k // 6 - m // 6 AS dy, k % 6 - m % 6 AS dx FROM (SELECT unnest(range(0, 36)) AS k), (SELECT unnest(range(0, 36)) AS m)), {_SSIM},
+    im AS (SELECT px.vec_id, weather, -10 * log10(avg((a - b) * (a - b))) AS psnr, any_value(ssim) AS ssim FROM px JOIN ss ON px.vec_id = ss.vec_id GROUP BY px.vec_id, weather),
+    w AS (SELECT weather, avg(psnr) AS psnr, avg(ssim) AS ssim FROM im GROUP BY weather)
+    SELECT 1500::BIGINT AS step, concat('val/', weather, '/psnr') AS key, round(psnr, 6) AS value FROM w UNION ALL SELECT 1500, concat('val/', weather, '/ssim'), round(ssim, 6) FROM w
+    UNION ALL SELECT 1500, 'val/avg_psnr', round(avg(psnr), 6) FROM w UNION ALL SELECT 1500, 'val/avg_ssim', round(avg(ssim), 6) FROM w"""
+)
+def step_validation(spark, sf_dir):
+    """Seven patches of each of six weathers, brought to 6 x 6 and scored, as rows of a step log."""
+    ship(spark)
+    own = patches(spark, sf_dir).select(F.col("vec_id").alias("image_id"), "weather", "pred", "target", F.lit(8).alias("height"), F.lit(8).alias("width"))
+    _, log = validation.step_validation(own, 1500, list(range(6)), 7, 6, channels=1)
+    return log.withColumn("value", _r("value"))
+
+
+@query("SELECT 'run1' AS run, event_id // 500 AS step, event_type AS key, round(avg(CASE WHEN event_id // 500 % 2 = 0 THEN value + 1 ELSE value END), 6) AS value FROM events GROUP BY event_id // 500, event_type")
+def step_log(spark, sf_dir):
+    """Means per 500 events, appended to a log; then every other step is appended once more with other values."""
+    e = table(spark, sf_dir, "events").select(F.lit("run1").alias("run"), F.floor(F.col("event_id") / 500).alias("step"), F.col("event_type").alias("key"), "value")
+    log = folder(spark, "step-log")
+    means = lambda rows, v: rows.groupBy("run", "step", "key").agg(F.avg(v).alias("value"))
+    tables.append_steps(means(e, F.col("value")), log)
+    tables.append_steps(means(e.where("step % 2 = 0"), F.col("value") + 1), log)
+    return tables.read_steps(spark, log).withColumn("value", _r("value"))
+
+
+_TYPED = """f AS (SELECT d.doc_id, concat(source, '/', d.doc_id, CASE WHEN d.doc_id % 9 = 0 THEN '.gif' ELSE '.png' END) AS image, CASE WHEN l.doc_id IS NOT NULL THEN concat('lq/', d.doc_id, '.png') END AS conditioning_image, text,
+        CASE WHEN d.doc_id % 11 = 0 THEN 'many' ELSE (quality + d.doc_id)::VARCHAR END AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+    k AS (SELECT *, list_filter([CASE WHEN image IS NULL THEN 'image is null' END, CASE WHEN conditioning_image IS NULL THEN 'conditioning_image is null' END, CASE WHEN text IS NULL THEN 'text is null' END,
+        CASE WHEN quality IS NOT NULL AND try_cast(quality AS BIGINT) IS NULL THEN 'quality is no bigint' END, CASE WHEN NOT coalesce(ends_with(image, '.png'), false) THEN 'image' END], lambda x: x IS NOT NULL) AS faults FROM f)"""
+
+
+def _checked(spark, sf_dir):
+    """Rows of a training table as text, some of them faulty."""
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.when(i % 9 == 0, ".gif").otherwise(".png")).alias("image"), "text")
+    known = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("lq/"), "doc_id", F.lit(".png")).alias("conditioning_image"), "quality")
+    rows = d.join(known, "doc_id", "left").withColumn("quality", F.when(i % 11 == 0, "many").otherwise((F.col("quality") + i).cast("string")))
+    schema = "doc_id long, image string NOT NULL, conditioning_image string NOT NULL, text string NOT NULL, quality long"
+    return tables.checked(rows, schema, {"image": paths.is_image(F.col("image"))})
+
+
+@query(f"WITH {_TYPED} SELECT doc_id, image, conditioning_image, length(text)::INT AS n, quality::BIGINT AS quality FROM k WHERE len(faults) = 0")
+def typed_rows(spark, sf_dir):
+    return tables.accepted(_checked(spark, sf_dir)).select("doc_id", "image", "conditioning_image", F.length("text").alias("n"), "quality")
+
+
+@query(f"WITH {_TYPED} SELECT doc_id, array_to_string(faults, ', ') AS faults FROM k WHERE len(faults) > 0")
+def typed_rejects(spark, sf_dir):
+    return tables.rejected(_checked(spark, sf_dir)).select(F.get_json_object("row", "$.doc_id").cast("long").alias("doc_id"), F.array_join("faults", ", ").alias("faults"))
+
+
+@query(f'WITH {_PROMPTED}, y AS (SELECT prompt, min(doc_id) AS "first", count(*) AS n FROM x GROUP BY prompt) SELECT prompt, "first", n FROM y')
+def cached_prompts(spark, sf_dir):
+    """The prompts of a table through a cached map: built once, then read."""
+    at, source = folder(spark, "cache"), f"{sf_dir}/documents.parquet"
+    build = lambda _: pairing.prompt_dictionary(_prompted(spark, sf_dir), "prompt", "doc_id").select("prompt", "first", "n")
+    tables.cached_map(spark, at, [source], build, "prompts-1", {"share": 0.2})
+
+    def never(_):
+        raise AssertionError("the table stands under its fingerprint")
+
+    return tables.cached_map(spark, at, [source], never, "prompts-1", {"share": 0.2})
+
+
+@query("SELECT place, doc_id, source FROM (SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) - 1 AS place FROM documents) WHERE place IN (0, 7, 50, 100, 499, 500, 999)")
+def fetched_rows(spark, sf_dir):
+    """Seven rows by their places in a table that is written in an order."""
+    at = folder(spark, "placed")
+    tables.write_by_place(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), [F.col("source"), F.col("doc_id")], at, 100)
+    return tables.fetch(spark, at, [500, 0, 7, 50, 100, 499, 999, 7], 100).select("place", "doc_id", "source")
+
+
+def _poly(factors: list[float], x: str) -> str:
+    out = f"({factors[0]!r})::DOUBLE"
+    for f in factors[1:]:
+        out = f"({out} * {x} + ({f!r})::DOUBLE)"
+    return out
+
+
+def _tail(q: str) -> str:
+    return f"{_poly(schedules.TAIL_TOP, q)} / {_poly(schedules.TAIL_BOTTOM, q)}"
+
+
+@query(
+    f"""WITH u AS (SELECT event_id, (concat('0x', left(md5(concat('5:', event_id)), 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM events),
+    q AS (SELECT *, sqrt(-2 * ln(u)) AS lo, sqrt(-2 * ln(1 - u)) AS hi, (u - 0.5) AS r FROM u),
+    z AS (SELECT *, CASE WHEN u < 0.02425 THEN {_tail("lo")} WHEN u > 1 - 0.02425 THEN -({_tail("hi")}) ELSE {_poly(schedules.MIDDLE_TOP, "(r * r)")} * r / {_poly(schedules.MIDDLE_BOTTOM, "(r * r)")} END AS z FROM q)
+    SELECT event_id, round(z, 6) AS normal, trunc(1 / (1 + exp(-(z * 1.2 + 0.3))) * 1000)::INT AS logit_normal, trunc((1 - u - 1.29 * (cos(pi() / 2 * u) * cos(pi() / 2 * u) - 1 + u)) * 1000)::INT AS mode,
+        trunc((1 - 1 / (tan(pi() / 2 * u) + 1)) * 1000)::INT AS cosine, trunc(u * 1000)::INT AS even FROM z"""
+)
+def timestep_draws(spark, sf_dir):
+    """Timesteps of each event by the densities of the weighting schemes."""
+    u = schedules.uniform_draw(F.col("event_id"), 5)
+    drawn = lambda *a: schedules.timestep_index(schedules.timestep_density(F.col("u"), *a))
+    e = table(spark, sf_dir, "events").select("event_id", u.alias("u"))
+    return e.select(
+        "event_id", _r(schedules.inverse_normal(F.col("u"))).alias("normal"), drawn("logit_normal", 0.3, 1.2).alias("logit_normal"), drawn("mode").alias("mode"), drawn("cosine").alias("cosine"), drawn("cosmap").alias("even"),
+    )
 
 
 @query(
@@ -518,10 +718,16 @@ def total_loss(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", _r(schedules.total_loss(v, terms)).alias("loss"))
 
 
-@query("SELECT i AS block, (i < 23 AND (i + 1) % 4 = 0) AS ends_stage, (i // 2)::INT AS residual FROM (SELECT unnest(range(0, 24)) AS i)")
+@query(
+    """WITH e AS (SELECT event_id, event_id % 23 + 2 AS layers, event_id % 31 % (event_id % 23 + 2) AS block FROM events)
+    SELECT event_id, block, (block < layers - 1 AND (block + 1) % 4 = 0) AS ends_stage, floor(block / (layers / (layers // 2)::DOUBLE))::INT AS residual FROM e"""
+)
 def stages(spark, sf_dir):
-    i = F.col("id")
-    return spark.range(24).select(i.alias("block"), F.array_contains(schedules.stage_indices(F.lit(24), 4), i.cast("int")).alias("ends_stage"), schedules.residual_index(i, 24, 12).alias("residual"))
+    """Whether a block ends a stage, and which control output it takes, in networks whose depth follows from the event."""
+    layers = F.col("event_id") % 23 + 2
+    e = table(spark, sf_dir, "events").select("event_id", layers.alias("layers"), (F.col("event_id") % 31 % layers).alias("block"))
+    ends = F.array_contains(schedules.stage_indices(F.col("layers"), 4), F.col("block"))
+    return e.select("event_id", "block", ends.alias("ends_stage"), schedules.residual_index(F.col("block"), F.col("layers"), F.floor(F.col("layers") / 2)).alias("residual"))
 
 
 @query("SELECT doc_id, CASE WHEN (concat('0x', left(md5(doc_id::VARCHAR), 8))::BIGINT % 1000000) / 1000000.0::DOUBLE < 0.3 THEN '' ELSE ['one', 'two', 'three'][concat('0x', substr(md5(doc_id::VARCHAR), 9, 7))::BIGINT % 3 + 1] END AS caption FROM documents")

@@ -64,6 +64,41 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, store = _file_system(spark, path)
+    return store.exists(at)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Give a folder of the shared store its name; if that is taken, the folder goes."""
+    at, store = _file_system(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(to)
+    if store.exists(target) or not store.rename(at, target):
+        store.delete(at, True)
+
+
+def files_below(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, time) of the files below a path, in order."""
+    at, store = _file_system(spark, path)
+    found, listed = [], store.listFiles(at, True)
+    while listed.hasNext():
+        f = listed.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path on the shared store, which `drop_tables` removes like a table."""
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _tables[path] = spark.sparkContext.applicationId
+    return path
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that `materialize` returned and that nothing reads any more."""
     for t in tables:
