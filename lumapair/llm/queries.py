@@ -73,7 +73,7 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumn("hits", F.array_join("hits", ","))
 
 
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +135,7 @@ ORACLE_SQL: dict[str, str] = {
              f AS (SELECT page_id, arg_max(r_host || r_path, length(r_host || r_path)) AS rule, arg_max(verdict, length(r_host || r_path)) AS verdict
                    FROM u JOIN r ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY page_id),
              w AS (SELECT *, (2 * len(list_intersect(hits, {_STRICT})) + len(list_intersect(hits, {_SOFT})))::BIGINT AS weight FROM h)
-        SELECT w.page_id, host, path, rule, coalesce(verdict, CASE WHEN weight >= 2 THEN 'block' ELSE 'allow' END) AS verdict, hits, weight FROM w LEFT JOIN f ON w.page_id = f.page_id
+        SELECT w.page_id, host, path, rule, coalesce(verdict, CASE WHEN weight >= 2 THEN 'block' ELSE 'allow' END) AS verdict, array_to_string(hits, ',') AS hits, weight FROM w LEFT JOIN f ON w.page_id = f.page_id
     """,
     "op13_negatives": r"""
         WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
