@@ -9,6 +9,8 @@ size, so that equal sizes stand together and what is taken stays near the target
 the expected copies are summed along this order, one random offset per source is
 added, and a document is emitted once for each integer boundary its interval crosses.
 
+Equal sizes are ordered by id, null last, and then by the text's hash.
+
 Defined results for odd input: texts of any length count whole; null text has no words, and a document without
 words takes none; a source without words has target 0 and is taken 0 times; rows
 that repeat an id are sampled each for itself (in `mixed_documents` they share the
@@ -98,9 +100,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.toDF(*names).withColumn("k", F.xxhash64(i, s, F.xxhash64(t)))
     joined = keyed.join(times, "k")
     values = [F.col(f.name) if isinstance(f.dataType, AtomicType) else F.to_json(F.struct(f.name)) for f in joined.select(names).schema]
-    place = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(*values)))
-    share = F.floor(F.col("place") * F.col("copies") / F.col("rows")) - F.floor((F.col("place") - 1) * F.col("copies") / F.col("rows"))
     alone = joined.where("rows = 1").select(*names, F.col("copies").alias("n"))
-    shared = joined.where("rows > 1").withColumn("place", place).select(*names, share.cast("long").alias("n")).where("n > 0")
+    # Rows that repeat are numbered by ranges, as one of them may be very many.
+    repeated = materialize(joined.where("rows > 1").withColumn("order", F.xxhash64(*values)).withColumn("row", F.monotonically_increasing_id()), "repeated")
+    placed = numbered(repeated, F.col("k"), [F.col("order"), F.col("row")], "place", repeated.count())
+    share = F.floor((F.col("place") + 1) * F.col("copies") / F.col("rows")) - F.floor(F.col("place") * F.col("copies") / F.col("rows"))
+    shared = placed.select(*names, share.cast("long").alias("n")).where("n > 0")
     again = alone.union(shared).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return again.select(names).toDF(*docs.columns)

@@ -13,12 +13,11 @@ choice of it finds the same links.
 `near_groups` links documents by the similarity of their shingle sets, with SimHash and
 BK-trees as the search: documents that share one of their least shingle hashes meet in
 a shard, a BK-tree finds those within `reach` bits there, and the exact Jaccard
-similarity of the whole sets decides. A shard keeps a tree of its leaders (documents
-linked to no earlier leader, in a random order of its own), so a family costs its size
-times its leaders rather than all pairs. Shards above `shard_docs` are dealt into parts
-whose leaders meet again, until one part is left or leaders no longer grow fewer: such
-documents share a shingle and little else, and near copies among them meet in their
-other shards.
+similarity of the whole sets decides; a document is not compared with those that its group holds
+already. Shards above `shard_docs` are dealt into parts in a random order, whose leaders (documents
+similar to none before them) meet again, so that a family costs its size and not all its
+pairs. Where leaders hardly grow fewer (documents that share a template or a passage and
+little else), they meet by rarer shingles, which loses no pair among them.
 
 Defined results for odd input: null and empty texts, and texts of white space
 only, have fingerprint zero and link like any other; fewer words than a shingle
@@ -189,7 +188,7 @@ KEYS = 5
 #: Bits within which a BK-tree searches; at a similarity of 0.8 two fingerprints differ in 9.7 bits, and in more than 18 once in 1000.
 REACH = 18
 SHARD_DOCS = 1000
-#: A shard that its parts' leaders do not shrink to this share has no further round.
+#: A large shard that its parts' leaders do not shrink to this share meets by rarer shingles.
 SHRUNK = 0.75
 
 
@@ -229,7 +228,7 @@ def _sets(shingle: int):
 
 
 def leaders_and_links(nodes: list[int], fps: list[int], sets: list[np.ndarray], similarity: float, reach: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Positions of the leaders, and pairs of positions that are similar; each position is compared with all leaders before it that its group does not hold yet."""
+    """Positions of the leaders (those similar to none before them), and pairs of positions that are similar; each position is compared with all before it that its group does not hold yet."""
     leaders: list[int] = []
     kids: list[dict[int, int]] = []
     group = list(range(len(nodes)))
@@ -243,36 +242,32 @@ def leaders_and_links(nodes: list[int], fps: list[int], sets: list[np.ndarray],
 
     for i in range(len(nodes)):
         x, near = fps[i], []
-        stack = [0] if leaders else []
+        stack = [0] if i else []
         while stack:
             j = stack.pop()
-            d = (x ^ fps[leaders[j]]).bit_count()
+            d = (x ^ fps[j]).bit_count()
             if d <= reach:
-                near.append((d, leaders[j]))
+                near.append((d, j))
             for e, k in kids[j].items():
                 if -reach <= e - d <= reach:
                     stack.append(k)
         linked = False
+        a = sets[i]
         for _, j in sorted(near):
-            if root(i) == root(j):
-                continue
-            a, b = sets[i], sets[j]
-            if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+            b = sets[j]
+            if root(i) == root(j) or min(len(a), len(b)) < similarity * max(len(a), len(b)):
                 continue
             both = len(np.intersect1d(a, b, assume_unique=True))
             if both >= similarity * (len(a) + len(b) - both):
                 links.append((i, j))
                 group[root(i)] = root(j)
                 linked = True
-        if linked:
-            continue
-        # A leader: it goes into the tree.
-        leaders.append(i)
+        if not linked:
+            leaders.append(i)
         kids.append({})
         at = 0
-        while at != len(leaders) - 1:
-            d = (x ^ fps[leaders[at]]).bit_count()
-            at = kids[at].setdefault(d, len(leaders) - 1)
+        while at != i:
+            at = kids[at].setdefault((x ^ fps[at]).bit_count(), i)
     return leaders, links
 
 
@@ -313,33 +308,98 @@ def _part(similarity: float, reach: int):
     return run
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as arrays, once per shard of each document."""
+    for b in batches:
+        own = [np.frombuffer(x, "<u4").astype(np.int64).tolist() for x in b["grams"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([b["key"], b["node"], pa.array(own, pa.list_(pa.int64()))], ["key", "node", "grams"])
+
+
+def _meeting(each: DataFrame) -> DataFrame:
+    """(key, n) of the shards of (key, node) that hold two documents or more; of shards with the same documents, one is enough."""
+    sizes = each.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
+    return sizes.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n")
+
+
+def _rare_keys(stuck: DataFrame, similarity: float, shard_docs: int) -> tuple[DataFrame, DataFrame]:
+    """For documents (key, node, grams) of shards too large to be compared whole: (key, node) by shingles that few of the shard have, and (key, node, n) of those made of shingles that many have.
+
+    Shingles in more than shard_docs documents of a shard are left aside. Two documents of the
+    similarity still share so many others that each has one of them among its first, in any order common
+    to both: as many as may differ, and one. So no pair is lost, and no key has more than
+    shard_docs documents. Only pairs of documents that consist of the shingles left aside to that
+    share may have nothing else in common; these are the second result.
+    """
+    each = stuck.select("key", "node", "grams").mapInArrow(_grams, "key long, node long, grams array<long>")
+    each = materialize(each.select("key", "node", F.size("grams").alias("size"), F.explode("grams").alias("gram")), "near-grams")
+    common = each.groupBy("key", "gram").agg(F.count("*").alias("n")).where(F.col("n") > shard_docs)
+    rare = each.join(common, ["key", "gram"], "left_anti").groupBy("key", "node").agg(F.sort_array(F.collect_list("gram")).alias("rare"))
+    sizes = each.select("key", "node", "size").distinct()
+    docs = materialize(sizes.join(rare, ["key", "node"], "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<long>"))), "near-rare")
+    shared = F.ceil(F.lit(similarity) * F.col("size")) - (F.col("size") - F.size("rare"))
+    first = F.when(shared > 0, F.slice("rare", 1, (F.size("rare") - shared + 1).cast("int"))).otherwise(F.col("rare"))
+    keys = docs.select("key", "node", F.explode(first).alias("gram")).select(F.xxhash64("key", "gram").alias("key"), "node")
+    rest = docs.where(shared <= 0).select("key", "node")
+    return keys, rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key")
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, keys: int = KEYS, reach: int = REACH, shard_docs: int = SHARD_DOCS
 ) -> DataFrame:
-    """(node, component) of every id that is linked to another: component is the smallest id reachable over pairs of at least that similarity."""
+    """(node, component) of every id that is linked to another: component is the smallest id reachable over pairs of at least that similarity.
+
+    Documents meet in shards by their least shingle hashes. A shard of up to shard_docs is compared whole. A larger one is
+    dealt into parts, whose leaders go on together, until they fit one part. If they grow few
+    too slowly (documents that share a template, say), they meet in new shards by shingles that few of them have,
+    and those that consist of the template part by part, every two of them.
+    """
     texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     least = materialize(texts.mapInArrow(_keys(shingle, keys), "node long, keys array<long>"), "near-keys")
     each = least.select(F.explode("keys").alias("key"), "node")
-    # Shards of one document tell nothing; of shards with the same documents, one is enough.
-    shards = each.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
-    shards = materialize(shards.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n"), "near-shards")
+    shards = materialize(_meeting(each), "near-shards")
     mine = materialize(each.join(shards, "key").groupBy("node").agg(F.collect_set(F.struct("key", "n")).alias("shards")), "near-members")
     # Only documents that meet another are cut into shingles again, and send them.
     named = texts.select(F.col("id").alias("node"), "text").join(mine, "node").select("node", "text", "shards")
     sets = named.mapInArrow(_sets(shingle), "node long, fp long, shards array<struct<key:long,n:long>>, grams binary")
     rows = sets.select(F.explode("shards").alias("s"), "node", "fp", "grams").select("s.key", "s.n", "node", "fp", "grams")
-    links, round_ = None, 0
-    while True:
-        dealt = rows.withColumn("parts", F.ceil(F.col("n") / shard_docs)).withColumn("g", F.pmod(F.xxhash64("node", F.lit(round_)), F.col("parts")))
+    links, stuck = [], []
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        """What the parts (key, g) tell; their links are kept."""
         dealt = dealt.repartition("key", "g").sortWithinPartitions("key", "g", F.xxhash64("node", "key"), "node")
         found = materialize(dealt.mapInArrow(_part(similarity, reach), "what int, a long, b long, key long, fp long, grams binary"), "near-found")
-        pairs = found.where("what = 0").select("a", "b")
-        links = pairs if links is None else links.union(pairs)
-        leaders = found.where("what = 1").select("key", F.col("a").alias("node"), F.col("b").alias("before"), "fp", "grams")
-        counts = leaders.groupBy("key").agg(F.count("*").alias("n"), F.max("before").alias("before")).where(F.col("n") <= SHRUNK * F.col("before"))
-        counts = materialize(counts.select("key", "n"), "near-leaders")
+        links.append(found.where("what = 0").select("a", "b"))
+        return found.where("what = 1").select("key", F.col("a").alias("node"), F.col("b").alias("before"), "fp", "grams")
+
+    round_ = 0
+    while True:
+        parts = F.ceil(F.col("n") / shard_docs)
+        leaders = compared(rows.withColumn("parts", parts).withColumn("g", F.pmod(F.xxhash64("node", "key", F.lit(round_)), F.col("parts"))))
+        counts = leaders.groupBy("key").agg(F.count("*").alias("n"), F.max("before").alias("before"))
+        counts = materialize(counts.withColumn("on", (F.col("n") <= shard_docs) | (F.col("n") <= SHRUNK * F.col("before"))).drop("before"), "near-leaders")
         if counts.isEmpty():
             break
-        rows, round_ = leaders.join(counts, "key").select("key", "n", "node", "fp", "grams"), round_ + 1
+        staying = leaders.join(counts, "key").select("on", "key", "n", "node", "fp", "grams")
+        stuck.append(staying.where("NOT on").select("key", "node", "fp", "grams"))
+        rows, round_ = staying.where("on").drop("on"), round_ + 1
+    if stuck and not (held := _united(stuck)).isEmpty():
+        held = materialize(held, "near-stuck")
+        again, rest = _rare_keys(held, similarity, shard_docs)
+        again = materialize(again, "near-keys")
+        one = F.lit(1).cast("long")
+        meeting = again.join(materialize(_meeting(again), "near-shards"), "key").select("key", "node", "n", one.alias("parts"), F.lit(0).cast("long").alias("g"))
+        # Documents of the template alone: every two of their parts, unless they fit one.
+        dealt = rest.withColumn("parts", F.when(F.col("n") > shard_docs, F.ceil(2 * F.col("n") / shard_docs)).otherwise(1).cast("long")).withColumn("t", F.pmod(F.xxhash64("node", "key"), F.col("parts")))
+        both = dealt.withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("parts = 1 OR t <> u")
+        pairs = both.select(F.xxhash64("key", F.least("t", "u"), F.greatest("t", "u"), F.lit("parts")).alias("key"), "node", "n", one.alias("parts"), F.lit(0).cast("long").alias("g"))
+        bodies = held.groupBy("node").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams"))
+        compared(meeting.union(pairs).join(bodies, "node").select("key", "n", "node", "fp", "grams", "parts", "g"))
     discard(least, shards, mine)
-    return connected_components(links)
+    return connected_components(_united(links))
+
+
+def _united(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out

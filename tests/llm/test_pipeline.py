@@ -107,6 +107,51 @@ def test_near_groups_of_a_family_larger_than_a_shard(spark):
     assert got == dict.fromkeys(range(300), 0)
 
 
+@pytest.mark.parametrize("pairs, shard_docs", [(400, 40), (400, 300), (150, 1000)])
+def test_near_copies_behind_a_template(spark, pairs, shard_docs):
+    """Documents that share most of their text with all others, and are near copies of one: the least hashes lie in what all share."""
+    rng = np.random.default_rng(33)
+    template = " ".join(f"t{i}" for i in range(300))
+    rows = []
+    for i in range(pairs):
+        own = [f"o{i}x{j}" for j in range(100)]
+        for c in (0, 1):
+            own = own if c == 0 else [f"changed{i}" if j == 50 else w for j, w in enumerate(own)]
+            rows.append((i + c * 10_000, template + " " + " ".join(own)))
+    # Of the template alone, with a word or two of their own; these are one family.
+    rows += [(20_000 + i, template.replace(f"t{int(rng.integers(0, 300))} ", f"z{i} ")) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["node"]: r["component"] for r in simhash.near_groups(df, shard_docs=shard_docs).collect()}
+    assert got == {i + c * 10_000: i for i in range(pairs) for c in (0, 1)} | dict.fromkeys(range(20_000, 20_060), 20_000)
+
+
+def test_rare_keys_lose_no_pair(spark):
+    """Sets of numbers with a common part of any share: every pair of the similarity has a key in common, or both are of the common part alone."""
+    rng = np.random.default_rng(34)
+    common = rng.choice(10**6, 100, replace=False)
+    sets = []
+    for share in (0, 20, 60, 79, 80, 81, 95, 100):
+        for _ in range(12):
+            base = np.concatenate([rng.choice(common, share, replace=False), rng.integers(10**6, 2 * 10**6, 100 - share)])
+            for gone in (0, 5, 11):
+                sets.append(np.unique(np.concatenate([base[gone:], rng.integers(2 * 10**6, 3 * 10**6, gone)])).astype("<u4"))
+    df = spark.createDataFrame([(7, i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "key long, node long, grams binary")
+    keys, rest = simhash._rare_keys(df, 0.8, 20)
+    by: dict[int, set[int]] = {}
+    for r in keys.collect():
+        by.setdefault(r["node"], set()).add(r["key"])
+    alone = {r["node"] for r in rest.collect()}
+    sizes = Counter(k for ks in by.values() for k in ks)
+    assert max(sizes.values()) <= 20 and 0 < len(alone) < len(sets)
+    near = 0
+    for i, j in combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            near += 1
+            assert by.get(i, set()) & by.get(j, set()) or {i, j} <= alone
+    assert near > 150
+
+
 def test_mix_stage(spark, docs):
     got = corpus_pipeline.mixed(spark, docs, "")
     taken = mixing.mix(docs).collect()
@@ -123,6 +168,16 @@ def test_mix_stage(spark, docs):
     assert Counter(map(tuple, corpus_pipeline.mixed(spark, docs.repartition(7), "").collect())) == times
 
 
+def test_mix_of_a_row_that_repeats_very_often(spark):
+    df = spark.createDataFrame([(1, "a b", "x")] * 900 + [(2, "c d e", "x"), (3, "f", "y"), (None, None, "y")], "doc_id long, text string, source string")
+    for partitions in (1, 6):
+        got = Counter(map(tuple, mixing.mixed_documents(df.repartition(partitions)).collect()))
+        want: Counter = Counter()
+        for r in mixing.mix(df).collect():
+            want[r["doc_id"]] += r["copies"]
+        assert Counter({k[0]: n for k, n in got.items()}) == Counter({k: n for k, n in want.items() if n})
+
+
 def test_run(spark, tmp_path, docs):
     docs.select("doc_id", "text", "lang", "source").write.parquet(str(tmp_path / "documents.parquet"))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
