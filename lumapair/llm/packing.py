@@ -3,7 +3,8 @@
 A document is its token ids and one end id. Only longer documents than a sequence
 are cut, into full pieces and a last one. A piece goes where the sum of the
 squared counts of open sequences per residual gap becomes smallest: into an open
-sequence, or into a new one.
+sequence, or into a new one. A sequence counts as open while a piece still to come fits it:
+gaps that nothing fits would only draw pieces away from good fits.
 
 Pieces are dealt by hash into groups of a bounded number of pieces, which are
 packed side by side, longest piece first. What a group leaves in open sequences
@@ -60,8 +61,12 @@ def _cut(tokenizer: str, length: int, end: int):
     return run
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each length, in the given order: bin and offset in it; and the gap each bin is left with."""
+def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH, until_none_fits: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each length, in the given order: bin and offset in it; and the gap each bin is left with. A bin is open while it has a gap, or only while a length still to come fits it."""
+    # The smallest gap that is open after each length.
+    least = np.ones(len(lengths), np.int64)
+    if until_none_fits:
+        least = np.append(np.minimum.accumulate(lengths[::-1])[::-1][1:], capacity + 1).astype(np.int64)[: len(lengths)]
     counts = np.zeros(capacity + 1, np.int64)
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     gaps: list[int] = []
@@ -71,9 +76,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndar
         change = 2 - 2 * counts[n:]
         change[1:] += 2 * counts[1 : capacity + 1 - n]
         change[0] -= 1
+        closed = int(min(least[i], capacity + 1 - n))
+        change[1:closed] = 1 - 2 * counts[n + 1 : n + closed]
         change[counts[n:] == 0] = np.iinfo(np.int64).max
         g = int(change.argmin())
-        fresh = 2 * int(counts[capacity - n]) + 1 if n < capacity else 0
+        fresh = 2 * int(counts[capacity - n]) + 1 if capacity - n >= least[i] else 0
         # Of equal changes, an open bin comes before a new one, and the smallest gap first.
         if change[g] <= fresh:
             gap = g + n
@@ -98,7 +105,7 @@ def _pack(capacity: int, last: bool):
 
     def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        bins, offsets, gaps = sum_of_squares(t["length"].to_numpy(), capacity)
+        bins, offsets, gaps = sum_of_squares(t["length"].to_numpy(), capacity, True)
         is_open = np.zeros(len(bins), bool) if last else gaps[bins] > 0
         for name, values in (("bin", bins), ("offset", offsets), ("open", is_open)):
             t = t.append_column(name, pa.array(values))

@@ -64,11 +64,19 @@ _BLOCKS = _CHROME | _MAIN | set("address blockquote body br center dd details di
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that stop at the end of a region even if they were never closed.
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar"}
-_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|"
-    r"related|replies|respond|share|sharing|sidebar|sidenav|skip|social|sponsor\w*|subscribe|subscription|toolbar|topbar|widget)(?=$|[\s_-])",
-    re.IGNORECASE,
+#: Parts of a class or id (between blanks, hyphens and underscores) that name what is not the article. A name counts if all its parts are of these lists and one is of the first three.
+_DISCUSSION = set("comment comments disqus replies reply respond responses".split())
+_OFFERS = set(
+    "ad ads advert adverts advertisement advertisements advertising consent cookie cookies gdpr newsletter pager pagination popup promo promoted promotion related share sharing sponsor sponsored sponsors subscribe subscription".split()
 )
+_FRAME = set("banner breadcrumb breadcrumbs footer header masthead menu modal nav navbar navigation notice sidebar sidenav skip social toolbar topbar widget widgets".split())
+_NEUTRAL = set(
+    "area article articles bar blog block body bottom box button buttons col column container content desktop end entry facebook fb first fixed form global google group holder icons in inline inner item items large last latest left link "
+    "links list main media mobile more new outer overlay page panel popular post posts primary reader readers right row secondary section signup site slot small sticky story text to top twitter unit user users window wp wrap wrapper".split()
+)
+#: Names that an article's own parts have too; within an article, what repeats over the host decides about them.
+_DOUBTFUL = {"footer", "header", "menu"}
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article-?(?:body|content|text)|post-?(?:body|content)|entry-?content|main-?content|content-?body|story-?body)(?=$|[\s_-])", re.IGNORECASE)
 # Attributes one by one: a name, and a value in quotes or up to the next blank. Nothing is tried twice.
 _VALUE = r"(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+|)))?+"
@@ -79,12 +87,28 @@ _SPACE = re.compile(r"\s+")
 Block = tuple[str, str]
 
 
+def _named(value: str, within: bool) -> str:
+    """What a class or id says: `hard` or `soft` chrome, or nothing. Within an article doubtful names say nothing."""
+    found = ""
+    for name in value.split():
+        parts = {p.lower().rstrip("0123456789") for p in _PARTS.split(name)} - {""}
+        known = parts & (_DISCUSSION | _OFFERS | _FRAME)
+        if not known or parts - known - _NEUTRAL or within and known <= _DOUBTFUL:
+            continue
+        if known - _FRAME:
+            return "hard"
+        found = "soft"
+    return found
+
+
 def _region(name: str, attrs: str, now: str) -> str:
-    """The region within an element that opens in region `now`."""
+    """The region within an element that opens in region `now`. `soft` is chrome by a name or a form, in which an article may still stand; `inner` is such an article."""
     if now == "chrome":
         return now
-    if name in _CHROME and not (name == "header" and now == "main"):
-        return "chrome"
+    if name in _CHROME and not (name == "header" and now in ("main", "inner")):
+        if name != "form":
+            return "chrome"
+        now = "soft" if now in ("open", "soft") else "chrome"
     found = ""
     if attrs and attrs.strip(" /"):
         for key, a, b, c in _ATTR.findall(attrs):
@@ -94,13 +118,20 @@ def _region(name: str, attrs: str, now: str) -> str:
             if key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
                 return "chrome"
             if key == "role" and value.lower() in ("main", "article"):
-                found = "main"
+                found = value.lower()
             if key in ("class", "id"):
+                within = now in ("main", "inner")
                 if _MAIN_WORDS.search(value):
-                    found = "main"
-                elif name not in ("html", "body", "article", "main") and (now != "main" or name in _CONTAINERS) and _WORDS.search(value):
-                    return "chrome"
-    return "main" if found or name in _MAIN else now
+                    found = found or "article"
+                elif name not in ("html", "body", "article", "main") and (not within or name in _CONTAINERS) and (says := _named(value, within)):
+                    if says == "hard" or within:
+                        return "chrome"
+                    now = "soft"
+    if name == "main" or found == "main":
+        return "main"
+    if name == "article" or found:
+        return "inner" if now in ("soft", "inner") else "main"
+    return now
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -175,7 +206,9 @@ def blocks_of(page: str | None) -> list[Block]:
         stack.append((name, region))
         region = inner
     close()
-    return out
+    # Articles within soft chrome are the page's text only if there is no other: else they are teasers.
+    main = {"soft": "chrome", "inner": "chrome" if any(r == "main" for r, _ in out) else "main"}
+    return [(main.get(r, r), t) for r, t in out]
 
 
 def _end_of_head(page: str, at: int) -> int:
@@ -294,23 +327,6 @@ class _Part:
         return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def _by_part(each, schema: pa.Schema):
-    """Sorted runs of rows of a (host, part) to what `each` makes of them: columns of schema."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        for b in batches:
-            for row in b.to_pylist():
-                if rows and (rows[0]["host"], rows[0]["part"]) != (row["host"], row["part"]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(each(rows), schema.types)], schema=schema)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(each(rows), schema.types)], schema=schema)
-
-    return run
-
-
 def _cut(blocks: list[int], starts: np.ndarray, least: int) -> list[int]:
     """Ranges of tokens that a row loses to the runs which begin at starts."""
     sizes, regions = np.array(blocks, np.int64) // 3, np.array(blocks, np.int64) % 3

@@ -3,9 +3,10 @@
 Equal texts form one atomic group. Groups are ordered by the first 64 bits of
 the SHA-256 of their text; shards are contiguous runs of this order, and the
 largest shard is as small as contiguous runs allow. The smallest feasible capacity is found by
-binary search with a greedy check. Within that capacity, each cut is made where the
-running sum comes nearest to an equal share of what is left, as long as the rest still
-fits; groups larger than an equal share stand alone. The driver never holds all groups: it works on
+binary search with a greedy check. Within that capacity the smallest shard is as large as can be, found
+by a second binary search over what can still be completed; of the cuts that keep both, each is made
+where the running sum comes nearest to an equal share of what is left. With fewer groups than shards,
+groups larger than an equal share stand alone. The driver never holds all groups: it works on
 sums over ranges of keys. A range that is refined no further is one that no greedy
 cut can fall into for any capacity still in question; the others are split until
 what is left in them are single groups. Sums held are bounded by
@@ -101,6 +102,42 @@ def balanced(sums: np.ndarray, capacity: int, shards: int) -> list[int]:
     return cuts
 
 
+def _completable(ends: np.ndarray, least: int, most: int, shards: int) -> list[np.ndarray]:
+    """For k = 0 to shards: from which places the rest can be cut into k runs of least to most each. ends starts with 0."""
+    found = [np.zeros(len(ends), bool)]
+    found[0][-1] = True
+    low = np.maximum(np.searchsorted(ends, ends + least, "left"), np.arange(len(ends)) + 1)
+    high = np.searchsorted(ends, ends + most, "right")
+    for _ in range(shards):
+        before = np.concatenate([[0], np.cumsum(found[-1])])
+        found.append(before[high] > before[np.minimum(low, high)])
+    return found
+
+
+def even_cuts(sums: np.ndarray, capacity: int, shards: int) -> list[int] | None:
+    """Cuts of whole items into runs of at most capacity, so that the smallest run is as large as can be; among these cuts, each near an equal share of what is left. None if some run would be empty."""
+    ends = np.concatenate([[0], np.cumsum(sums)])
+    low, high = 0, int(ends[-1]) // shards
+    if not _completable(ends, 0, capacity, shards)[shards][0]:
+        return None
+    while low < high:
+        mid = (low + high + 1) // 2
+        if _completable(ends, mid, capacity, shards)[shards][0]:
+            low = mid
+        else:
+            high = mid - 1
+    ways = _completable(ends, low, capacity, shards)
+    cuts, at = [], 0
+    for left in range(shards, 0, -1):
+        first = max(int(np.searchsorted(ends, ends[at] + low, "left")), at + 1)
+        reach = np.arange(first, int(np.searchsorted(ends, ends[at] + capacity, "right")))
+        reach = reach[ways[left - 1][reach]]
+        share = (int(ends[-1]) - int(ends[at])) / left
+        at = int(reach[np.abs(ends[reach] - ends[at] - share).argmin()])
+        cuts.append(at)
+    return cuts
+
+
 def _possible_cuts(ends: np.ndarray, low: int, high: int, most: int) -> np.ndarray:
     """Items into which a greedy cut may fall for a capacity from low to high, if items could be cut anywhere within."""
     total, n = int(ends[-1]), len(ends)
@@ -149,7 +186,7 @@ def minimax_cuts(groups: DataFrame, shards: int = SHARDS, range_bits: int = RANG
         return 0, []
     sums = np.array([p[2] for p in parts], np.int64)
     capacity = smallest_capacity(sums, shards)
-    cuts = balanced(sums, capacity, shards)
+    cuts = even_cuts(sums, capacity, shards) or balanced(sums, capacity, shards)
     return capacity, [parts[c][0] - (1 << 63) for c in cuts[:-1]]
 
 

@@ -221,6 +221,52 @@ def test_sum_of_squares_by_the_definition():
         assert open_ == gaps.tolist()
 
 
+def test_sum_of_squares_while_a_length_to_come_fits():
+    rng = np.random.default_rng(16)
+    for _ in range(60):
+        capacity = int(rng.integers(4, 14))
+        lengths = np.sort(rng.integers(2, capacity + 1, 30))[::-1]
+        bins, offsets, gaps = packing.sum_of_squares(lengths, capacity, True)
+        open_: list[int] = []
+        for i, (n, b, at) in enumerate(zip(lengths.tolist(), bins.tolist(), offsets.tolist())):
+            least = lengths[i + 1 :].min() if i + 1 < len(lengths) else capacity + 1
+
+            def squares(left: list[int]) -> dict[int, int]:
+                return {g: c * c for g, c in Counter(left).items()}
+
+            def change(k: int) -> int:
+                """Of the two gaps that a placing changes, those that stay open count."""
+                gap = open_[k] if k < len(open_) else capacity
+                before, after = squares(open_), squares([g - n if j == k else g for j, g in enumerate([*open_, *([capacity] if k == len(open_) else [])])])
+                out = after.get(gap, 0) - before.get(gap, 0) if k < len(open_) else 0
+                return out + (after[gap - n] - before.get(gap - n, 0) if gap - n >= least else 0)
+
+            assert at == capacity - (open_[b] if b < len(open_) else capacity)
+            assert change(b) == min([change(k) for k, g in enumerate(open_) if g >= n] + [change(len(open_))])
+            if b == len(open_):
+                open_.append(capacity)
+            open_[b] -= n
+        assert open_ == gaps.tolist() and min(gaps) >= 0
+    wide = np.sort(np.random.default_rng(0).integers(100, 4001, 6000))[::-1]
+    assert len(packing.sum_of_squares(wide, 4096, True)[2]) < 3040 < len(packing.sum_of_squares(wide, 4096)[2])
+
+
+def test_even_cuts_against_all_partitions():
+    rng = np.random.default_rng(17)
+    for _ in range(200):
+        n, shards = int(rng.integers(1, 11)), int(rng.integers(1, 6))
+        sums = rng.integers(1, 20, n)
+        capacity = sharding.smallest_capacity(sums, shards)
+        ways = [[sums[a:b].sum() for a, b in zip((0, *cut), (*cut, n))] for cut in combinations(range(1, n), shards - 1)]
+        fitting = [w for w in ways if max(w) <= capacity]
+        cuts = sharding.even_cuts(sums, capacity, shards)
+        if not fitting:
+            assert cuts is None
+            continue
+        got = [sums[a:b].sum() for a, b in zip((0, *cuts[:-1]), cuts)]
+        assert cuts[-1] == n and max(got) <= capacity and min(got) == max(min(w) for w in fitting)
+
+
 def test_packing_ends_when_no_sequence_closes(spark):
     for rows in ([(i, 0, 0, 3000, 7) for i in range(300)], [(1, 0, 0, 3000, 7)] * 300):
         pieces = vectors.materialize(spark.createDataFrame(rows, packing._PIECE), "pieces")

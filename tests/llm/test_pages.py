@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 
@@ -87,6 +88,116 @@ def test_attributes_are_read_one_by_one():
     assert main("<p class='ad'>x") == [] and main("<div hidden>x</div>") == [] and main("<div ROLE=search>x</div>y") == ["y"]
 
 
+def text_of(html: str) -> str:
+    blocks = pages.blocks_of(html)
+    wanted = "main" if any(r == "main" for r, _ in blocks) else "open"
+    return "\n".join(t for r, t in blocks if r == wanted)
+
+
+def test_wrappers_hide_no_article():
+    for wrapper in (
+        '<div class="container with-sidebar">{}</div>', '<div id="page" class="has-header">{}</div>', '<form id="aspnetForm">{}</form>', '<div class="page-header-fixed">{}</div>', '<div class="site-header"><p>Logo</p>{}</div>',
+        '<form class="menu"><div>Go</div><div class="sidebar">{}</div></form>', '<div class="comments-on-law">{}</div>',
+    ):
+        for article in ("<article><p>The text.</p></article>", "<main><p>The text.</p></main>", '<div role="main"><p>The text.</p></div>', '<div class="post-content"><p>The text.</p></div>'):
+            page = f"<body><nav>Home</nav>{wrapper.format(article)}<footer>(c)</footer></body>"
+            assert text_of(page) == "The text.", page
+
+
+def test_names_count_whole():
+    article = '<article><p>One.</p>{}<p>Two.</p></article>'
+    for kept in ('<section class="menu">Soup.</section>', '<div class="social-history">Soup.</div>', '<ol class="comments-on-law"><li>Soup.</li></ol>', '<div class="header">Soup.</div>', '<div class="adult-education">Soup.</div>'):
+        assert text_of(article.format(kept)) == "One.\nSoup.\nTwo.", kept
+    for gone in (
+        '<div class="ad">x</div>', '<div class="ad-slot-3">x</div>', '<section class="comments">x</section>', '<div id="commentList">x</div>', '<ul class="share_buttons"><li>x</li></ul>', '<div class="newsletter-signup"><p>x</p></div>',
+        '<div class="cookie-notice">x</div>', '<div class="related-posts">x</div>', '<aside>x</aside>', '<div class="left sidebar">x</div>', "<form>x</form>", '<nav class="page">x</nav>', '<section class="comments"><article>x</article></section>',
+    ):
+        assert text_of(article.format(gone)) == "One.\nTwo.", gone
+
+
+def test_teasers_and_comments_are_no_main_text():
+    own = "<article><p>Own.</p></article>"
+    for other in ('<div class="sidebar"><article>Teaser.</article></div>', '<div class="widget"><article>Teaser.</article></div>', '<div class="comments"><article>First!</article></div>', "<aside><article>x</article></aside>"):
+        assert text_of(f"<body>{other}{own}{other}</body>") == "Own."
+    assert text_of('<body><div>Own.</div><div class="comments"><article>First!</article></div></body>') == "Own."
+
+
+def test_the_array_decides_on_doubtful_parts_of_articles(spark):
+    """The menu of a recipe stays; one that most pages of the host have goes, with the number of pages that the array changes."""
+    rng = np.random.default_rng(21)
+    common = '<div class="menu">Home News Sport Culture Travel Money Weather About</div>'
+    rows = []
+    for i in range(30):
+        own = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 40))
+        recipe = f'<section class="menu">Soup of {own[:60]} and bread with butter today</section>'
+        rows.append((i, f"http://{'a' if i % 2 else 'b'}.example/{i}", f"<article>{common if i % 2 else recipe}<p>{own}</p></article>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for part_bytes in (1 << 20, 500):
+        got = {r["page_id"]: r["text"] for r in pages.main_texts(df, part_bytes=part_bytes).collect()}
+        plain = {i: text_of(h) for i, _, h in rows}
+        assert all(("Home News" in plain[i]) == (i % 2 == 1) and "Home News" not in got[i] for i in got)
+        assert [i for i in got if got[i] != plain[i]] == list(range(1, 30, 2)) and all("Soup of" in got[i] for i in range(0, 30, 2))
+
+
+class _Plain(HTMLParser):
+    """A page's main text by the standard library's parser, for well-formed pages with an article: an independent reading."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.depth, self.off, self.blocks, self.held = 0, 0, [], ""
+
+    def _close(self) -> None:
+        if t := " ".join(self.held.split()):
+            self.blocks.append(t)
+        self.held = ""
+
+    def handle_starttag(self, tag, attrs) -> None:
+        names = " ".join(v or "" for k, v in attrs if k in ("class", "id")).split()
+        self.off += bool(self.off or tag in ("nav", "aside", "footer", "form", "script", "style") or set(names) & {"ad", "comments", "share"}) if tag != "br" else 0
+        if tag in ("p", "div", "h1", "h2", "li", "ul", "article", "section", "br", "nav", "aside", "footer", "form"):
+            self._close()
+        self.depth += tag == "article"
+
+    def handle_endtag(self, tag) -> None:
+        if tag in ("p", "div", "h1", "h2", "li", "ul", "article", "section", "nav", "aside", "footer", "form"):
+            self._close()
+        self.depth -= tag == "article"
+        self.off -= bool(self.off)
+
+    def handle_data(self, data) -> None:
+        if self.depth and not self.off:
+            self.held += data
+
+
+def test_the_reader_against_the_standard_library():
+    rng = np.random.default_rng(22)
+    words = ["soup", "a&amp;b", "&lt;i&gt;", "caf&eacute;", "&#8364;5", "x &nbsp; y", "<b>bold</b>", "<a href='/m'>link</a>", "\n\t", "<i class='menu'>kept</i>"]
+
+    def piece(depth: int) -> str:
+        text = " ".join(rng.choice(words, rng.integers(1, 6)))
+        kind = rng.choice(["p", "h2", "div", "ul", "section", "br", "nav", "ad", "comments", "share", "script", "form"])
+        inner = piece(depth - 1) if depth and rng.random() < 0.6 else text
+        match kind:
+            case "br":
+                return f"{text}<br>{text}"
+            case "ul":
+                return f"<ul><li>{text}</li><li>{text}</li></ul>"
+            case "script":
+                return f"{text}<script>if (a < b) {{ '</p>' }}</script>"
+            case "ad" | "comments" | "share":
+                return f"<div class='{kind}'>{inner}</div>"
+            case "p" | "h2":
+                return f"<{kind}>{text}</{kind}>"
+        return f"<{kind}>{inner}</{kind}>"
+
+    for _ in range(400):
+        page = f"<html><body><nav>n</nav><article>{''.join(piece(3) for _ in range(4))}</article><footer>f</footer></body></html>"
+        plain = _Plain()
+        plain.feed(page)
+        plain._close()
+        assert text_of(page) == "\n".join(plain.blocks), page
+
+
 def test_broken_markup_takes_time_in_proportion():
     for html in ("<i>" * 20_000 + "</b>" * 20_000, "<b>" * 20_000 + "<p>x</p>" * 20_000, "<a x='" * 20_000, "<a " + "= " * 50_000):
         pages.blocks_of(html)
