@@ -34,6 +34,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,6 +189,8 @@ KEYS = 5
 #: Bits within which a BK-tree searches; at a similarity of 0.8 two fingerprints differ in 9.7 bits, and in more than 18 once in 1000.
 REACH = 18
 SHARD_DOCS = 1000
+#: Sets that are laid out as arrays at a time.
+GRAM_ROWS = 512
 #: A large shard that its parts' leaders do not shrink to this share meets by rarer shingles.
 SHRUNK = 0.75
 
@@ -310,9 +313,13 @@ def _part(similarity: float, reach: int):
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets as arrays, once per shard of each document."""
-    for b in batches:
-        own = [np.frombuffer(x, "<u4").astype(np.int64).tolist() for x in b["grams"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([b["key"], b["node"], pa.array(own, pa.list_(pa.int64()))], ["key", "node", "grams"])
+    for whole in batches:
+        for lo in range(0, len(whole), GRAM_ROWS):
+            b = whole.slice(lo, GRAM_ROWS)
+            sizes = pc.binary_length(b["grams"]).to_numpy() // 4
+            flat = np.frombuffer(b"".join(b["grams"].to_pylist()), "<u4").astype(np.int64)
+            own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b["key"], b["node"], own], ["key", "node", "grams"])
 
 
 def _meeting(each: DataFrame) -> DataFrame:
