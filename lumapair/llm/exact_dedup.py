@@ -222,10 +222,12 @@ def _first_rows(names: list[str], id_at: int, text_at: int, budget: int):
 
         def records() -> Iterator[Record]:
             nonlocal schema
-            for b in batches:
-                schema = pa.schema([b.schema.field("h"), *(b.schema.field(c) for c in names)])
-                for h, body, *row in zip(b["h"].to_pylist(), b["body"].to_pylist(), *(b[c].to_pylist() for c in names)):
-                    yield h, body.encode(), row
+            for whole in batches:
+                schema = pa.schema([whole.schema.field("h"), *(whole.schema.field(c) for c in names)])
+                for lo in range(0, len(whole), _BATCH):
+                    b = whole.slice(lo, _BATCH)
+                    for h, body, *row in zip(b["h"].to_pylist(), b["body"].to_pylist(), *(b[c].to_pylist() for c in names)):
+                        yield h, body.encode(), row
 
         def order(row: list) -> tuple:
             i, text = row[id_at], row[text_at]

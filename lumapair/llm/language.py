@@ -135,7 +135,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of each task, so that a task sends languages x buckets rows at most."""
     sums: dict[str, np.ndarray] = {}
     for b in batches:
-        for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist()):
+        for lang, text in zip(b["lang"].to_pylist(), (t.as_py() for t in b["text"])):
             own = sums.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
             own += np.bincount(ngram_buckets(text), minlength=1 << BUCKET_BITS)
     for lang, own in sums.items():
@@ -179,7 +179,7 @@ def _predict(packed: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(packed)
         for b in batches:
-            found = [model.infer(t) for t in b["_text"].to_pylist()]
+            found = [model.infer(t.as_py()) for t in b["_text"]]  # one text at a time
             langs, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
             shares = pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64()))
             yield pa.RecordBatch.from_arrays([b["_id"], langs, scores, shares], ["_id", "lang_pred", "score", "proportions"])
@@ -203,7 +203,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(packed)
         for b in batches:
-            yield b.filter(pa.array([own.infer(t)[0] != UND for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([own.infer(t.as_py())[0] != UND for t in b.column(at)], pa.bool_()))
 
     rows = docs.toDF(*names)
     return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

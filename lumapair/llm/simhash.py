@@ -220,12 +220,14 @@ def _sets(shingle: int):
     """Documents with their shards to the same with fingerprint and set; 32 bits of a hash tell the shingles of two documents apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps, grams = [], []
-            for t in b["text"]:
-                fps.append(_signed(fingerprint(t.as_py(), shingle)))
-                grams.append(np.unique(shingle_set(t.as_py(), shingle).astype("<u4")).tobytes())
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array(fps, pa.int64()), b["shards"], pa.array(grams, pa.binary())], ["node", "fp", "shards", "grams"])
+        for whole in batches:
+            for lo in range(0, len(whole), GRAM_ROWS):
+                b = whole.slice(lo, GRAM_ROWS)
+                fps, grams = [], []
+                for t in b["text"]:
+                    fps.append(_signed(fingerprint(t.as_py(), shingle)))
+                    grams.append(np.unique(shingle_set(t.as_py(), shingle).astype("<u4")).tobytes())
+                yield pa.RecordBatch.from_arrays([b["node"], pa.array(fps, pa.int64()), b["shards"], pa.array(grams, pa.binary())], ["node", "fp", "shards", "grams"])
 
     return run
 
@@ -329,7 +331,7 @@ def _meeting(each: DataFrame) -> DataFrame:
 
 
 def _rare_keys(stuck: DataFrame, similarity: float, shard_docs: int) -> tuple[DataFrame, DataFrame]:
-    """For documents (key, node, grams) of shards too large to be compared whole: (key, node) by shingles that few of the shard have, and (key, node, n) of those made of shingles that many have.
+    """For documents (key, node, grams) of shards too large to be compared whole: (key, node) by shingles that few of the shard have, and (key, node) of those made of shingles that many have.
 
     Shingles in more than shard_docs documents of a shard are left aside. Two documents of the
     similarity still share so many others that each has one of them among its first, in any order common
@@ -346,8 +348,7 @@ def _rare_keys(stuck: DataFrame, similarity: float, shard_docs: int) -> tuple[Da
     shared = F.ceil(F.lit(similarity) * F.col("size")) - (F.col("size") - F.size("rare"))
     first = F.when(shared > 0, F.slice("rare", 1, (F.size("rare") - shared + 1).cast("int"))).otherwise(F.col("rare"))
     keys = docs.select("key", "node", F.explode(first).alias("gram")).select(F.xxhash64("key", "gram").alias("key"), "node")
-    rest = docs.where(shared <= 0).select("key", "node")
-    return keys, rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key")
+    return keys, docs.where(shared <= 0).select("key", "node")
 
 
 def near_groups(
@@ -391,15 +392,18 @@ def near_groups(
         rows, round_ = staying.where("on").drop("on"), round_ + 1
     if stuck and not (held := _united(stuck)).isEmpty():
         held = materialize(held, "near-stuck")
-        again, rest = _rare_keys(held, similarity, shard_docs)
+        bodies = materialize(held.groupBy("node").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams")), "near-bodies")
+        # All of them as one shard, so that each is laid out once; a pair of one shard is a pair of this one.
+        again, alone = _rare_keys(bodies.withColumn("key", F.lit(0).cast("long")), similarity, shard_docs)
         again = materialize(again, "near-keys")
         one = F.lit(1).cast("long")
         meeting = again.join(materialize(_meeting(again), "near-shards"), "key").select("key", "node", "n", one.alias("parts"), F.lit(0).cast("long").alias("g"))
+        rest = held.select("key", "node").join(alone.select("node"), "node")
+        rest = rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key")
         # Documents of the template alone: every two of their parts, unless they fit one.
         dealt = rest.withColumn("parts", F.when(F.col("n") > shard_docs, F.ceil(2 * F.col("n") / shard_docs)).otherwise(1).cast("long")).withColumn("t", F.pmod(F.xxhash64("node", "key"), F.col("parts")))
         both = dealt.withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("parts = 1 OR t <> u")
         pairs = both.select(F.xxhash64("key", F.least("t", "u"), F.greatest("t", "u"), F.lit("parts")).alias("key"), "node", "n", one.alias("parts"), F.lit(0).cast("long").alias("g"))
-        bodies = held.groupBy("node").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams"))
         compared(meeting.union(pairs).join(bodies, "node").select("key", "n", "node", "fp", "grams", "parts", "g"))
     discard(least, shards, mine)
     return connected_components(_united(links))
