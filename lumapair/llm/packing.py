@@ -52,7 +52,7 @@ def _cut(tokenizer: str, length: int, end: int):
         cache = IdCache.of(tokenizer)
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
-            for i, ids in zip(b["id"].to_pylist(), cache.ids(b["text"])):
+            for i, ids in zip(b["id"].to_pylist(), cache.each(b["text"])):
                 for piece in pieces_of(ids, length, end):
                     for col, v in zip(cols, (i, *piece)):
                         col.append(v)

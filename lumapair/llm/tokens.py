@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow.compute as pc
 #: Chunks of each of the two generations that a worker remembers; the older one goes when the younger is full.
 MOST_CHUNKS = 50_000
 #: Bytes of text that are cut into chunks at once, about.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: Composed letters and ASCII only: lower-casing and NFC change nothing but A-Z and À-Þ.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -99,13 +100,16 @@ class IdCache:
         at = ends[bounds].tolist()
         return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
 
-    def ids(self, texts: pa.Array | list[str]) -> list[bytes]:
-        """Ids of each text; null counts as empty."""
+    def each(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
+        """Ids of each text, a block of texts at a time; null counts as empty."""
         texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()).fill_null("")
         ends = pc.cumulative_sum(pc.binary_length(texts)).to_numpy()
-        out: list[bytes] = []
-        while len(out) < len(texts):
-            done = ends[len(out) - 1] if out else 0
-            stop = max(len(out) + 1, int(np.searchsorted(ends, done + BLOCK_BYTES, "right")))
-            out += self._block(texts.slice(len(out), stop - len(out)))
-        return out
+        begin = 0
+        while begin < len(texts):
+            done = ends[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, done + BLOCK_BYTES, "right")))
+            yield from self._block(texts.slice(begin, stop - begin))
+            begin = stop
+
+    def ids(self, texts: pa.Array | list[str]) -> list[bytes]:
+        return list(self.each(texts))
