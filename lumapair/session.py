@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 from weakref import WeakKeyDictionary
 
@@ -99,6 +100,23 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def ship_file(spark: SparkSession, name: str, parts: Iterable[bytes]) -> str:
+    """Write a file to the shared folder part by part and have Spark hand it to every executor; returns its name for `SparkFiles.get`.
+
+    It stays there, since executors that start later fetch it too.
+    """
+    own = f"{name}-{uuid.uuid4().hex}"
+    at, store = _file_system(spark, f"{shared_dir(spark)}/files/{own}")
+    out = store.create(at)
+    try:
+        for part in parts:
+            out.write(bytearray(part))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(store.makeQualified(at).toString())
+    return own
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that `materialize` returned and that nothing reads any more."""
     for t in tables:
