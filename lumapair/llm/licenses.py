@@ -3,7 +3,8 @@
 Paragraphs are lines. A multinomial logistic regression over sparse word n-grams (one
 and two words), trained here on labelled templates and on a bounded sample of lines of
 the corpus that name no licence, gives each paragraph a family. The class `none` is
-trained as a class of its own. A quarter of those lines and wordings that are no
+trained as a class of its own. Lines of the same texts that a fit takes for a family
+though no template confirms it join the sample, and the fit is repeated. A quarter of those lines and wordings that are no
 templates are held out: they set the temperature of the probabilities and the threshold
 below which a finding is `unknown`. A template comparison confirms a prediction: the
 share of the n-grams of the family's nearest template that the paragraph holds together
@@ -35,6 +36,8 @@ from lumapair.session import materialize
 NONE, UNKNOWN = "none", "unknown"
 #: Lines of the corpus that the class `none` is learned from, at most.
 NEGATIVES = 4000
+#: Fits after the first one, each with the lines that the one before takes for a family.
+HARD_ROUNDS = 2
 L1 = 0.0005
 #: Share of a template's n-grams that confirms a prediction.
 CONFIRMED = 0.5
@@ -141,40 +144,56 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, pattern: str | None
     return found.select("id", "found.*")
 
 
+# What a line that names a licence holds; `mit` in small letters is a German word.
+NAMED = r"(?i:licen[sc]e|copyright|copyleft|spdx|all rights reserved|redistribut|\bgpl\b)|\bMIT\b"
+
+
 def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", negatives: int = NEGATIVES) -> Classifier:
-    """A classifier of the templates against a bounded sample of lines that share no rare word with them."""
+    """A classifier of the templates against a bounded sample of lines that name no licence, and as many again, at most, that a fit mistakes."""
     rows = [(family, t) for family, ts in TEMPLATES.items() for t in ts]
     unseen = [(family, t) for family, ts in HELD_OUT.items() for t in ts]
     known = spark.createDataFrame([(*r, False) for r in rows] + [(*r, True) for r in unseen], "family string, line string, held boolean")
-    named = r"(?i)licen[sc]e|licensed|copyright|copyleft|spdx|all rights reserved|redistribut|\bgpl\b|\bmit\b"
     # Whole lines of the distinct texts with the least hashes: the hashes alone find the bound, then only those texts move.
     hashed = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("n"), F.col(text_col).alias("text"))
     least = hashed.select("n").distinct().orderBy("n").limit(negatives // 8).agg(F.max("n")).first()[0]
     texts = hashed.where(F.col("n") <= F.lit(least)).groupBy("n").agg(F.min("text").alias("text"))
-    lines = paragraphs(texts, "n", "text").where(~F.col("line").rlike(named))
-    none = lines.orderBy(F.xxhash64("line"), "line").limit(negatives).select(F.lit(NONE).alias("family"), "line", (F.pmod(F.xxhash64("line", F.lit(1)), F.lit(4)) == 0).alias("held"))
+    lines = materialize(paragraphs(texts, "n", "text").where(~F.col("line").rlike(NAMED)), "plain-lines")
+    columns = F.lit(NONE).alias("family"), "line", (F.pmod(F.xxhash64("line", F.lit(1)), F.lit(4)) == 0).alias("held")
+    none = lines.orderBy(F.xxhash64("line"), "line").limit(negatives).select(*columns)
     plain = spark.createDataFrame([(NONE, "A line of plain text that is under no terms.", False), (NONE, "", False)], known.schema)
     # A bounded table, held in one partition: each step of the fit is then one short task.
-    labelled = materialize(known.union(none).union(plain).withColumn("grams", ngrams(F.col("line"))).coalesce(1), "licence-lines").coalesce(1).cache()
+    labelled = materialize(known.union(none).union(plain).withColumn("grams", ngrams(F.col("line"))).coalesce(1), "licence-lines")
+    model = _fitted(labelled)
+    for _ in range(HARD_ROUNDS):
+        mistaken = _compared(lines, model).where(F.col("similarity") < CONFIRMED).select("line").distinct()
+        new = mistaken.join(labelled.select("line"), "line", "left_anti").orderBy(F.xxhash64("line"), "line").limit(negatives // HARD_ROUNDS)
+        hard = materialize(new.select(*columns).withColumn("grams", ngrams(F.col("line"))).coalesce(1), "hard-lines")
+        if hard.isEmpty():
+            break
+        labelled = materialize(labelled.union(hard).coalesce(1), "licence-lines")
+        model = _fitted(labelled)
+    # At most twice `negatives` lines and the wordings.
+    held = _probabilities(labelled.where("held"), model).select("family", "p").collect()
+    return calibrated(model, [r["family"] for r in held], np.array([r["p"] for r in held]))
+
+
+def _fitted(labelled: DataFrame) -> Classifier:
+    """A classifier of rows (family, grams, held) that are not held out."""
+    fitted = labelled.where(~F.col("held")).coalesce(1)
+    vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 16).fit(fitted.where(F.col("family") != NONE))
+    names = [NONE, *sorted(TEMPLATES)]
+    label = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("family")) - 1
+    # Each family weighs as much as any other, and all of them as much as `none`.
+    count = fitted.groupBy("family").agg(F.count("*").alias("n"))
+    weighed = fitted.join(F.broadcast(count), "family").withColumn("w", F.when(F.col("family") == NONE, F.lit(len(TEMPLATES))).otherwise(F.lit(1.0)) / F.col("n"))
+    ready = vocabulary.transform(weighed).select("features", "w", label.cast("double").alias("label")).coalesce(1).cache()
     try:
-        fitted = labelled.where(~F.col("held"))
-        vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 16).fit(fitted.where(F.col("family") != NONE))
-        names = [NONE, *sorted(TEMPLATES)]
-        label = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("family")) - 1
-        # Each family weighs as much as any other, and all of them as much as `none`.
-        count = fitted.groupBy("family").agg(F.count("*").alias("n"))
-        weighed = fitted.join(F.broadcast(count), "family").withColumn("w", F.when(F.col("family") == NONE, F.lit(len(TEMPLATES))).otherwise(F.lit(1.0)) / F.col("n"))
-        ready = vocabulary.transform(weighed).select("features", "w", label.cast("double").alias("label")).coalesce(1).cache()
         model = LogisticRegression(family="multinomial", regParam=L1, elasticNetParam=1.0, weightCol="w", maxIter=60).fit(ready)
-        ready.unpersist()
-        w = model.coefficientMatrix.toArray()
-        weights = {f: w[:, i].tolist() for i, f in enumerate(vocabulary.vocabulary) if abs(w[:, i]).max() > 1e-9}
-        found = Classifier(names, model.interceptVector.toArray().tolist(), weights, 0.5)
-        # At most `negatives` lines and the wordings.
-        held = _probabilities(labelled.where("held"), found).select("family", "p").collect()
-        return calibrated(found, [r["family"] for r in held], np.array([r["p"] for r in held]))
     finally:
-        labelled.unpersist()
+        ready.unpersist()
+    w = model.coefficientMatrix.toArray()
+    weights = {f: w[:, i].tolist() for i, f in enumerate(vocabulary.vocabulary) if abs(w[:, i]).max() > 1e-9}
+    return Classifier(names, model.interceptVector.toArray().tolist(), weights, 0.5)
 
 
 def calibrated(model: Classifier, families: list[str], p: np.ndarray) -> Classifier:
@@ -255,19 +274,23 @@ def _any_of(grams: list[str]) -> str:
     return rf"(?:^|[^a-z0-9.\-])(?:{'|'.join(branches)})(?=$|[^a-z0-9\-])"
 
 
-def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph that names a licence: id_col, paragraph (from 0), family, probability, similarity, confirmed, line."""
-    needed = telling(model)
-    lines = paragraphs(docs.where(F.col(text_col).isNotNull()), id_col, text_col, None if needed is None else _any_of(needed))
+def _compared(lines: DataFrame, model: Classifier) -> DataFrame:
+    """Of lines (with line and context) those with less than 0.5 for `none`, with the family that is likeliest (best, top) and the similarity of its nearest template."""
     scored = _probabilities(lines.withColumn("grams", ngrams(F.col("line"))), model, likely=True)
     names = F.array(*[F.lit(n) for n in model.families])
     top = F.array_max(F.slice("p", 2, len(model.families) - 1))
     likely = scored.where(F.col("p")[0] < 0.5).withColumn("top", top).withColumn("best", F.element_at(names, F.array_position("p", F.col("top")).cast("int")))
     templates = F.create_map(*[x for f, ts in sorted(TEMPLATES.items()) for x in (F.lit(f), F.array(*[ngrams(F.lit(t)) for t in ts]))])
     share = F.array_max(F.transform(F.element_at(templates, F.col("best")), lambda t: F.size(F.array_intersect("near", t)) / F.size(t)))
-    compared = likely.withColumn("near", F.array_union("grams", ngrams(F.col("context")))).withColumn("similarity", share)
+    return likely.withColumn("near", F.array_union("grams", ngrams(F.col("context")))).withColumn("similarity", share)
+
+
+def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per paragraph that names a licence: id_col, paragraph (from 0), family, probability, similarity, confirmed, line."""
+    needed = telling(model)
+    lines = paragraphs(docs.where(F.col(text_col).isNotNull()), id_col, text_col, None if needed is None else _any_of(needed))
     known = F.col("top") >= model.threshold
-    return compared.select(
+    return _compared(lines, model).select(
         F.col("id").alias(id_col), "paragraph", F.when(known, F.col("best")).otherwise(UNKNOWN).alias("family"), F.col("top").alias("probability"),
         "similarity", (known & (F.col("similarity") >= CONFIRMED)).alias("confirmed"), "line",
     )
