@@ -105,21 +105,25 @@ def seed_table(runs: DataFrame, baseline: DataFrame) -> DataFrame:
     return per.join(lq, "subdataset")
 
 
-def image_table(runs: DataFrame, paths: DataFrame) -> DataFrame:
-    """The per-image table (17 columns): stability of each image over its seeds. paths: subdataset, image_index, lq_path, gt_path."""
+def image_stability(runs: DataFrame) -> DataFrame:
+    """Stability of each image over its seeds: the per-image table without paths."""
     lpips = no_nan(F.col("lpips"))
-    per = runs.groupBy("subdataset", "weather", "image_index").agg(
+    return runs.groupBy("subdataset", "weather", "image_index").agg(
         F.avg("psnr").alias("psnr_mean"), F.stddev_pop("psnr").alias("psnr_std"), (F.max("psnr") - F.min("psnr")).alias("psnr_range"),
         F.stddev_pop("ssim").alias("ssim_std"), (F.max("ssim") - F.min("ssim")).alias("ssim_range"),
         F.coalesce(F.stddev_pop(lpips), F.lit(float("nan"))).alias("lpips_std"), F.coalesce(F.max(lpips) - F.min(lpips), F.lit(float("nan"))).alias("lpips_range"),
         *[c.alias(a) for c, a in zip(best_and_worst("psnr"), ("best_psnr_seed", "worst_psnr_seed"))],
         F.max(no_nan(F.col("psnr"))).alias("best_psnr"), F.min(no_nan(F.col("psnr"))).alias("worst_psnr"), (F.max(no_nan(F.col("psnr"))) - F.avg("psnr")).alias("oracle_psnr_gain"),
     )
-    return per.join(paths, ["subdataset", "image_index"])
+
+
+def image_table(runs: DataFrame, paths: DataFrame) -> DataFrame:
+    """The per-image table (17 columns). paths: subdataset, image_index, lq_path, gt_path."""
+    return image_stability(runs).join(paths, ["subdataset", "image_index"])
 
 
 def summary_table(seeds: DataFrame, images: DataFrame, first_seed: int, wide: float = 0.5) -> DataFrame:
-    """The per-subdataset table (17 columns) of a seed table and an image table; a NaN mean of a seed stays in the lpips columns."""
+    """The per-subdataset table (17 columns) of a seed table and the stability of images; a NaN mean of a seed stays in the lpips columns."""
     other = F.when(F.col("seed") != first_seed, F.col("mean_diversity_lpips_vs_seed0"))
     per = seeds.groupBy("subdataset", "weather").agg(
         *[f(f"mean_{m}").alias(f"{m}_{a}") for m in ("psnr", "ssim", "lpips") for f, a in ((F.avg, "mean"), (F.stddev_pop, "std"))],

@@ -281,15 +281,11 @@ def seed_table(spark, sf_dir):
     return reports.seed_table(per, lq).withColumns({c: _r(c) for c in _SEED_COLUMNS})
 
 
-def _image_table(spark, sf_dir):
-    per, _, files = seed_scores(spark, sf_dir)
-    return reports.image_table(per, files)
-
-
 @query(f"WITH {_SEEDS} SELECT subdataset, weather, image_index, concat('lq/', image_index) AS lq_path, concat('gt/', image_index) AS gt_path, {_rounded(_IMAGE_COLUMNS).replace('round(lpips_std, 6)', 'coalesce(round(lpips_std, 6), -1)').replace('round(lpips_range, 6)', 'coalesce(round(lpips_range, 6), -1)')}, best_psnr_seed, worst_psnr_seed FROM it")
 def image_table(spark, sf_dir):
     """Images without a score in lpips have NaN there, shown as -1."""
-    out = _image_table(spark, sf_dir).withColumns({c: _r(c) for c in _IMAGE_COLUMNS})
+    per, _, files = seed_scores(spark, sf_dir)
+    out = reports.image_table(per, files).withColumns({c: _r(c) for c in _IMAGE_COLUMNS})
     return out.withColumns({c: F.nanvl(c, F.lit(-1.0)) for c in ("lpips_std", "lpips_range")})
 
 
@@ -302,7 +298,7 @@ def image_table(spark, sf_dir):
 )
 def summary_table(spark, sf_dir):
     per, lq, _ = seed_scores(spark, sf_dir)
-    return reports.summary_table(reports.seed_table(per, lq), _image_table(spark, sf_dir), 1).withColumns({c: _r(c) for c in _SUMMARY_COLUMNS})
+    return reports.summary_table(reports.seed_table(per, lq), reports.image_stability(per), 1).withColumns({c: _r(c) for c in _SUMMARY_COLUMNS})
 
 
 @query("""WITH x AS (SELECT vec_id % 2 AS side, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT side, i, count(x) AS n, avg(x) AS m, var_samp(x) AS v FROM x GROUP BY side, i)
