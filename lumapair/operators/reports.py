@@ -105,7 +105,7 @@ def seed_table(runs: DataFrame, baseline: DataFrame) -> DataFrame:
     return per.join(lq, "subdataset")
 
 
-def image_stability(runs: DataFrame) -> DataFrame:
+def image_spread(runs: DataFrame) -> DataFrame:
     """Stability of each image over its seeds: the per-image table without paths."""
     lpips = no_nan(F.col("lpips"))
     return runs.groupBy("subdataset", "weather", "image_index").agg(
@@ -119,7 +119,7 @@ def image_stability(runs: DataFrame) -> DataFrame:
 
 def image_table(runs: DataFrame, paths: DataFrame) -> DataFrame:
     """The per-image table (17 columns). paths: subdataset, image_index, lq_path, gt_path."""
-    return image_stability(runs).join(paths, ["subdataset", "image_index"])
+    return image_spread(runs).join(paths, ["subdataset", "image_index"])
 
 
 def summary_table(seeds: DataFrame, images: DataFrame, first_seed: int, wide: float = 0.5) -> DataFrame:

@@ -298,7 +298,7 @@ def image_table(spark, sf_dir):
 )
 def summary_table(spark, sf_dir):
     per, lq, _ = seed_scores(spark, sf_dir)
-    return reports.summary_table(reports.seed_table(per, lq), reports.image_stability(per), 1).withColumns({c: _r(c) for c in _SUMMARY_COLUMNS})
+    return reports.summary_table(reports.seed_table(per, lq), reports.image_spread(per), 1).withColumns({c: _r(c) for c in _SUMMARY_COLUMNS})
 
 
 @query("""WITH x AS (SELECT vec_id % 2 AS side, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT side, i, count(x) AS n, avg(x) AS m, var_samp(x) AS v FROM x GROUP BY side, i)
