@@ -10,14 +10,14 @@ lost. The number of blocks follows the number of
 distinct fingerprints, so that shards of unrelated fingerprints stay small; every
 choice of it finds the same links.
 
-`near_groups` links documents by the similarity of their shingle sets, with SimHash and
-BK-trees as the search: documents that share one of their least shingle hashes meet in
-a shard, a BK-tree finds those within `reach` bits there, and the exact Jaccard
-similarity of the whole sets decides; a document is not compared with those that its group holds
-already. Shards above `shard_docs` are dealt into parts in a random order, whose leaders (documents
+`near_groups` links documents by the exact Jaccard similarity of their shingle sets, in two
+passes. The first is a search that finds nearly all links at little cost: documents that share
+one of their least shingle hashes meet in a shard, a BK-tree of SimHash fingerprints finds those within `reach` bits there; shards above
+`shard_docs` are dealt into parts in a random order, whose leaders (documents
 similar to none before them) meet again, so that a family costs its size and not all its
-pairs. Where leaders hardly grow fewer (documents that share a template or a passage and
-little else), they meet by rarer shingles, which loses no pair among them.
+pairs. The second finds every link that the first left out: in an order of all shingles, two
+documents of the similarity share one of their first ones, so documents
+of different groups that do are compared, unless size or place of the shingle rules it out.
 
 Defined results for odd input: null and empty texts, and texts of white space
 only, have fingerprint zero and link like any other; fewer words than a shingle
@@ -30,7 +30,7 @@ Ids must not be null; rows without one are left out of the result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,7 @@ SHARD_ROWS = 64
 SPLIT_ROWS = 4000
 _LANES = np.uint64(0x0101010101010101)
 _CHUNK = 255 * 256
+_FACTOR, _MIX = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -184,34 +185,163 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(found, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Least shingle hashes by which a document looks for others. A pair of similarity s shares none of them with a chance of (1 - s) ^ KEYS.
+#: Least shingle hashes by which a document looks for others in the first pass.
 KEYS = 5
-#: Bits within which a BK-tree searches; at a similarity of 0.8 two fingerprints differ in 9.7 bits, and in more than 18 once in 1000.
+#: Bits within which a BK-tree searches in the first pass; at a similarity of 0.8 two fingerprints differ in 9.7 bits, and in more than 18 once in 1000.
 REACH = 18
 SHARD_DOCS = 1000
 #: Sets that are laid out as arrays at a time.
 GRAM_ROWS = 512
-#: A large shard that its parts' leaders do not shrink to this share meets by rarer shingles.
+#: A large shard that its parts' leaders do not shrink to this share is left to the second pass.
 SHRUNK = 0.75
+#: Buckets of shingle hashes (bits) whose level, 0 to 3, tells how often their most frequent shingle repeats.
+LEVEL_BITS = 22
+#: Shingles of a task that are counted together, about.
+COUNTED = 1 << 21
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text, which stand for the shingles."""
+    """Sorted distinct 64-bit hashes of the word shingles of a text, which stand for the shingles: hashes of the words, put together and mixed."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
     k = min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter({digest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)}, np.uint64))
+    n = len(words) - k + 1
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    h = np.zeros(n, np.uint64)
+    for i in range(k):
+        h = h * _FACTOR + own[i : i + n]
+    h ^= h >> np.uint64(33)
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    return np.unique(h)
 
 
 def _keys(shingle: int, keys: int):
-    """Documents to the least of their shingle hashes."""
+    """Documents to the least of their shingle hashes (node, keys), and of blocks of documents the shingles that several have, with their numbers (keys, times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def rows(nodes: pa.Array, least: list, times: list) -> pa.RecordBatch:
+            kind = pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays([nodes, pa.array(least, kind), pa.array(times, kind)], ["node", "keys", "times"])
+
+        def repeated() -> Iterator[pa.RecordBatch]:
+            if held:
+                grams, times = np.unique(np.concatenate(held), return_counts=True)
+                grams, times = grams[times > 1].view(np.int64), times[times > 1].astype(np.int64)
+                for lo in range(0, len(grams), 1 << 16):
+                    yield rows(pa.nulls(1, pa.int64()), [grams[lo : lo + (1 << 16)]], [times[lo : lo + (1 << 16)]])
+
         for b in batches:
-            least = [shingle_set(t.as_py(), shingle)[:keys].view(np.int64).tolist() for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(least, pa.list_(pa.int64()))], ["node", "keys"])
+            least = []
+            for t in b["text"]:
+                own = shingle_set(t.as_py(), shingle)
+                least.append(own[:keys].copy().view(np.int64))
+                held.append(own)
+                n += len(own)
+                if n >= COUNTED:
+                    yield from repeated()
+                    held, n = [], 0
+            yield rows(b["id"], least, [None] * len(least))
+        yield from repeated()
+
+    return run
+
+
+def _levels(counted: DataFrame) -> bytes:
+    """A level for each bucket of shingle hashes, from (keys, times). It serves the order of shingles only, which may be any: every order finds the same links."""
+    each = counted.select(F.explode(F.arrays_zip("keys", "times")).alias("e")).groupBy(F.col("e.keys").alias("gram")).agg(F.sum("e.times").alias("n")).where("n >= 8")
+    level = F.least(F.lit(3), F.floor(F.log2("n") / 3)).cast("int")
+    found = each.groupBy(F.col("gram").bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).alias("bucket")).agg(F.max(level).alias("level")).toArrow()
+    levels = np.zeros(1 << LEVEL_BITS, np.uint8)
+    levels[found["bucket"].to_numpy()] = found["level"].to_numpy()
+    return levels.tobytes()
+
+
+def _first_grams(shingle: int, similarity: float, packed: bytes):
+    """Documents to the number of their shingles and the first of them, by level and hash: as many as may be missing in a similar document, and one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.frombuffer(packed, np.uint8)
+        for b in batches:
+            sizes, first = [], []
+            for t in b["text"]:
+                own = shingle_set(t.as_py(), shingle)
+                level = levels[own & np.uint64(len(levels) - 1)].astype(np.uint64)
+                placed = np.sort((level << np.uint64(61)) | (own >> np.uint64(3))).view(np.int64)
+                sizes.append(len(own))
+                first.append(placed[: len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1].copy() if len(own) else placed)
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["node", "size", "grams"])
+
+    return run
+
+
+def candidates(nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, places: np.ndarray, similarity: float, one: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of different groups that share a shingle, at its places in their orders, and may be similar if it is the first that they share; `one` pair for each two groups, or all."""
+    a_out, b_out = [], []
+    rest = sizes - places
+    for lo in range(0, len(nodes), 256):
+        i = slice(lo, lo + 256)
+        least = np.ceil(similarity / (1 + similarity) * (sizes[i, None] + sizes) - 1e-6)
+        may = (groups[i, None] != groups) & (np.minimum(rest[i, None], rest) >= least)
+        may &= np.minimum(sizes[i, None], sizes) >= similarity * np.maximum(sizes[i, None], sizes) - 1e-6
+        may &= np.arange(len(nodes))[i, None] < np.arange(len(nodes))
+        x, y = np.nonzero(may)
+        x += lo
+        if one and len(x):
+            low, high = np.minimum(groups[x], groups[y]), np.maximum(groups[x], groups[y])
+            at = np.unique(np.stack([low, high]), axis=1, return_index=True)[1]
+            x, y = x[at], y[at]
+        a_out.append(np.minimum(nodes[x], nodes[y]))
+        b_out.append(np.maximum(nodes[x], nodes[y]))
+    return np.concatenate(a_out), np.concatenate(b_out)
+
+
+def _candidates(similarity: float, one: bool):
+    """Rows sorted by key to candidate pairs (a, b), key by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            key, *cols = [t[c].to_numpy() for c in ("key", "node", "component", "size", "place")]
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for i, j in zip(edges, edges[1:]):
+                a, b = candidates(*[c[i:j] for c in cols], similarity, one)
+                for lo in range(0, len(a), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + (1 << 16)]), pa.array(b[lo : lo + (1 << 16)])], ["a", "b"])
+
+        for b in batches:
+            key = b["key"].to_numpy()
+            # What may go on in the next batch waits for it.
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if held and len(key) and held[-1]["key"][0].as_py() != key[0]:
+                yield from out()
+                held = []
+            if last:
+                held.append(b.slice(0, last))
+                yield from out()
+                held = []
+            if len(key):
+                held.append(b.slice(last))
+        if held:
+            yield from out()
+
+    return run
+
+
+def _arrays(shingle: int):
+    """Documents to their shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), GRAM_ROWS):
+                b = whole.slice(lo, GRAM_ROWS)
+                own = [shingle_set(t.as_py(), shingle).view(np.int64) for t in b["text"]]
+                yield pa.RecordBatch.from_arrays([b["id"], pa.array(own, pa.list_(pa.int64()))], ["node", "grams"])
 
     return run
 
@@ -331,7 +461,7 @@ def _meeting(each: DataFrame) -> DataFrame:
 
 
 def _rare_keys(stuck: DataFrame, similarity: float, shard_docs: int) -> tuple[DataFrame, DataFrame]:
-    """For documents (key, node, grams) of shards too large to be compared whole: (key, node) by shingles that few of the shard have, and (key, node) of those made of shingles that many have.
+    """The keys of the second pass with exact counts of shingles, as tests hold them; for documents (key, node, grams) of shards too large to be compared whole: (key, node) by shingles that few of the shard have, and (key, node) of those made of shingles that many have.
 
     Shingles in more than shard_docs documents of a shard are left aside. Two documents of the
     similarity still share so many others that each has one of them among its first, in any order common
@@ -351,18 +481,28 @@ def _rare_keys(stuck: DataFrame, similarity: float, shard_docs: int) -> tuple[Da
     return keys, docs.where(shared <= 0).select("key", "node")
 
 
-def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, keys: int = KEYS, reach: int = REACH, shard_docs: int = SHARD_DOCS
-) -> DataFrame:
-    """(node, component) of every id that is linked to another: component is the smallest id reachable over pairs of at least that similarity.
-
-    Documents meet in shards by their least shingle hashes. A shard of up to shard_docs is compared whole. A larger one is
-    dealt into parts, whose leaders go on together, until they fit one part. If they grow few
-    too slowly (documents that share a template, say), they meet in new shards by shingles that few of them have,
-    and those that consist of the template part by part, every two of them.
-    """
-    texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    least = materialize(texts.mapInArrow(_keys(shingle, keys), "node long, keys array<long>"), "near-keys")
+def _compared(texts: DataFrame, met: DataFrame, shingle: int, similarity: float, shard_docs: int, one: bool) -> DataFrame:
+    """(a, b) of similar documents of different components among those that have a key in common; met is (key, node, component, size, place)."""
+    sizes = met.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    rows = met.join(sizes.select("key", "n"), "key")
+    # Every two parts of a large group, so that no task meets the whole of it.
+    parts = F.when(F.col("n") > shard_docs, F.ceil(2 * F.col("n") / shard_docs)).otherwise(1).cast("long")
+    dealt = rows.withColumn("parts", parts).withColumn("t", F.pmod(F.xxhash64("node", "key"), F.col("parts")))
+    both = dealt.withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("parts = 1 OR t <> u")
+    own = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("t", "u"), F.greatest("t", "u")))
+    keyed = both.select(own.alias("key"), "node", "component", "size", "place").repartition("key").sortWithinPartitions("key")
+    pairs = materialize(keyed.mapInArrow(_candidates(similarity, one), "a long, b long").distinct(), "near-pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialize(texts.join(named, "id").mapInArrow(_arrays(shingle), "node long, grams array<long>"), "near-sets")
+    first, second = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams")) for c in ("a", "b"))
+    shared = pairs.join(first, "a").join(second, "b").select("a", "b", F.size("a_grams").alias("m"), F.size("b_grams").alias("n"), F.size(F.array_intersect("a_grams", "b_grams")).alias("shared"))
+    links = materialize(shared.where(F.col("shared") >= F.lit(similarity) * (F.col("m") + F.col("n") - F.col("shared"))).select("a", "b"), "near-links")
+    discard(pairs, sets)
+    return links
+
+
+def _found_by_search(texts: DataFrame, least: DataFrame, shingle: int, similarity: float, reach: int, shard_docs: int) -> list[DataFrame]:
+    """Tables with (a, b) of similar documents, nearly all links that count, by shards of the least hashes (node, keys)."""
     each = least.select(F.explode("keys").alias("key"), "node")
     shards = materialize(_meeting(each), "near-shards")
     mine = materialize(each.join(shards, "key").groupBy("node").agg(F.collect_set(F.struct("key", "n")).alias("shards")), "near-members")
@@ -370,43 +510,51 @@ def near_groups(
     named = texts.select(F.col("id").alias("node"), "text").join(mine, "node").select("node", "text", "shards")
     sets = named.mapInArrow(_sets(shingle), "node long, fp long, shards array<struct<key:long,n:long>>, grams binary")
     rows = sets.select(F.explode("shards").alias("s"), "node", "fp", "grams").select("s.key", "s.n", "node", "fp", "grams")
-    links, stuck = [], []
-
-    def compared(dealt: DataFrame) -> DataFrame:
-        """What the parts (key, g) tell; their links are kept."""
+    links, round_ = [], 0
+    while True:
+        parts = F.ceil(F.col("n") / shard_docs)
+        dealt = rows.withColumn("parts", parts).withColumn("g", F.pmod(F.xxhash64("node", "key", F.lit(round_)), F.col("parts")))
         dealt = dealt.repartition("key", "g").sortWithinPartitions("key", "g", F.xxhash64("node", "key"), "node")
         found = materialize(dealt.mapInArrow(_part(similarity, reach), "what int, a long, b long, key long, fp long, grams binary"), "near-found")
         links.append(found.where("what = 0").select("a", "b"))
-        return found.where("what = 1").select("key", F.col("a").alias("node"), F.col("b").alias("before"), "fp", "grams")
-
-    round_ = 0
-    while True:
-        parts = F.ceil(F.col("n") / shard_docs)
-        leaders = compared(rows.withColumn("parts", parts).withColumn("g", F.pmod(F.xxhash64("node", "key", F.lit(round_)), F.col("parts"))))
+        leaders = found.where("what = 1").select("key", F.col("a").alias("node"), F.col("b").alias("before"), "fp", "grams")
         counts = leaders.groupBy("key").agg(F.count("*").alias("n"), F.max("before").alias("before"))
-        counts = materialize(counts.withColumn("on", (F.col("n") <= shard_docs) | (F.col("n") <= SHRUNK * F.col("before"))).drop("before"), "near-leaders")
+        counts = materialize(counts.where((F.col("n") <= shard_docs) | (F.col("n") <= SHRUNK * F.col("before"))).select("key", "n"), "near-leaders")
         if counts.isEmpty():
             break
-        staying = leaders.join(counts, "key").select("on", "key", "n", "node", "fp", "grams")
-        stuck.append(staying.where("NOT on").select("key", "node", "fp", "grams"))
-        rows, round_ = staying.where("on").drop("on"), round_ + 1
-    if stuck and not (held := _united(stuck)).isEmpty():
-        held = materialize(held, "near-stuck")
-        bodies = materialize(held.groupBy("node").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams")), "near-bodies")
-        # All of them as one shard, so that each is laid out once; a pair of one shard is a pair of this one.
-        again, alone = _rare_keys(bodies.withColumn("key", F.lit(0).cast("long")), similarity, shard_docs)
-        again = materialize(again, "near-keys")
-        one = F.lit(1).cast("long")
-        meeting = again.join(materialize(_meeting(again), "near-shards"), "key").select("key", "node", "n", one.alias("parts"), F.lit(0).cast("long").alias("g"))
-        rest = held.select("key", "node").join(alone.select("node"), "node")
-        rest = rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key")
-        # Documents of the template alone: every two of their parts, unless they fit one.
-        dealt = rest.withColumn("parts", F.when(F.col("n") > shard_docs, F.ceil(2 * F.col("n") / shard_docs)).otherwise(1).cast("long")).withColumn("t", F.pmod(F.xxhash64("node", "key"), F.col("parts")))
-        both = dealt.withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("parts = 1 OR t <> u")
-        pairs = both.select(F.xxhash64("key", F.least("t", "u"), F.greatest("t", "u"), F.lit("parts")).alias("key"), "node", "n", one.alias("parts"), F.lit(0).cast("long").alias("g"))
-        compared(meeting.union(pairs).join(bodies, "node").select("key", "n", "node", "fp", "grams", "parts", "g"))
-    discard(least, shards, mine)
-    return connected_components(_united(links))
+        rows, round_ = leaders.join(counts, "key").select("key", "n", "node", "fp", "grams"), round_ + 1
+    discard(shards, mine)
+    return links
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, keys: int = KEYS, reach: int = REACH, shard_docs: int = SHARD_DOCS
+) -> DataFrame:
+    """(node, component) of every id that is linked to another: component is the smallest id reachable over pairs of at least that similarity.
+
+    `keys`, `reach` and `shard_docs` decide what the first pass finds and how large its shards are, not the result:
+    the second pass compares what may be similar and is in different components, first one pair of each two
+    components that meet (most of them become one by it), then all that are left.
+    """
+    texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    counted = materialize(texts.mapInArrow(_keys(shingle, keys), "node long, keys array<long>, times array<long>"), "near-keys")
+    links = _found_by_search(texts, counted.where("node IS NOT NULL").select("node", "keys"), shingle, similarity, reach, shard_docs)
+    groups = connected_components(_united(links))
+    levels = _levels(counted.where("node IS NULL"))
+    first = materialize(texts.mapInArrow(_first_grams(shingle, similarity, levels), "node long, size int, grams array<long>"), "near-first")
+    each = first.join(groups, "node", "left").select("node", "size", F.coalesce("component", "node").alias("component"), F.posexplode("grams").alias("place", "key"))
+    # Of documents that have a shingle in common, those of several components; of shingles with the same documents, the first in order is enough.
+    mixed = each.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    met = materialize(each.join(materialize(mixed, "near-mixed"), "key").select("key", "node", "component", "size", "place"), "near-met")
+    members = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    met = met.join(materialize(members.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "near-mixed"), "key")
+    for one in (True, False):
+        left = met.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        links = _compared(texts, left, shingle, similarity, shard_docs, one)
+        if not links.isEmpty():
+            groups = connected_components(links.union(groups.select("node", "component")))
+    discard(counted, first)
+    return groups
 
 
 def _united(tables: list[DataFrame]) -> DataFrame:

@@ -125,6 +125,40 @@ def test_near_copies_behind_a_template(spark, pairs, shard_docs):
     assert got == {i + c * 10_000: i for i in range(pairs) for c in (0, 1)} | dict.fromkeys(range(20_000, 20_060), 20_000)
 
 
+@pytest.mark.parametrize("keys, reach, shard_docs", [(1, 0, 7), (1, 0, 1000), (5, 18, 20)])
+def test_near_groups_find_every_link(spark, keys, reach, shard_docs):
+    """Whatever the first pass finds, the result is that of all pairs."""
+    rng = np.random.default_rng(35)
+    rows = [(r[0], r[1]) for r in _rows()]
+    common = " ".join(f"c{i}" for i in range(40))
+    for i in range(40):  # families behind a passage, some of their members beyond the bound
+        own = [f"o{i}x{j}" for j in range(60)]
+        for c in range(3):
+            own = [f"n{c}" if rng.random() < 0.02 * c else w for w in own]
+            rows.append((10_000 + 100 * i + c, common + " " + " ".join(own)))
+    want = _components([(*r, None) for r in rows], 0.8)
+    linked = {c for i, c in want.items() if i != c}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["node"]: r["component"] for r in simhash.near_groups(df, keys=keys, reach=reach, shard_docs=shard_docs).collect()}
+    assert got == {i: c for i, c in want.items() if c in linked} and len(linked) > 25
+
+
+def test_near_groups_link_what_fingerprints_miss(spark):
+    """Pairs of a similarity of 0.8 whose fingerprints lie beyond the search's reach, or that share no least hash."""
+    rng = np.random.default_rng(36)
+    rows = []
+    for i in range(20_000):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 13)]
+        a, b = " ".join(w), " ".join([*w[:-1], "changed"])
+        far = (simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() > simhash.REACH
+        apart = not set(simhash.shingle_set(a, 5)[: simhash.KEYS]) & set(simhash.shingle_set(b, 5)[: simhash.KEYS])
+        if far or apart:
+            rows += [(i, a), (i + 100_000, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["node"]: r["component"] for r in simhash.near_groups(df).collect()}
+    assert len(rows) > 20 and got == {i: i % 100_000 for i, _ in rows}
+
+
 def test_rare_keys_lose_no_pair(spark):
     """Sets of numbers with a common part of any share: every pair of the similarity has a key in common, or both are of the common part alone."""
     rng = np.random.default_rng(34)
