@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Callable
 
@@ -70,16 +71,25 @@ def cached_map(spark: SparkSession, folder: str, inputs: list[str], build: Calla
 
 
 def append_steps(rows: DataFrame, path: str) -> None:
-    """Add rows (run, step, key, value) to a log. What the log has of a run's step is replaced, so that a repeated step counts once."""
+    """Add rows (run, step, key, value) to a log, as one batch. What the log has of a run's step is replaced, so that a repeated step counts once.
+
+    A batch is a folder of few files, however many steps it has; it is written aside and takes its name when it is whole.
+    """
+    spark, log = rows.sparkSession, path.rstrip("/")
     own = rows.select("run", F.col("step").cast("long"), "key", F.col("value").cast("double").alias("value"))
-    own.repartition("run", "step").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "step").parquet(path)
+    batches = {m[1] for f, _, _ in (files_below(spark, log) if exists(spark, log) else []) if (m := re.search(r"/batch=(\d+)-[^/]*/[^/]*$", f))}
+    name = f"{max(map(int, batches), default=0) + 1:010d}-{uuid.uuid4().hex}"
+    own.write.parquet(f"{log}/_{name}")
+    rename(spark, f"{log}/_{name}", f"{log}/batch={name}")
 
 
 def read_steps(spark: SparkSession, path: str) -> DataFrame:
-    """run, step, key, value of a log; none, if nothing has been written yet."""
-    schema = "key string, value double, run string, step long"
+    """run, step, key, value of a log, of each run's step the last batch that has it; none, if nothing has been written yet."""
+    schema = "run string, step long, key string, value double, batch string"
     found = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
-    return found.select("run", "step", "key", "value")
+    last = found.groupBy(F.col("run").alias("r"), F.col("step").alias("s")).agg(F.max("batch").alias("b"))
+    same = F.col("run").eqNullSafe(F.col("r")) & F.col("step").eqNullSafe(F.col("s")) & (F.col("batch") == F.col("b"))
+    return found.join(last, same).select("run", "step", "key", "value")
 
 
 def write_by_place(df: DataFrame, order: list[Column], path: str, file_rows: int = FILE_ROWS) -> None:

@@ -162,6 +162,18 @@ def test_step_log_takes_a_step_once(spark, tmp_path):
     assert sorted(map(tuple, tables.read_steps(spark, log).collect())) == [("a", 1, "x", 9.0), ("a", 2, "x", 3.0), ("b", 1, "x", 5.0)]
 
 
+def test_step_log_has_few_files_for_many_steps(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = spark.range(3000).select(F.lit("a").alias("run"), F.when(F.col("id") > 0, F.col("id")).alias("step"), F.lit("x").alias("key"), F.lit(1).alias("value"))
+    tables.append_steps(rows, log)
+    for value in (2, 3):
+        tables.append_steps(rows.where("step IS NULL OR step % 2 = 0").withColumn("value", F.lit(value)), log)
+    files = [f for _, _, found in os.walk(log) for f in found if f.endswith(".parquet")]
+    assert 3 <= len(files) < 100
+    got = tables.read_steps(spark, log).collect()
+    assert {r["step"]: r["value"] for r in got} == {(i or None): (1.0 if i % 2 else 3.0) for i in range(3000)} and len(got) == 3000
+
+
 def test_fetch_reads_few_files(spark, tmp_path):
     path = str(tmp_path / "placed")
     tables.write_by_place(spark.range(1000).repartition(5).withColumn("text", F.lit("t")), [F.col("id").desc()], path, 100)
