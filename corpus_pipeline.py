@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the rows that go on; the stages
 between write Parquet, so a lost executor costs no more than a stage's own tasks.
-Within a stage narrow tables decide, and texts move through one shuffle (two in `near`).
+Within a stage narrow tables decide, and texts move through one shuffle (in `near`, only those of rows that may go).
 
 Every stage takes nulls in any column, repeated rows and ids, texts of any length,
 empty tables, and further columns of any name (with dots, or like a helper column).
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumapair.llm import exact_dedup, language, mixing, packing, simhash
-from lumapair.session import delete, drop_tables, shared_dir, ship
+from lumapair.llm.membership import bit_filter, may_be_in
+from lumapair.session import delete, drop_tables, materialize, shared_dir, ship
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +38,12 @@ def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ship(spark)
     groups = simhash.near_groups(docs)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    gone = groups.where("node <> component").select("node")
+    gone = materialize(groups.where("node <> component").select("node"), "near-gone")
     own = F.col(names[docs.columns.index("doc_id")])
-    return docs.toDF(*names).join(gone, own == F.col("node"), "left_anti").toDF(*docs.columns)
+    rows, packed = docs.toDF(*names), bit_filter(gone)
+    # Only rows that may go are joined; all others stay where they are.
+    asked = rows.where(may_be_in(packed, own.cast("long"))).join(gone, own == F.col("node"), "left_anti")
+    return rows.where(~may_be_in(packed, own.cast("long"))).union(asked).toDF(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,9 @@ one of their least shingle hashes meet in a shard, a BK-tree of SimHash fingerpr
 similar to none before them) meet again, so that a family costs its size and not all its
 pairs. The second finds every link that the first left out: in an order of all shingles, two
 documents of the similarity share one of their first ones, so documents
-of different groups that do are compared, unless size or place of the shingle rules it out.
+of different groups that do are compared, unless size, place of the shingle or the parity of
+their shingles rules it out. Texts do not move: their sets are made where they are read, of those
+documents only that a bit filter lets through.
 
 Defined results for odd input: null and empty texts, and texts of white space
 only, have fingerprint zero and link like any other; fewer words than a shingle
@@ -40,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumapair.llm.components import connected_components
+from lumapair.llm.membership import bit_filter, may_be_in, may_hold
 from lumapair.session import discard, materialize
 
 BITS, SEED = 64, 42
@@ -260,20 +263,70 @@ def _levels(counted: DataFrame) -> bytes:
     return levels.tobytes()
 
 
+def parity(own: np.ndarray) -> bytes:
+    """A bit for each bucket of shingle hashes, as many as there are hashes at least and 64: whether it holds an odd number of them."""
+    bits = 1 << max(6, (len(own) - 1).bit_length())
+    return np.packbits(np.bincount(own.view(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def most_shared(m: int, n: int, a: bytes, b: bytes) -> int:
+    """What sets of m and n shingles have in common at most, by their parities: a bucket in which these differ has a shingle of one set alone."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    p, q = 8 * len(a), 8 * len(b)
+    # The larger one's halves together are the parity for half as many buckets.
+    while p != q:
+        if p < q:
+            x, y, p, q = y, x, q, p
+        p //= 2
+        x = (x >> p) ^ (x & ((1 << p) - 1))
+    return (m + n - (x ^ y).bit_count()) // 2
+
+
+def _may_be_similar(similarity: float):
+    """Pairs with sizes and parities to those that these do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch[c].to_pylist() for c in ("m", "n", "a_bits", "b_bits")]
+            may = pa.array([most_shared(m, n, x, y) >= similarity / (1 + similarity) * (m + n) - 1e-6 for m, n, x, y in zip(*cols)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(may), batch["b"].filter(may)], ["a", "b"])
+
+    return run
+
+
 def _first_grams(shingle: int, similarity: float, packed: bytes):
-    """Documents to the number of their shingles and the first of them, by level and hash: as many as may be missing in a similar document, and one."""
+    """Documents to the number of their shingles, their parity and the first of them, by level and hash: as many as may be missing in a similar document, and one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(packed, np.uint8)
         for b in batches:
-            sizes, first = [], []
+            sizes, bits, first = [], [], []
             for t in b["text"]:
                 own = shingle_set(t.as_py(), shingle)
                 level = levels[own & np.uint64(len(levels) - 1)].astype(np.uint64)
                 placed = np.sort((level << np.uint64(61)) | (own >> np.uint64(3))).view(np.int64)
                 sizes.append(len(own))
+                bits.append(parity(own))
                 first.append(placed[: len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1].copy() if len(own) else placed)
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["node", "size", "grams"])
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["node", "size", "bits", "grams"])
+
+    return run
+
+
+def _places(packed: bytes):
+    """Documents (node, size, grams) to a row for each of the grams that the filter lets through, with its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), GRAM_ROWS):
+                b = whole.slice(lo, GRAM_ROWS)
+                key = b["grams"].flatten().to_numpy()
+                n = pc.list_value_length(b["grams"]).to_numpy()
+                may = np.flatnonzero(may_hold(packed, key))
+                place = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+                of = np.repeat(np.arange(len(b)), n)[may]
+                cols = [pa.array(key[may]), b["node"].take(pa.array(of)), b["size"].take(pa.array(of)), pa.array(place[may].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "node", "size", "place"])
 
     return run
 
@@ -347,7 +400,7 @@ def _arrays(shingle: int):
 
 
 def _sets(shingle: int):
-    """Documents with their shards to the same with fingerprint and set; 32 bits of a hash tell the shingles of two documents apart."""
+    """Documents to fingerprint and set; 32 bits of a hash tell the shingles of two documents apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -357,7 +410,7 @@ def _sets(shingle: int):
                 for t in b["text"]:
                     fps.append(_signed(fingerprint(t.as_py(), shingle)))
                     grams.append(np.unique(shingle_set(t.as_py(), shingle).astype("<u4")).tobytes())
-                yield pa.RecordBatch.from_arrays([b["node"], pa.array(fps, pa.int64()), b["shards"], pa.array(grams, pa.binary())], ["node", "fp", "shards", "grams"])
+                yield pa.RecordBatch.from_arrays([b["id"], pa.array(fps, pa.int64()), pa.array(grams, pa.binary())], ["node", "fp", "grams"])
 
     return run
 
@@ -481,8 +534,8 @@ def _rare_keys(stuck: DataFrame, similarity: float, shard_docs: int) -> tuple[Da
     return keys, docs.where(shared <= 0).select("key", "node")
 
 
-def _compared(texts: DataFrame, met: DataFrame, shingle: int, similarity: float, shard_docs: int, one: bool) -> DataFrame:
-    """(a, b) of similar documents of different components among those that have a key in common; met is (key, node, component, size, place)."""
+def _compared(texts: DataFrame, parities: DataFrame, met: DataFrame, shingle: int, similarity: float, shard_docs: int, one: bool) -> DataFrame:
+    """(a, b) of similar documents of different components among those that have a key in common; met is (key, node, component, size, place), parities (node, size, bits)."""
     sizes = met.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     rows = met.join(sizes.select("key", "n"), "key")
     # Every two parts of a large group, so that no task meets the whole of it.
@@ -492,12 +545,16 @@ def _compared(texts: DataFrame, met: DataFrame, shingle: int, similarity: float,
     own = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("t", "u"), F.greatest("t", "u")))
     keyed = both.select(own.alias("key"), "node", "component", "size", "place").repartition("key").sortWithinPartitions("key")
     pairs = materialize(keyed.mapInArrow(_candidates(similarity, one), "a long, b long").distinct(), "near-pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(texts.join(named, "id").mapInArrow(_arrays(shingle), "node long, grams array<long>"), "near-sets")
+    own, other = (parities.select(F.col("node").alias(c), F.col("size").alias(size), F.col("bits").alias(f"{c}_bits")) for c, size in (("a", "m"), ("b", "n")))
+    near = pairs.join(own, "a").join(other, "b").mapInArrow(_may_be_similar(similarity), "a long, b long").distinct()
+    met_pairs, pairs = pairs, materialize(near, "near-pairs")
+    named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-named")
+    grams = texts.where(may_be_in(bit_filter(named), F.col("id"))).mapInArrow(_arrays(shingle), "node long, grams array<long>")
+    sets = materialize(grams.join(named, "node", "left_semi"), "near-sets")
     first, second = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams")) for c in ("a", "b"))
     shared = pairs.join(first, "a").join(second, "b").select("a", "b", F.size("a_grams").alias("m"), F.size("b_grams").alias("n"), F.size(F.array_intersect("a_grams", "b_grams")).alias("shared"))
     links = materialize(shared.where(F.col("shared") >= F.lit(similarity) * (F.col("m") + F.col("n") - F.col("shared"))).select("a", "b"), "near-links")
-    discard(pairs, sets)
+    discard(met_pairs, pairs, named, sets)
     return links
 
 
@@ -506,9 +563,9 @@ def _found_by_search(texts: DataFrame, least: DataFrame, shingle: int, similarit
     each = least.select(F.explode("keys").alias("key"), "node")
     shards = materialize(_meeting(each), "near-shards")
     mine = materialize(each.join(shards, "key").groupBy("node").agg(F.collect_set(F.struct("key", "n")).alias("shards")), "near-members")
-    # Only documents that meet another are cut into shingles again, and send them.
-    named = texts.select(F.col("id").alias("node"), "text").join(mine, "node").select("node", "text", "shards")
-    sets = named.mapInArrow(_sets(shingle), "node long, fp long, shards array<struct<key:long,n:long>>, grams binary")
+    # Only documents that meet another are cut into shingles again, and send their sets.
+    named = texts.where(may_be_in(bit_filter(mine.select("node")), F.col("id")))
+    sets = named.mapInArrow(_sets(shingle), "node long, fp long, grams binary").join(mine, "node")
     rows = sets.select(F.explode("shards").alias("s"), "node", "fp", "grams").select("s.key", "s.n", "node", "fp", "grams")
     links, round_ = [], 0
     while True:
@@ -541,19 +598,22 @@ def near_groups(
     links = _found_by_search(texts, counted.where("node IS NOT NULL").select("node", "keys"), shingle, similarity, reach, shard_docs)
     groups = connected_components(_united(links))
     levels = _levels(counted.where("node IS NULL"))
-    first = materialize(texts.mapInArrow(_first_grams(shingle, similarity, levels), "node long, size int, grams array<long>"), "near-first")
-    each = first.join(groups, "node", "left").select("node", "size", F.coalesce("component", "node").alias("component"), F.posexplode("grams").alias("place", "key"))
-    # Of documents that have a shingle in common, those of several components; of shingles with the same documents, the first in order is enough.
-    mixed = each.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    met = materialize(each.join(materialize(mixed, "near-mixed"), "key").select("key", "node", "component", "size", "place"), "near-met")
-    members = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    met = met.join(materialize(members.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "near-mixed"), "key")
+    first = materialize(texts.mapInArrow(_first_grams(shingle, similarity, levels), "node long, size int, bits binary, grams array<long>"), "near-first")
+    # Shingles that several documents have; of those with the same documents, the first in order is enough.
+    several = first.select(F.explode("grams").alias("key"), "node").groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    several = materialize(several.where("low <> high").select("key"), "near-several")
+    each = first.select("node", "size", "grams").mapInArrow(_places(bit_filter(several)), "key long, node long, size int, place int")
+    each = materialize(each.join(several, "key"), "near-each")
+    members = each.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    chosen = materialize(members.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "near-chosen")
+    met = materialize(each.join(chosen, "key").select("key", "node", "size", "place"), "near-met")
+    discard(several, each, chosen)
     for one in (True, False):
-        left = met.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        links = _compared(texts, left, shingle, similarity, shard_docs, one)
+        left = met.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        links = _compared(texts, first.select("node", "size", "bits"), left, shingle, similarity, shard_docs, one)
         if not links.isEmpty():
             groups = connected_components(links.union(groups.select("node", "component")))
-    discard(counted, first)
+    discard(counted, first, met)
     return groups
 
 
