@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumapair.llm.components import connected_components
-from lumapair.llm.membership import bit_filter, may_be_in, may_hold
+from lumapair.llm.membership import bit_filter, may_hold
 from lumapair.session import discard, materialize
 
 BITS, SEED = 64, 42
@@ -386,11 +386,17 @@ def _candidates(similarity: float, one: bool):
     return run
 
 
-def _arrays(shingle: int):
-    """Documents to their shingle hashes."""
+def _let_through(packed: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents whose id the filter lets through."""
+    for b in batches:
+        yield b.filter(pa.array(may_hold(packed, b["id"].to_numpy())))
+
+
+def _arrays(shingle: int, packed: bytes):
+    """Documents that the filter lets through to their shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in _let_through(packed, batches):
             for lo in range(0, len(whole), GRAM_ROWS):
                 b = whole.slice(lo, GRAM_ROWS)
                 own = [shingle_set(t.as_py(), shingle).view(np.int64) for t in b["text"]]
@@ -399,11 +405,11 @@ def _arrays(shingle: int):
     return run
 
 
-def _sets(shingle: int):
-    """Documents to fingerprint and set; 32 bits of a hash tell the shingles of two documents apart."""
+def _sets(shingle: int, packed: bytes):
+    """Documents that the filter lets through to fingerprint and set; 32 bits of a hash tell the shingles of two documents apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in _let_through(packed, batches):
             for lo in range(0, len(whole), GRAM_ROWS):
                 b = whole.slice(lo, GRAM_ROWS)
                 fps, grams = [], []
@@ -549,7 +555,7 @@ def _compared(texts: DataFrame, parities: DataFrame, met: DataFrame, shingle: in
     near = pairs.join(own, "a").join(other, "b").mapInArrow(_may_be_similar(similarity), "a long, b long").distinct()
     met_pairs, pairs = pairs, materialize(near, "near-pairs")
     named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-named")
-    grams = texts.where(may_be_in(bit_filter(named), F.col("id"))).mapInArrow(_arrays(shingle), "node long, grams array<long>")
+    grams = texts.mapInArrow(_arrays(shingle, bit_filter(named)), "node long, grams array<long>")
     sets = materialize(grams.join(named, "node", "left_semi"), "near-sets")
     first, second = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams")) for c in ("a", "b"))
     shared = pairs.join(first, "a").join(second, "b").select("a", "b", F.size("a_grams").alias("m"), F.size("b_grams").alias("n"), F.size(F.array_intersect("a_grams", "b_grams")).alias("shared"))
@@ -564,8 +570,7 @@ def _found_by_search(texts: DataFrame, least: DataFrame, shingle: int, similarit
     shards = materialize(_meeting(each), "near-shards")
     mine = materialize(each.join(shards, "key").groupBy("node").agg(F.collect_set(F.struct("key", "n")).alias("shards")), "near-members")
     # Only documents that meet another are cut into shingles again, and send their sets.
-    named = texts.where(may_be_in(bit_filter(mine.select("node")), F.col("id")))
-    sets = named.mapInArrow(_sets(shingle), "node long, fp long, grams binary").join(mine, "node")
+    sets = texts.mapInArrow(_sets(shingle, bit_filter(mine.select("node"))), "node long, fp long, grams binary").join(mine, "node")
     rows = sets.select(F.explode("shards").alias("s"), "node", "fp", "grams").select("s.key", "s.n", "node", "fp", "grams")
     links, round_ = [], 0
     while True:
